@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import decontaminate, language_id, near_dedup, packing, substring_dedup, toxicity, warc
+from callscope.llm import decontaminate, fingerprint, importance, language_id, near_dedup, packing, substring_dedup, token_counts, toxicity, warc
 from callscope.llm._frames import read
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.importance(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.dedup_substrings(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -34,6 +42,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_edits(read(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -85,7 +97,7 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 1
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_substring_dedup, op4_minhash_near_dedup, op5_decontamination, op6_language_id, op7_warc_archive, op8_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_importance_resampling, op2_substring_dedup, op3_token_counts, op4_minhash_near_dedup, op5_decontamination, op6_language_id, op7_warc_archive, op8_toxicity, op9_fingerprints, op10_packing)}
 
 
 def oracle_sql() -> dict:

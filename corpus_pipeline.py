@@ -1,3 +1,52 @@
-STAGES = []
+"""The corpus pipeline: toxicity, near-duplicates, repeated passages, benchmark passages, packing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from callscope.llm import decontaminate, near_dedup, packing, substring_dedup, toxicity
+from callscope.llm._frames import read, scratch
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.reject_toxic(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, that with the smallest id; a null id belongs to no group."""
+    away = near_dedup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("away_id"))
+    return docs.join(away.hint("shuffle_hash"), docs["doc_id"] == F.col("away_id"), "left_anti")
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _measured(substring_dedup.remove_repeats(docs))
+
+
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _measured(decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+STAGES = [("toxicity", drop_toxic), ("near_dedup", drop_near_duplicates), ("substring_dedup", cut_repeats), ("decontamination", cut_benchmark), ("packing", pack)]
+
+#: SQL can't express the classifier and the tokenizer; tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents; each one's rows are written as Parquet in the shared folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = scratch(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
