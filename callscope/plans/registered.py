@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from callscope.plans import core
+from callscope.plans import annotated, core
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _m in (core,):
+for _m in (core, annotated):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL
