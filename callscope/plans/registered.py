@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from callscope.plans import annotated, core
+from callscope.plans import annotated, core, rollups
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _m in (core, annotated):
+for _m in (core, annotated, rollups):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL
