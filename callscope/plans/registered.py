@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from callscope.plans import annotated, core, rollups
+from callscope.plans import annotated, core, rollups, statistics
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _m in (core, annotated, rollups):
+for _m in (core, annotated, rollups, statistics):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL
