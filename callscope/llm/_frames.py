@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -24,7 +25,10 @@ def kept(df: DataFrame) -> DataFrame:
     shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # what the finished work shuffled isn't needed again: lets Spark delete those files now
+    return out
 
 
 def scratch(spark: SparkSession, name: str) -> str:
