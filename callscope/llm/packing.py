@@ -24,6 +24,8 @@ from callscope.llm import _text as T
 from callscope.llm._frames import kept
 
 LENGTH, OPEN, GROUP, END = 2048, 16, 64, 1
+#: Punctuation that the tokenizer always cuts off a word's end; apostrophes and what may begin a special token are left out.
+PUNCTUATION = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part int, ids binary"
 
 
@@ -36,34 +38,68 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class Encoder:
     """Ids of texts, by way of their distinct white-space words.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in turn.
-    Distinct words are encoded together, a special token between them; words that hold '<|' are encoded alone.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in turn. New words of
+    letters only are encoded together, a space between them: each is one piece, whose last token bears the word-end mark. Other
+    words have a special token between them, and words that hold '<|' are encoded alone. Known words are kept, KEEP at most.
     """
 
-    KEEP = 200_000
+    KEEP = 800_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        mark = "<|endoftext|>"
-        self.mark, self.mark_id = mark, self.tokenizer.token_to_id(mark)
-        self.known: dict[str, np.ndarray] = {}
-
-    def words(self, words: list[str]) -> list[np.ndarray]:
+        self.mark = "<|endoftext|>"
+        self.mark_id = self.tokenizer.token_to_id(self.mark)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: list[str], plain: bool) -> list[str]:
+        """Encodes some words together; returns those that must be encoded in another way."""
+        ids = self._ids((" " if plain else self.mark).join(words))
+        last = np.flatnonzero(self.ends[ids]) + 1 if plain else np.append(np.flatnonzero(ids == self.mark_id), len(ids))
+        if len(last) != len(words):
+            return words
+        raw, at = ids.tobytes(), [0, *(4 * last).tolist()]
+        skip = 0 if plain else 4
+        for i, w in enumerate(words):
+            self.known[w] = raw[at[i] + (skip if i else 0) : at[i + 1]]
+        return []
+
+    def words(self, words: list[str]) -> list[bytes]:
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.KEEP:
             self.known, new = {}, words
-        plain = [w for w in new if "<|" not in w]
-        for a in range(0, len(plain), 512):
-            some = plain[a : a + 512]
-            ids = np.array(self.tokenizer.encode(self.mark.join(some), add_special_tokens=False).ids, np.uint32)
-            cut = np.flatnonzero(ids == self.mark_id)
-            parts = np.split(ids, cut)
-            self.known.update(zip(some, [parts[0], *(p[1:] for p in parts[1:])]))
+        # a word is often a known stem with punctuation or a capital: the tokenizer lower-cases and always cuts there
+        made, letters, others = [], {}, []
         for w in new:
-            if "<|" in w:
-                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32)
+            bare = w.rstrip(PUNCTUATION)
+            stem = bare.lower() if bare.isascii() else bare
+            if stem.isalpha() and stem.lower().isalpha():
+                rest = w[len(stem) :]
+                if stem not in self.known:
+                    letters[stem] = None
+                if stem != w:
+                    made.append((w, stem, rest))
+                    if rest and rest not in self.known:
+                        others.append(rest)
+            else:
+                others.append(w)
+        letters, others = list(letters), list(dict.fromkeys(others))
+        for a in range(0, len(letters), 512):
+            others += self._learn(letters[a : a + 512], True)
+        odd = [w for w in others if "<|" in w]
+        others = [w for w in others if "<|" not in w]
+        for a in range(0, len(others), 512):
+            odd += self._learn(others[a : a + 512], False)
+        for w in odd:
+            self.known[w] = self._ids(w).tobytes()
+        for w, stem, rest in made:
+            self.known[w] = self.known[stem] + (self.known[rest] if rest else b"")
         return [self.known[w] for w in words]
 
     def texts(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +108,8 @@ class Encoder:
         flat = lists.flatten().dictionary_encode()
         word_offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         parts = self.words(flat.dictionary.to_pylist())
-        size = np.array([len(p) for p in parts], np.int64)
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        ids = np.frombuffer(b"".join(parts), "<u4")
         code = flat.indices.to_numpy()
         start = np.cumsum(size) - size
         out = ids[T.ranges(start[code], size[code])]
@@ -81,6 +117,16 @@ class Encoder:
         return out, ends[word_offsets]
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: a Python worker runs many tasks in turn, and its known words serve them all."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 class _Packer:
     """The open windows of one task; a window is a list of (doc_id, start, ids, doc_tokens)."""
 
@@ -169,10 +215,10 @@ def _pack_rows(path: str, length: int, room: int, end: int):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder, packer = Encoder(path), _Packer(length, room, part << 32)
+        own_encoder, packer = encoder(path), _Packer(length, room, part << 32)
         for batch in batches:
-            for piece in T.slices(batch):
-                ids, offsets = encoder.texts(piece.column(1))
+            for piece in T.slices(batch, limit=4 << 20):
+                ids, offsets = own_encoder.texts(piece.column(1))
                 rows = []
                 for i, doc in enumerate(piece.column(0).to_pylist()):
                     own = np.append(ids[offsets[i] : offsets[i + 1]], np.uint32(end)).astype("<u4")
