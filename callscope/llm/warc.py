@@ -187,11 +187,16 @@ def write_warc(records: DataFrame, folder: str) -> int:
 
 def parse_warc(content: bytes):
     """Yields (header fields, block) for each record of a gzipped WARC file, a member at a time."""
-    view = memoryview(content)
-    while len(view):
-        member = zlib.decompressobj(31)
-        data = member.decompress(view)
-        view = view[len(view) - len(member.unused_data) :]
+    view, at = memoryview(content), 0
+    while at < len(view):
+        member, parts = zlib.decompressobj(31), []
+        while not member.eof:  # fed in small pieces, as what follows the member is copied
+            piece = view[at : at + 16384]
+            if not len(piece):
+                raise ValueError("truncated archive")
+            parts.append(member.decompress(piece))
+            at += len(piece) - len(member.unused_data)
+        data = b"".join(parts)
         head, _, rest = data.partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         fields = dict(x.split(": ", 1) for x in lines[1:])
