@@ -12,7 +12,7 @@ QUESTION_BASES = ("qy", "qw", "qo", "qr", "qrr", "qh", "^g")
 
 
 def _split(tag: Column) -> Column:
-    return F.filter(F.transform(F.split(tag, ","), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(tag, ","), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def _run(part: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Normalizer, RobustScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -157,32 +157,29 @@ def _vector(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(df.dropna(subset=columns))
 
 
-def mixture_curve(df: DataFrame, column: str, ks=range(1, 5), seed: int = 0) -> DataFrame:
-    """(k, log_likelihood, bic, weights, means, sds) of one-dimensional Gaussian mixtures; p = 3 k - 1 parameters."""
-    v = _vector(df, [column]).select("features").cache()
-    n, rows = v.count(), []
+def mixture_curve(df: DataFrame, column: str, ks=range(1, 5)) -> DataFrame:
+    """(k, log_likelihood, bic, weights, means, sds) of one-dimensional Gaussian mixtures, p = 3 k - 1 parameters.
+
+    Fitted by EM, from quantiles, on the column's histogram: one aggregation for all k, however many rows.
+    """
+    from callscope.operators import modality
+
+    x, counts = modality.histogram(df, column)
+    m, s = df.agg(F.avg(column), F.stddev_pop(column)).first()
+    n, rows = counts.sum(), []
     for k in ks:
-        if k == 1:  # closed form
-            s = v.select(vector_to_array("features")[0].alias("x")).agg(F.avg("x").alias("m"), F.var_pop("x").alias("v")).first()
-            ll = -0.5 * n * (np.log(2 * np.pi * s["v"]) + 1)
-            rows.append((1, float(ll), float(2 * np.log(n) - 2 * ll), [1.0], [float(s["m"])], [float(s["v"]) ** 0.5]))
-            continue
-        m = GaussianMixture(k=k, seed=seed, maxIter=200, tol=1e-6).fit(v)
-        g = [(float(w), float(x["mean"][0]), float(x["cov"].toArray()[0, 0]) ** 0.5) for w, x in zip(m.weights, m.gaussiansDF.collect())]
-        g.sort(key=lambda x: x[1])
-        rows.append((k, float(m.summary.logLikelihood), float((3 * k - 1) * np.log(n) - 2 * m.summary.logLikelihood), *map(list, zip(*g))))
-    v.unpersist()
+        ll, w, mean, sd = modality.em(x, counts, k)
+        ll -= n * np.log(s)
+        order = np.argsort(mean)
+        rows.append((k, float(ll), float((3 * k - 1) * np.log(n) - 2 * ll), [float(v) for v in w[order]], [float(m + s * v) for v in mean[order]], [float(s * v) for v in sd[order]]))
     return df.sparkSession.createDataFrame(rows, "k int, log_likelihood double, bic double, weights array<double>, means array<double>, sds array<double>")
 
 
-def mixture_labels(df: DataFrame, column: str, k: int, seed: int = 0) -> DataFrame:
-    """Adds label: the component by rising mean."""
-    v = _vector(df, [column])
-    m = GaussianMixture(k=k, seed=seed, maxIter=200, tol=1e-6).fit(v)
-    order = np.argsort([x["mean"][0] for x in m.gaussiansDF.collect()])
-    place = {int(j): i for i, j in enumerate(order)}
-    label = F.create_map(*[x for j, i in place.items() for x in (F.lit(j), F.lit(i))])
-    return m.transform(v).withColumn("label", F.element_at(label, F.col("prediction"))).drop("features", "prediction", "probability")
+def mixture_labels(df: DataFrame, column: str, k: int) -> DataFrame:
+    """Adds label: the most probable part, by rising mean; null stays null."""
+    fit = mixture_curve(df, column, [k]).first()
+    parts = [F.struct((F.lit(float(np.log(w / s))) - 0.5 * ((F.col(column) - F.lit(m)) / F.lit(s)) ** 2).alias("v"), F.lit(i).alias("i")) for i, (w, m, s) in enumerate(zip(fit["weights"], fit["means"], fit["sds"]))]
+    return df.withColumn("label", F.when(F.col(column).isNotNull(), F.array_max(F.array(*parts))["i"]))
 
 
 def silhouettes(df: DataFrame, columns: list[str], ks=range(2, 11), seed: int = 0) -> DataFrame:

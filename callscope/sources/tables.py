@@ -94,7 +94,7 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """(position, column, extractor, family, status, note) from a document whose sections are tables; status is the section."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("position", "line"))
     section = F.last(F.when(F.col("line").startswith("## "), F.trim(F.substring("line", 4, 1000))), ignorenulls=True).over(Window.partitionBy(F.lit(1)).orderBy("position"))  # a document
-    cells = F.transform(F.split("line", r"\|"), F.trim)
+    cells = F.transform(F.split("line", r"\|"), lambda x: F.trim(x))
     rows = lines.withColumn("status", section).where(F.col("line").startswith("|")).withColumn("c", cells).where((F.size("c") >= 6) & ~F.get("c", F.lit(1)).rlike(r"^(-+|:?-+:?|Column)$"))
     clean = lambda i: F.replace(F.get("c", F.lit(i)), F.lit("`"), F.lit(""))
     return rows.select("position", clean(1).alias("column"), clean(2).alias("extractor"), clean(3).alias("family"), F.regexp_extract("status", r"^(\w+)", 1).alias("status"), F.get("c", F.lit(4)).alias("note"))
