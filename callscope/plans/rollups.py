@@ -172,18 +172,18 @@ def _table(spark, sf_dir):
 
 
 FEATURES = ["token_count", "word_rate", "fto", "pause_total", "obstructive"]
-_MEANS = "round(avg(CASE WHEN backchannel = 0 THEN token_count END), 6) AS token_count, round(avg(CASE WHEN backchannel = 0 THEN word_rate END), 6) AS word_rate, round(avg(CASE WHEN backchannel = 0 AND fto BETWEEN -2 AND 2 THEN fto END), 6) AS fto, round(avg(CASE WHEN backchannel = 0 THEN pause_total END), 6) AS pause_total, round(avg(CASE WHEN backchannel = 0 THEN obstructive END), 6) AS obstructive, count_if(backchannel = 0)::BIGINT AS n_sub, count(CASE WHEN backchannel = 0 AND fto BETWEEN -2 AND 2 THEN fto END) AS n_fto, round(avg(backchannel), 6) AS bc_rate"
+_MEANS = "round(avg(CASE WHEN backchannel = 0 THEN token_count END), 4) AS token_count, round(avg(CASE WHEN backchannel = 0 THEN word_rate END), 4) AS word_rate, round(avg(CASE WHEN backchannel = 0 AND fto BETWEEN -2 AND 2 THEN fto END), 4) AS fto, round(avg(CASE WHEN backchannel = 0 THEN pause_total END), 4) AS pause_total, round(avg(CASE WHEN backchannel = 0 THEN obstructive END), 4) AS obstructive, count_if(backchannel = 0)::BIGINT AS n_sub, count(CASE WHEN backchannel = 0 AND fto BETWEEN -2 AND 2 THEN fto END) AS n_fto, round(avg(backchannel), 4) AS bc_rate"
 
 
 @query(f"{UNIT_SQL} SELECT caller, {_MEANS}, min(gender) AS gender, min(region) AS region FROM fu WHERE caller IS NOT NULL GROUP BY caller HAVING count_if(backchannel = 0) >= 20")
 def agg_unit_table_caller(spark, sf_dir):
     t = U.unit_table(_table(spark, sf_dir).where("caller IS NOT NULL"), "caller", FEATURES, demographics=["gender", "region"])
-    return _round(t, *FEATURES, "bc_rate")
+    return _round(t, *FEATURES, "bc_rate", places=4)
 
 
 @query(f"{UNIT_SQL} SELECT call_id, side, {_MEANS} FROM fu GROUP BY ALL HAVING count_if(backchannel = 0) >= 5")
 def agg_unit_table_side(spark, sf_dir):
-    return _round(U.unit_table(_table(spark, sf_dir), ["call_id", "side"], FEATURES, min_utterances=5), *FEATURES, "bc_rate")
+    return _round(U.unit_table(_table(spark, sf_dir), ["call_id", "side"], FEATURES, min_utterances=5), *FEATURES, "bc_rate", places=4)
 
 
 @query(f"{TURNS_SQL} SELECT call_id, side, utt_num, CASE WHEN fto BETWEEN -2 AND 2 THEN fto END AS fto FROM ev")
