@@ -439,3 +439,19 @@ def agg_block_shares(spark, sf_dir):
     x = corpus.table(spark, sf_dir, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"), "left")
     total = x.agg(F.sum(F.abs("n_nationkey")).alias("t"))
     return x.groupBy("r_regionkey").agg(F.sum(F.abs("n_nationkey")).alias("s")).crossJoin(F.broadcast(total)).select("r_regionkey", F.round(F.col("s") / F.col("t"), 6).alias("share"))
+
+
+@query(f"{UNIT_SQL} SELECT education, count(*) AS n, round(avg(token_count), 4) AS mean_tokens FROM fu WHERE education IS NOT NULL AND education NOT IN ('0', '9') GROUP BY 1 HAVING count(*) >= 5")
+def prj_known_education(spark, sf_dir):
+    known = _table(spark, sf_dir).where(F.col("education").isNotNull() & ~F.col("education").isin("0", "9"))
+    return known.groupBy("education").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("token_count"), 4).alias("mean_tokens")).where("n >= 5")
+
+
+@query(f"SELECT call_id, side, utt_num, len({_TOK}) >= 0 AND len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '' AND NOT (starts_with(w, '[') AND ends_with(w, ']')))) >= 5 AND regexp_matches(text, '(?i)\\b(i|my|me|mine|myself|we|our|us|ours|ourselves)\\b') AS may_be_anecdote FROM u")
+def scl_anecdote_candidate(spark, sf_dir):
+    return corpus.utterances(spark, sf_dir).select(*C.KEY, X.may_be_anecdote(F.col("text")).alias("may_be_anecdote"))
+
+
+@query(f"{TURNS_SQL} SELECT call_id, side, utt_num, kind, fto FROM ev ORDER BY call_id, side, utt_num")
+def srt_manifest_order(spark, sf_dir):
+    return core.features(spark, sf_dir).select(*C.KEY, "kind", "fto").orderBy(*C.KEY)
