@@ -26,6 +26,7 @@ def kept(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     out = df.checkpoint(eager=True)
+    del df  # its plan holds the shuffles
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # what the finished work shuffled isn't needed again: lets Spark delete those files now
     return out

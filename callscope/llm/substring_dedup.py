@@ -14,12 +14,12 @@ are judged each on its own text and never by each other. Other columns pass thro
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.llm import _text as T
+from callscope.llm._frames import kept
 
 PERIOD = 31
 #: A perfect difference set modulo 31.
@@ -27,6 +27,20 @@ COVER = (0, 1, 3, 8, 12, 18)
 MIN_WORDS = 50
 
 
+#: Marks of one id's rows: the low 32 bits are the first word of a repeated window, or WHOLE; the high ones tell which text is meant.
+WHOLE = 0xFFFFFFFF
+
+
+def _tag(sig: np.ndarray) -> np.ndarray:
+    return sig.astype(np.int64) & ~np.int64(WHOLE)
+
+
+def _marked(lists: pa.Array, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, mark) of all list entries; null lists are empty."""
+    lists = lists.fill_null([]) if lists.null_count else lists
+    return np.repeat(np.arange(rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(zero_copy_only=False)
+
+
 def _anchor_rows(size: int):
     cover = np.zeros(PERIOD, bool)
     cover[list(COVER)] = True
@@ -35,8 +49,13 @@ def _anchor_rows(size: int):
         words = T.Words(batch.column(2))
         start = T.window_starts(words.counts, words.offsets, size)
         start = start[cover[words.position()[start] % PERIOD]]
+        tag = _tag(batch.column(1).to_numpy())
+        row, mark = _marked(batch.column(3), batch.num_rows)
+        copy = np.zeros(batch.num_rows, bool)  # the smaller id has all of its windows
+        copy[row[mark == (tag[row] | WHOLE)]] = True
+        start = start[~copy[words.doc()[start]]]
         doc = words.doc()[start]
-        yield pa.RecordBatch.from_arrays([T.signed(T.rolling(words.hashes(), size)[start]), batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(words.position()[start].astype(np.int32))], ["anchor", "id", "sig", "at"])
+        yield pa.RecordBatch.from_arrays([T.signed(T.rolling(words.hashes(), size)[start]), batch.column(0).take(pa.array(doc)), pa.array(words.position()[start].astype(np.int32))], ["anchor", "id", "at"])
 
     return T.mapped(rows)
 
@@ -45,9 +64,9 @@ def _window_rows(size: int, anchor: int):
     def rows(batch: pa.RecordBatch):
         words = T.Words(batch.column(2))
         near = np.zeros(len(words) + 1, np.int64)
-        lists = batch.column(3)
-        at = lists.flatten().to_numpy(zero_copy_only=False)
-        doc = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        doc, at = _marked(batch.column(3), batch.num_rows)
+        keep = at < words.counts[doc]  # an anchor of another text with this id
+        doc, at = doc[keep], at[keep]
         base = words.offsets[:-1][doc]
         np.add.at(near, base + np.maximum(at - (size - anchor), 0), 1)
         np.add.at(near, base + at + 1, -1)
@@ -56,87 +75,87 @@ def _window_rows(size: int, anchor: int):
         h = words.hashes()
         doc = words.doc()[start]
         check = (T.rolling(T.mix(h ^ T.U(0xA24BAED4963EE407)), size)[start] >> T.U(33)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([T.signed(T.rolling(h, size)[start]), pa.array(check), batch.column(0).take(pa.array(doc)), batch.column(1).take(pa.array(doc)), pa.array(words.position()[start].astype(np.int32))], ["h", "c", "id", "sig", "at"])
+        mark = _tag(batch.column(1).to_numpy())[doc] | words.position()[start]
+        yield pa.RecordBatch.from_arrays([T.signed(T.rolling(h, size)[start]), pa.array(check), batch.column(0).take(pa.array(doc)), pa.array(mark)], ["h", "c", "id", "mark"])
 
     return T.mapped(rows)
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """(texts, found): texts has (id, sig, text), dealt by id and sig; found has (id, sig, copy, at) for texts that lose words.
-
-    copy: the whole text equals that of a smaller id; at: the first words of the windows that repeat.
-    """
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, marks) for the ids that lose words: see WHOLE. Joins are on the id alone, so that all share one shuffle of the texts."""
     anchor = min_words - PERIOD + 1
     if anchor < 1:
         raise ValueError(f"min_words must be {PERIOD} or more")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("sig"), F.col(text_col).alias("text"))
-    judged = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0))
-    sigs = judged.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("sig"), F.xxhash64(F.lit(7), F.col(text_col)).alias("sig2"))
+    texts = keyed(docs, id_col, text_col)
+    sigs = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("sig"), F.xxhash64(F.lit(7), F.col(text_col)).alias("sig2"))
     least = sigs.groupBy("sig", "sig2").agg(F.min("id").alias("least"))
-    copies = sigs.join(least, ["sig", "sig2"]).where("id > least").select("id", "sig").distinct()
-    own = texts.join(copies.hint("shuffle_hash"), ["id", "sig"], "left_anti")
-    anchors = own.mapInArrow(_anchor_rows(anchor), "anchor long, id long, sig long, at int").where("id is not null")
-    common = anchors.groupBy("anchor").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("anchor")
-    near = anchors.join(common, "anchor").groupBy("id", "sig").agg(F.collect_list("at").alias("near"))
-    around = texts.join(near.hint("shuffle_hash"), ["id", "sig"]).select("id", "sig", "text", "near")
-    windows = around.mapInArrow(_window_rows(min_words, anchor), "h long, c int, id long, sig long, at int")
+    copies = sigs.join(least, ["sig", "sig2"]).where("id > least").select("id", F.col("sig").bitwiseOR(F.lit(WHOLE)).alias("mark")).distinct()
+    copied = copies.groupBy("id").agg(F.collect_list("mark").alias("marks"))
+    anchors = texts.join(copied.hint("shuffle_hash"), "id", "left").select("id", "sig", "text", "marks").mapInArrow(_anchor_rows(anchor), "anchor long, id long, at int")
+    common = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("anchor")
+    near = kept(anchors.join(common, "anchor").groupBy("id").agg(F.collect_list("at").alias("near")))
+    around = texts.join(near.hint("shuffle_hash"), "id").select("id", "sig", "text", "near")
+    windows = around.mapInArrow(_window_rows(min_words, anchor), "h long, c int, id long, mark long")
     first = windows.groupBy("h", "c").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "c", "least")
-    found = windows.join(first, ["h", "c"]).where("id > least").groupBy("id", "sig").agg(F.collect_list("at").alias("at"))
-    empty = F.array().cast("array<int>")
-    return texts, found.select("id", "sig", F.lit(False).alias("copy"), "at").unionByName(copies.select("id", "sig", F.lit(True).alias("copy"), empty.alias("at")))
-
-
-def _removed(words: T.Words, copy: np.ndarray, lists: list, size: int) -> np.ndarray:
-    """Which words go."""
-    edge = np.zeros(len(words) + 1, np.int64)
-    for i, (whole, at) in enumerate(zip(copy, lists)):
-        if whole:
-            if words.counts[i] >= size:
-                edge[words.offsets[i]] += 1
-                edge[words.offsets[i + 1]] -= 1
-        elif at is not None and len(at):
-            at = np.asarray(at) + words.offsets[i]
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + size, -1)
-    return np.cumsum(edge)[:-1] > 0
+    found = windows.join(first, ["h", "c"]).where("id > least").select("id", "mark")
+    return kept(found.unionByName(copies).groupBy("id").agg(F.collect_list("mark").alias("marks")))
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, sig, text) of the rows with an id."""
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("sig"), F.col(text_col).alias("text"))
 
 
 def _cut_column(size: int, only_changed: bool):
-    def cut(text: pd.Series, copy: pd.Series, at: pd.Series) -> pd.DataFrame:
+    """(text, sig, marks) -> (n_words, n_removed, kept_text); with only_changed a text that loses nothing stays as it is."""
+
+    def cut(text: pa.Array, sig: pa.Array, marks: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text, sig, marks], ["text", "sig", "marks"])
+        parts = [one(part) for part in T.slices(batch)]
+        return pa.concat_arrays(parts) if parts else one(batch)
+
+    def one(batch: pa.RecordBatch) -> pa.Array:
+        words = T.Words(batch.column(0))
+        n = batch.num_rows
+        edge = np.zeros(len(words) + 1, np.int64)
+        row, mark = _marked(batch.column(2), n)
+        mine = (mark & ~np.int64(WHOLE)) == _tag(batch.column(1).to_numpy())[row]
+        row, at = row[mine], mark[mine] & WHOLE
+        width = np.where(at == WHOLE, words.counts[row], size)
+        ok = words.counts[row] >= size
+        row, at, width = row[ok], np.where(at == WHOLE, 0, at)[ok], width[ok]
+        np.add.at(edge, words.offsets[row] + at, 1)
+        np.add.at(edge, words.offsets[row] + at + width, -1)
+        gone = np.cumsum(edge)[:-1] > 0
+        lost = np.concatenate([[0], np.cumsum(gone)])
+        removed = lost[words.offsets[1:]] - lost[words.offsets[:-1]]
         out = []
-        lists = [None if x is None else x for x in at]
-        whole = copy.fillna(False).to_numpy(bool)
-        for a in range(0, len(text), 256):
-            part = pa.array(text[a : a + 256], pa.string(), from_pandas=True)
-            words = T.Words(part)
-            gone = _removed(words, whole[a : a + 256], lists[a : a + 256], size)
-            for i, s in enumerate(part.to_pylist()):
+        for i, s in enumerate(batch.column(0).to_pylist()):
+            if removed[i]:
                 lo, hi = words.offsets[i], words.offsets[i + 1]
-                lost = gone[lo:hi]
-                n = int(lost.sum())
-                if only_changed and not n:
-                    out.append((hi - lo, 0, s))
-                elif not n:
-                    out.append((hi - lo, 0, b" ".join((s or "").encode().split()).decode()))
-                else:
-                    all_words = (s or "").encode().split()
-                    out.append((hi - lo, n, b" ".join(w for w, x in zip(all_words, lost) if not x).decode()))
-        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_text"])
+                out.append(b" ".join(w for w, g in zip(s.encode().split(), gone[lo:hi]) if not g).decode())
+            else:
+                out.append(s if only_changed else b" ".join((s or "").encode().split()).decode())
+        return pa.StructArray.from_arrays([pa.array(words.counts), pa.array(removed), pa.array(out, pa.string())], ["n_words", "n_removed", "kept_text"])
 
-    return F.pandas_udf(cut, "n_words long, n_removed long, kept_text string")
+    return F.arrow_udf(cut, "n_words long, n_removed long, kept_text string")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row (id, n_words, n_removed, kept_text) per input row; kept_text is the kept words joined by one space."""
-    texts, found = repeats(docs, id_col, text_col, min_words)
-    out = texts.join(found.hint("shuffle_hash"), ["id", "sig"], "left").select("id", _cut_column(min_words, False)("text", F.coalesce("copy", F.lit(False)), "at").alias("o"))
-    return out.select(F.col("id").alias(id_col), "o.*")
+    found = repeats(docs, id_col, text_col, min_words)
+    cut = _cut_column(min_words, False)
+    out = keyed(docs, id_col, text_col).join(found.hint("shuffle_hash"), "id", "left").select("id", cut("text", "sig", "marks").alias("o"))
+    none = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("id"), cut(F.col(text_col), F.lit(0).cast("long"), F.lit(None).cast("array<long>")).alias("o"))
+    return out.unionByName(none).select(F.col("id").alias(id_col), "o.*")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The input rows and columns; a text that loses words becomes its kept words joined by one space, any other stays as it is."""
-    _, found = repeats(docs, id_col, text_col, min_words)
+    found = repeats(docs, id_col, text_col, min_words)
     row = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("sig"))
-    cut = _cut_column(min_words, True)(F.col(f"row.`{text_col}`"), F.coalesce("copy", F.lit(False)), "at")["kept_text"]
-    kept = row.join(found.hint("shuffle_hash"), ["id", "sig"], "left").select("row", F.when(F.col("copy").isNull(), F.col(f"row.`{text_col}`")).otherwise(cut).alias("kept"))
-    return kept.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
+    text = F.col(f"row.`{text_col}`")
+    met = row.join(found.hint("shuffle_hash"), "id", "left")
+    new = F.when(F.col("marks").isNull(), text).otherwise(_cut_column(min_words, True)(text, F.col("sig"), F.col("marks"))["kept_text"])
+    out = met.select("row", new.alias("new"))
+    return out.select(*[F.col("new").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
