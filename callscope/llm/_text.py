@@ -81,6 +81,7 @@ class Words:
         self.end = np.flatnonzero(last) + 1
         self.offsets = np.searchsorted(self.start, offsets)
         self.counts = np.diff(self.offsets)
+        self.text_start = offsets[:-1]
 
     def __len__(self) -> int:
         return len(self.start)

@@ -13,12 +13,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.llm import _text as T
+from callscope.llm._frames import bounded
 
 SIZE = 10
 MAX_WINDOWS = 200_000
@@ -93,116 +93,107 @@ class _Table:
         return join(first), join(length), join(row)
 
 
-def _scan(table, texts: pa.Array):
-    """(word counts, hits per text as lists of (first word, size, item))."""
-    words = T.Words(texts, T.NOT_ALNUM, lower=True)
+def _hits(table: _Table, words: T.Words) -> tuple[np.ndarray, ...]:
+    """(row, first word in its text, size, item) of all hits, by row."""
     first, length, row = table.hits(words)
     doc = np.searchsorted(words.offsets, first, side="right") - 1
     order = np.argsort(doc, kind="stable")
-    doc, at, length, item = doc[order], (first - words.offsets[:-1][doc])[order], length[order], table.item[row][order]
-    return words, doc, at, length, item
+    doc = doc[order]
+    return doc, (first[order] - words.offsets[:-1][doc]), length[order], table.item[row][order]
 
 
-def _hit_lists(batch_texts: pa.Array, table) -> pa.Array:
-    words, doc, at, length, item = _scan(table, batch_texts)
-    offsets = np.searchsorted(doc, np.arange(len(batch_texts) + 1)).astype(np.int32)
-    spans = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(item)], ["at", "n", "item_id"])
-    return pa.array(words.counts), pa.ListArray.from_arrays(pa.array(offsets), spans)
+def _hit_words(words: T.Words, doc: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which words are hit, how many in each text)."""
+    edge = np.zeros(len(words) + 1, np.int64)
+    np.add.at(edge, words.offsets[doc] + at, 1)
+    np.add.at(edge, words.offsets[doc] + at + length, -1)
+    hit = np.cumsum(edge)[:-1] > 0
+    total = np.concatenate([[0], np.cumsum(hit)])
+    return hit, total[words.offsets[1:]] - total[words.offsets[:-1]]
 
 
-_SPANS = "array<struct<at: int, n: int, item_id: long>>"
+def _digest(texts: pa.Array, words: T.Words, doc, at, length, item) -> pa.Array:
+    _, n_hit = _hit_words(words, doc, at, length)
+    cut = np.searchsorted(doc, np.arange(len(texts) + 1))
+    items = [sorted({str(x) for x in item[a:b]}) for a, b in zip(cut[:-1], cut[1:])]
+    digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
+    return pa.StructArray.from_arrays([pa.array(words.counts), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digests, pa.string())], ["n_words", "n_hit", "n_items", "items_sha256"])
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, key: str, text: str, size: int = SIZE, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """docs with columns (key, text) -> (key, text, n_words, hits)."""
-    spark = docs.sparkSession
-    found = windows(benchmark, size=size)
+_DIGEST = "n_words long, n_hit long, n_items long, items_sha256 string"
+
+
+def _cut(texts: pa.Array, words: T.Words, doc, at, length, item) -> pa.Array:
+    """The texts without the bytes of hit words; what stood between two hit words goes with them."""
+    hit, n_hit = _hit_words(words, doc, at, length)
+    out = texts.to_pylist()
+    for i in np.flatnonzero(n_hit):
+        lo, hi = words.offsets[i], words.offsets[i + 1]
+        raw = np.frombuffer(out[i].encode(), np.uint8)
+        base = words.text_start[i]
+        keep = np.ones(len(raw), bool)
+        gone = lo + np.flatnonzero(hit[lo:hi])
+        for run in np.split(gone, np.flatnonzero(np.diff(gone) > 1) + 1):
+            keep[words.start[run[0]] - base : words.end[run[-1]] - base] = False
+        out[i] = raw[keep].tobytes().decode()
+    return pa.StructArray.from_arrays([pa.array(words.counts), pa.array(n_hit), pa.array(out, pa.string())], ["n_words", "n_hit", "kept"])
+
+
+_CUT = "n_words long, n_hit long, kept string"
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, text: str, finish, schema: str, size: int, max_windows: int) -> DataFrame:
+    """Adds found: what `finish` makes of each text's words and hits, in one pass over the texts (one Python worker a task)."""
+    found = windows(bounded(benchmark), size=size)
     if found.count() > max_windows:
-        return _joined_hits(docs, found, key, text, size)
-    shared = spark.sparkContext.broadcast(_Table(found.collect()))
+        return _joined(docs, found, text, finish, schema, size)
+    shared = docs.sparkSession.sparkContext.broadcast(_Table(found.collect()))
 
     def scan(col: pa.Array) -> pa.Array:
-        n_words, hits = _hit_lists(col, shared.value)
-        return pa.StructArray.from_arrays([n_words, hits], ["n_words", "hits"])
+        words = T.Words(col, T.NOT_ALNUM, lower=True)
+        return finish(col, words, *_hits(shared.value, words))
 
-    udf = F.arrow_udf(T.array_mapped(scan), f"n_words long, hits {_SPANS}")
-    return docs.select(key, text, udf(F.col(text)).alias("found")).select(key, text, "found.*")
+    return docs.withColumn("found", F.arrow_udf(T.array_mapped(scan), schema)(F.col(text)))
 
 
-def _joined_hits(docs: DataFrame, found: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """As with_hits, for a benchmark of any size: windows of both sides meet in a join on their hash and words."""
+def _joined(docs: DataFrame, found: DataFrame, text: str, finish, schema: str, size: int) -> DataFrame:
+    """As _found for a benchmark of any size: windows of both sides meet in a join on their hash and words. Equal texts are scanned once."""
 
     def every(batch: pa.RecordBatch):
-        words = T.Words(batch.column(1), T.NOT_ALNUM, lower=True)
+        words = T.Words(batch.column(2), T.NOT_ALNUM, lower=True)
         h = words.hashes()
         for n in range(1, size + 1):
             start = T.window_starts(words.counts, words.offsets, n)
             if len(start):
+                doc = pa.array(words.doc()[start])
                 joined = [b" ".join(words.text(i) for i in range(s, s + n)) for s in start]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(words.doc()[start])), T.signed(T.rolling(h, n)[start]), pa.array(np.full(len(start), n, np.int32)), pa.array(words.position()[start].astype(np.int32)), pa.array(joined, pa.binary())], ["r", "h", "n", "at", "words"])
-
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(key, text).alias("r"))
-    spans = rows.select("r", "t").where("t is not null").distinct().mapInArrow(T.mapped(every, "t"), "r long, h long, n int, at int, words binary").join(found, ["h", "n", "words"]).groupBy("r").agg(F.collect_list(F.struct("at", "n", "item_id")).alias("hits"))
-    count = F.regexp_count(F.coalesce("t", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
-    return rows.join(spans, "r", "left").select(F.col("k").alias(key), F.col("t").alias(text), count.alias("n_words"), F.coalesce("hits", F.array().cast(_SPANS)).alias("hits"))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), T.signed(T.rolling(h, n)[start]), pa.array(np.full(len(start), n, np.int32)), pa.array(words.position()[start].astype(np.int32)), pa.array(joined, pa.binary())], ["r1", "r2", "h", "n", "at", "words"])
 
+    keyed = docs.withColumns({"r1": F.xxhash64(text), "r2": F.xxhash64(F.lit(7), F.col(text))})
+    own = keyed.select("r1", "r2", F.col(text).alias("text")).where("text IS NOT NULL").distinct().mapInArrow(T.mapped(every), "r1 long, r2 long, h long, n int, at int, words binary")
+    lists = own.join(found, ["h", "n", "words"]).groupBy("r1", "r2").agg(F.collect_list(F.struct("at", "n", "item_id")).alias("hits"))
 
-def _digest_column():
-    def digest(n_words: pd.Series, hits: pd.Series) -> pd.DataFrame:
-        out = []
-        for n, spans in zip(n_words, hits):
-            hit = np.zeros(int(n) + 1, np.int64)
-            items = set()
-            for s in spans:
-                hit[s["at"]] += 1
-                hit[s["at"] + s["n"]] -= 1
-                items.add(str(s["item_id"]))
-            out.append((int((np.cumsum(hit)[:-1] > 0).sum()), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()))
-        return pd.DataFrame(out, columns=["n_hit", "n_items", "items_sha256"])
+    def end(col: pa.Array, hits: pa.Array) -> pa.Array:
+        words = T.Words(col, T.NOT_ALNUM, lower=True)
+        hits = hits.fill_null([]) if hits.null_count else hits
+        doc = np.repeat(np.arange(len(col)), np.diff(hits.offsets.to_numpy()))
+        at, n, item = (hits.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+        return finish(col, words, doc, at, n, item)
 
-    return F.pandas_udf(digest, "n_hit long, n_items long, items_sha256 string")
+    met = keyed.join(lists, ["r1", "r2"], "left")
+    return met.withColumn("found", F.arrow_udf(end, schema)(F.col(text), F.col("hits"))).drop("r1", "r2", "hits")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) per row."""
-    found = with_hits(docs, benchmark, id_col, text_col, size, max_windows).drop(text_col)
-    empty = F.struct(F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit(hashlib.sha256(b"").hexdigest()).alias("items_sha256"))
-    hit = found.where("size(hits) > 0").select(id_col, "n_words", _digest_column()("n_words", "hits").alias("d"))
-    none = found.where("size(hits) = 0").select(id_col, "n_words", empty.alias("d"))
-    return hit.unionByName(none).select(id_col, "n_words", "d.*", (F.col("d.n_hit") > 0).alias("contaminated"))
-
-
-def _cut_column():
-    """The text without the bytes of hit words; what stood between two hit words goes with them."""
-
-    def cut(text: pd.Series, hits: pd.Series) -> pd.Series:
-        out = []
-        for s, spans in zip(text, hits):
-            if s is None or not len(spans):
-                out.append(s)
-                continue
-            words = T.Words(pa.array([s], pa.string()), T.NOT_ALNUM, lower=True)
-            edge = np.zeros(len(words) + 1, np.int64)
-            for x in spans:
-                edge[x["at"]] += 1
-                edge[x["at"] + x["n"]] -= 1
-            gone = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
-            raw = s.encode()
-            keep = np.ones(len(raw), bool)
-            runs = np.split(gone, np.flatnonzero(np.diff(gone) > 1) + 1)
-            for run in runs:
-                keep[words.start[run[0]] : words.end[run[-1]]] = False
-            out.append(np.frombuffer(raw, np.uint8)[keep].tobytes().decode())
-        return pd.Series(out, dtype=object)
-
-    return F.pandas_udf(cut, "string")
+    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
+    found = _found(rows, benchmark, "t", _digest, _DIGEST, size, max_windows)
+    return found.select(F.col("k").alias(id_col), "found.*", (F.col("found.n_hit") > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, drop_share: float = 0.5, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """The input without benchmark passages: hit spans are cut out; a document with at least `drop_share` of its words hit goes."""
-    row = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text_"))
-    found = with_hits(row, benchmark, "row", "text_", size, max_windows)
-    measured = found.select("row", "text_", "n_words", "hits", F.when(F.size("hits") > 0, _digest_column()("n_words", "hits")["n_hit"]).otherwise(0).alias("n_hit"))
-    cut = measured.where((F.col("n_hit") == 0) | (F.col("n_hit") < F.lit(drop_share) * F.col("n_words")))
-    new = cut.select("row", F.when(F.size("hits") > 0, _cut_column()("text_", "hits")).otherwise(F.col("text_")).alias("new"))
-    return new.select(*[F.col("new").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("t"))
+    found = _found(rows, benchmark, "t", _cut, _CUT, size, max_windows)
+    stay = found.where((F.col("found.n_hit") == 0) | (F.col("found.n_hit") < F.lit(drop_share) * F.col("found.n_words")))
+    return stay.select(*[F.col("found.kept").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
