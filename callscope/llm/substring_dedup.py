@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.llm import _text as T
-from callscope.llm._frames import kept
+from callscope.llm._frames import bounded, kept
 
 PERIOD = 31
 #: A perfect difference set modulo 31.
@@ -92,18 +92,19 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     copies = sigs.join(least, ["sig", "sig2"]).where("id > least").select("id", F.col("sig").bitwiseOR(F.lit(WHOLE)).alias("mark")).distinct()
     copied = copies.groupBy("id").agg(F.collect_list("mark").alias("marks"))
     anchors = texts.join(copied.hint("shuffle_hash"), "id", "left").select("id", "sig", "text", "marks").mapInArrow(_anchor_rows(anchor), "anchor long, id long, at int")
-    common = anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("anchor")
+    # grouped and joined apart: a join of plain shuffles can be split where a passage is in very many documents
+    common = kept(anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("anchor"))
     near = kept(anchors.join(common, "anchor").groupBy("id").agg(F.collect_list("at").alias("near")))
     around = texts.join(near.hint("shuffle_hash"), "id").select("id", "sig", "text", "near")
     windows = around.mapInArrow(_window_rows(min_words, anchor), "h long, c int, id long, mark long")
-    first = windows.groupBy("h", "c").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "c", "least")
+    first = kept(windows.groupBy("h", "c").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "c", "least"))
     found = windows.join(first, ["h", "c"]).where("id > least").select("id", "mark")
     return kept(found.unionByName(copies).groupBy("id").agg(F.collect_list("mark").alias("marks")))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, sig, text) of the rows with an id."""
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("sig"), F.col(text_col).alias("text"))
+    return bounded(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("sig"), F.col(text_col).alias("text"))
 
 
 def _cut_column(size: int, only_changed: bool):
