@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.llm import _text as T
-from callscope.llm._frames import components, kept
+from callscope.llm._frames import bounded, components, kept
 
 CYCLE = 4096
 SAMPLES = 16
@@ -177,7 +177,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     text = F.col(text_col).alias("text")
-    rows = docs.select(F.when(F.col(id_col).isNull(), F.lit(2**63 - 1)).otherwise(-F.col(id_col).cast("long")).alias("k"), F.col(id_col).cast("long").alias("id"), text)
+    rows = bounded(docs).select(F.when(F.col(id_col).isNull(), F.lit(2**63 - 1)).otherwise(-F.col(id_col).cast("long")).alias("k"), F.col(id_col).cast("long").alias("id"), text)
     total = rows.count()
     if not total:
         return spark.createDataFrame([], _OUT)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.llm import _text as T
-from callscope.llm._frames import kept
+from callscope.llm._frames import bounded, kept
 
 BUCKETS, TARGET, KEEP, SEED = 10_000, 5000, 0.5, 17
 
@@ -71,7 +71,7 @@ def importance(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         key = np.where(bits < 0, ~bits & np.int64(2**63 - 1), bits | np.int64(-(2**63)))  # unsigned order, sign bit moved below
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(row, minlength=batch.num_rows).astype(np.int64)), pa.array(total), pa.array(draw), pa.array(key.view(T.U) ^ T.U(1 << 63)).view(pa.int64())], ["k", "n_ngrams", "log_importance", "draw", "key"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = bounded(docs).schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text"), F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("noise"))
     scored = kept(rows.mapInArrow(T.mapped(score), f"k {kind}, n_ngrams long, log_importance double, draw double, key long"))
     cut = largest_cut(scored, "key", int(round(keep * scored.count())))

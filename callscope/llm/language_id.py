@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.llm import _text as T
+from callscope.llm._frames import bounded
 
 HIDDEN, SEGMENT = 6, 128
 SAMPLE, PIECES, TRAIN_BYTES, EPOCHS, BATCH = 4000, 2, 64, 8, 256
@@ -192,5 +193,5 @@ def predict_column(names: list[str], net: Network | None):
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id, held_out, lang_pred, score, label_share) per row."""
-    names, net = train(docs, id_col, text_col, lang_col)
+    names, net = train(bounded(docs), id_col, text_col, lang_col)
     return docs.select(id_col, (F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2).alias("held_out"), predict_column(names, net)(F.col(text_col)).alias("p")).select(id_col, "held_out", "p.*")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.llm import _text as T
-from callscope.llm._frames import components, kept
+from callscope.llm._frames import bounded, components, kept
 
 SIZE, PERCENT = 5, 75
 TABLES, ROWS = 16, 2
@@ -159,7 +159,7 @@ def _block_links(percent: int):
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, tables: int = TABLES, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """One row (id, n_shingles, component_id, kept) per document; component_id is the smallest id reachable by links."""
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = bounded(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = kept(texts.mapInArrow(_sketch_rows(size, tables, rows), "id long, n long, s1 long, s2 long, keys array<long>"))
     one = sketch.groupBy("id").agg(F.min(F.struct("s1", "s2", "n")).alias("m")).select("id", "m.*")
     least = one.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("cls"))

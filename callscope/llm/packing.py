@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.llm import _text as T
-from callscope.llm._frames import kept
+from callscope.llm._frames import bounded, kept
 
 LENGTH, OPEN, GROUP, END = 2048, 16, 64, 1
 #: Punctuation that the tokenizer always cuts off a word's end; apostrophes and what may begin a special token are left out.
@@ -40,10 +40,11 @@ class Encoder:
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its words in turn. New words of
     letters only are encoded together, a space between them: each is one piece, whose last token bears the word-end mark. Other
-    words have a special token between them, and words that hold '<|' are encoded alone. Known words are kept, KEEP at most.
+    words have a special token between them, and words that hold '<|' are encoded alone. Known words are kept in two generations of KEEP words at most: a word that is met again
+    moves to the younger one, and the older one goes when the younger is full, so that rare words leave and frequent ones stay.
     """
 
-    KEEP = 800_000
+    KEEP = 60_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,6 +55,7 @@ class Encoder:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
@@ -71,9 +73,15 @@ class Encoder:
         return []
 
     def words(self, words: list[str]) -> list[bytes]:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.KEEP:
-            self.known, new = {}, words
+        if len(self.known) > self.KEEP:
+            self.older, self.known = self.known, {}
+        known, older, new = self.known, self.older, []
+        for w in words:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
         # a word is often a known stem with punctuation or a capital: the tokenizer lower-cases and always cuts there
         made, letters, others = [], {}, []
         for w in new:
@@ -81,8 +89,11 @@ class Encoder:
             stem = bare.lower() if bare.isascii() else bare
             if stem.isalpha() and stem.lower().isalpha():
                 rest = w[len(stem) :]
-                if stem not in self.known:
-                    letters[stem] = None
+                if stem not in known:
+                    if stem in older:
+                        known[stem] = older[stem]
+                    else:
+                        letters[stem] = None
                 if stem != w:
                     made.append((w, stem, rest))
                     if rest and rest not in self.known:
@@ -217,7 +228,7 @@ def _pack_rows(path: str, length: int, room: int, end: int):
         part = TaskContext.get().partitionId()
         own_encoder, packer = encoder(path), _Packer(length, room, part << 32)
         for batch in batches:
-            for piece in T.slices(batch, limit=4 << 20):
+            for piece in T.slices(batch, limit=2 << 20):
                 ids, offsets = own_encoder.texts(piece.column(1))
                 rows = []
                 for i, doc in enumerate(piece.column(0).to_pylist()):
@@ -244,7 +255,7 @@ def _merge_rows(length: int, group: int):
 
 def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, room: int = OPEN, group: int = GROUP, end: int = END) -> DataFrame:
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = bounded(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     packed = kept(rows.mapInArrow(_pack_rows(path or tokenizer_path(), length, room, end), _SCHEMA))  # once: both branches must see the same windows
     last = packed.where("ids is not null").groupBy(F.floor(F.col("part") / F.lit(group)).alias("merge")).applyInArrow(_merge_rows(length, group), _SCHEMA)
     return packed.where("ids is null").unionByName(last).drop("part", "ids")

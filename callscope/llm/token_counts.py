@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.llm import _text as T
+from callscope.llm._frames import bounded
 
 MARK = "▁"
 BYTE_SCORE = -16.0
@@ -111,7 +112,7 @@ class Model:
 
 def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_tokens, log_score) per row."""
-    shared = docs.sparkSession.sparkContext.broadcast(Model(unigram_scores(path or model_path())))  # the vocabulary, some MB
+    shared = bounded(docs).sparkSession.sparkContext.broadcast(Model(unigram_scores(path or model_path())))  # the vocabulary, some MB
 
     def count(col: pa.Array) -> pa.Array:
         words = T.Words(col)

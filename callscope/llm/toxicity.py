@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.llm import _text as T
+from callscope.llm._frames import bounded
 
 BITS = 18
 SAMPLE = 6000
@@ -111,7 +112,7 @@ def fit(y: np.ndarray, x: list, swap: list, penalty: float = PENALTY, min_z: flo
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, held_out: bool = True) -> tuple[float, np.ndarray]:
     """Fits on at most `sample` labelled rows, never on those whose crc32(id) mod 4 is 2 (unless held_out is False)."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    known = bounded(labels).where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if held_out:
         known = known.where(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2)
     picked = known.select(F.col(id_col), F.col(label_col).cast("double").alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(sample)
