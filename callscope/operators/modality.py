@@ -265,30 +265,46 @@ def tail_diagnosis(df: DataFrame, column: str, h: float = 0.25, cut: float = 0.0
     return {"raw_modes": count_modes(df, column, h), "winsorised_modes": count_modes(clipped, column, h), "far_share": far}
 
 
-def pairwise_distances(df: DataFrame, columns: list[str], bins: int = 512, max_rows: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """(centres, counts) of all distances between rows of a unit table, block against block; tables above max_rows are refused."""
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"{n} rows; pairwise distances are for unit tables of at most {max_rows}")
-    points = np.array([[float(r[c]) for c in columns] for r in df.select(*columns).collect()])  # at most max_rows, as checked
-    top = 2 * np.sqrt(((points - points.mean(0)) ** 2).sum(1)).max() + 1e-9
-    size = 500
-    blocks = -(-n // size)
-    shared = df.sparkSession.sparkContext.broadcast(points)
-
-    def count(batches):
-        for pdf in batches:
-            total = np.zeros(bins, np.int64)
-            for k in pdf["id"]:
-                i, j = divmod(int(k), blocks)
-                if j >= i:
-                    a, b = shared.value[i * size : (i + 1) * size], shared.value[j * size : (j + 1) * size]
-                    d = np.sqrt(np.clip((a**2).sum(1)[:, None] + (b**2).sum(1) - 2 * a @ b.T, 0, None))
-                    d = d[np.triu_indices(len(a), 1)] if i == j else d.ravel()
-                    total += np.bincount(np.minimum((d / top * bins).astype(int), bins - 1), minlength=bins)
-            yield pd.DataFrame({"b": np.arange(bins), "n": total})
-
-    rows = df.sparkSession.range(blocks * blocks).mapInPandas(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).collect()
+def pairwise_distances(df: DataFrame, columns: list[str], bins: int = 512, max_rows: int | None = None, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, counts) of the distances of all pairs of complete rows; work grows with the square of the rows.
+
+    Equal points become one with a weight. Points are dealt by hash over blocks of about `block`, each meets every block once,
+    and a task sees two blocks; only `bins` sums reach the driver. A caller that can't afford the square may state max_rows.
+    """
+    points = df.dropna(subset=columns).select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    x = [f"x{i}" for i in range(len(columns))]
+    sized = points.groupBy(*x).agg(F.count(F.lit(1)).alias("w"))
+    s = sized.agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("distinct"), *[(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c) for c in x]).first()
+    if max_rows is not None and (s["n"] or 0) > max_rows:
+        raise ValueError(f"{s['n']} rows; at most {max_rows} were allowed")
+    if not s["n"]:
+        return np.zeros(bins), np.zeros(bins)
+    middle = [s[c] for c in x]
+    top = 2 * math.sqrt(sized.agg(F.max(sum(((F.col(c) - F.lit(m)) ** 2 for c, m in zip(x, middle)), F.lit(0.0)))).first()[0]) + 1e-9
+    blocks = -(-s["distinct"] // block)
+    own = sized.select(*[(F.col(c) - F.lit(m)).alias(c) for c, m in zip(x, middle)], "w", F.pmod(F.xxhash64(*x), F.lit(blocks)).cast("int").alias("own"))
+    met = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select(*x, "w", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, w, inside = pdf[x].to_numpy(float), pdf["w"].to_numpy(float), (pdf["own"] == pdf["p"]).to_numpy()
+        same = pdf["p"].iat[0] == pdf["q"].iat[0]
+        a, wa = at[inside], w[inside]
+        b, wb = (a, wa) if same else (at[~inside], w[~inside])
+        total = np.zeros(bins)
+        for lo in range(0, len(a), 256):
+            part = a[lo : lo + 256]
+            d = np.sqrt(np.clip((part**2).sum(1)[:, None] + (b**2).sum(1) - 2 * part @ b.T, 0, None))
+            weight = wa[lo : lo + 256, None] * wb
+            if same:  # each pair once
+                weight = np.triu(weight, lo + 1)
+            total += np.bincount(np.minimum((d / top * bins).astype(int), bins - 1).ravel(), weight.ravel(), bins)
+        if same:
+            total[0] += (wa * (wa - 1) / 2).sum()
+        seen = np.flatnonzero(total)
+        return pd.DataFrame({"b": seen.astype("int32"), "n": np.rint(total[seen]).astype("int64")})
+
+    met = met.repartition(min(blocks * (blocks + 1) // 2, 10_000), "p", "q")  # few bytes, much work: not to be coalesced
+    rows = met.groupBy("p", "q").applyInPandas(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(bins)
     for r in rows:
         counts[r["b"]] = r["n"]

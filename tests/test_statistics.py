@@ -150,3 +150,22 @@ def test_classifier(spark):
     a = classify.admission(out, 0.9).first()
     assert out.count() == 240 and a["f1"] == 1.0 and a["admitted"]
     assert classify.top_features(classify.fit(d, ["x"]), 3)[0][0] in {"yeah", "right", "<s> yeah", "yeah right", "we", "<s> we", "went", "we went", "to", "town", "times", "to town", "went to"}
+
+
+def test_pairwise_distances_of_all_rows(spark):
+    r = np.random.default_rng(8)
+    x = np.concatenate([r.normal(size=(300, 2)), np.tile([[0.5, -0.5]], (40, 1))])
+    at, c = modality.pairwise_distances(frame(spark, x, "xy"), ["x", "y"], block=64)
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))[np.triu_indices(340, 1)]
+    edges = np.append(at - (at[1] - at[0]) / 2, at[-1] + (at[1] - at[0]) / 2)
+    assert c.sum() == 340 * 339 / 2 and np.abs(np.cumsum(c) - np.cumsum(np.histogram(d, edges)[0])).max() <= 2
+    many = spark.range(20_500).select((F.col("id") % 50).cast("double").alias("x"), (F.col("id") % 41).cast("double").alias("y"))
+    assert modality.pairwise_distances(many, ["x", "y"])[1].sum() == 20_500 * 20_499 / 2
+
+
+def test_distance_dip_takes_every_unit(spark):
+    from callscope.plans import statistics
+
+    sf = "/root/testdata/sf0.1"
+    n = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct().count()
+    assert statistics.ml_distance_dip(spark, sf).first()["n_pairs"] == n * (n - 1) // 2
