@@ -337,35 +337,74 @@ def hopkins(df: DataFrame, columns: list[str], probes: int = 50, seed: int = 0)
     return total[0] / (total[0] + total.get(1, 0.0))
 
 
+def reference_dispersions(spark: SparkSession, widths: list[float], n: int, ks: list[int], replicates: int, seed: int = 0, steps: int = 30, slice_rows: int = 1 << 16) -> np.ndarray:
+    """Within-cluster dispersions (replicate x k) of `replicates` uniform boxes of n rows, by k-means from k of the rows.
+
+    Rows are made again in each step, slice by slice over tasks; the driver holds replicates * sum(ks) centres only.
+    """
+    p, slices = len(widths), -(-n // slice_rows)
+    which = np.repeat(np.arange(len(ks)), ks)  # the k of each centre
+    first = np.concatenate([[0], np.cumsum(ks)])
+
+    def rows_of(r: int, s: int) -> np.ndarray:
+        return (np.random.default_rng([seed, r, s]).random((min(slice_rows, n - s * slice_rows), p)) - 0.5) * np.array(widths)
+
+    def sums(centres: dict):
+        def run(batches):
+            for pdf in batches:
+                out = []
+                for i in pdf["id"]:
+                    r, s = divmod(int(i), slices)
+                    x = rows_of(r, s)
+                    square = (x**2).sum(1)
+                    for j, own in enumerate(centres[r]):
+                        near = ((own**2).sum(1) - 2 * x @ own.T).argmin(1)
+                        size = np.bincount(near, minlength=len(own))
+                        total = np.stack([np.bincount(near, x[:, c], len(own)) for c in range(p)], 1)
+                        ss = np.bincount(near, square, len(own))
+                        out += [(r, int(first[j]) + m, int(size[m]), float(ss[m]), total[m].tolist()) for m in range(len(own))]
+                yield pd.DataFrame(out, columns=["r", "m", "n", "ss", "total"])
+
+        tasks = spark.range(0, replicates * slices, 1, max(1, min(replicates * slices, max(2 * spark.sparkContext.defaultParallelism, replicates * slices // 16))))
+        parts = tasks.mapInPandas(run, "r int, m int, n long, ss double, total array<double>")
+        return parts.groupBy("r", "m").agg(F.sum("n").alias("n"), F.sum("ss").alias("ss"), *[F.sum(F.get("total", F.lit(c))).alias(f"t{c}") for c in range(p)]).collect()
+
+    start = {r: rows_of(r, 0)[: max(ks)] for r in range(replicates)}
+    centres = {r: [x[:k] for k in ks] for r, x in start.items()}
+    out = np.zeros((replicates, len(ks)))
+    for _ in range(steps):
+        out[:] = 0
+        new = {r: [c.copy() for c in own] for r, own in centres.items()}
+        for q in sums(centres):
+            j = which[q["m"]]
+            if q["n"]:
+                total = np.array([q[f"t{c}"] for c in range(p)])
+                new[q["r"]][j][q["m"] - first[j]] = total / q["n"]
+                out[q["r"], j] += q["ss"] - (total**2).sum() / q["n"]
+        moved = any(not np.allclose(a, b, rtol=0, atol=1e-9) for r in new for a, b in zip(new[r], centres[r]))
+        centres = new
+        if not moved:
+            break
+    return out
+
+
 def gap_statistic(df: DataFrame, columns: list[str], ks=range(1, 7), replicates: int = 10, seed: int = 0) -> tuple[int, DataFrame]:
-    """(chosen k, table of k, log_dispersion, gap, error): within-cluster dispersion against uniform boxes, replicates over tasks.
+    """(chosen k, table of k, log_dispersion, gap, error): within-cluster dispersion against uniform boxes of as many rows.
 
     k is the least with gap(k) >= gap(k + 1) - error(k + 1).
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    spark = df.sparkSession
+    spark, ks = df.sparkSession, list(ks)
     v = VectorAssembler(inputCols=columns, outputCol="features").transform(df).select("features").cache()
     n = v.count()
     whole = df.agg(*[F.var_pop(c).alias(c) for c in columns]).first()
     cost = lambda k: KMeans(k=k, seed=seed).fit(v).summary.trainingCost if k > 1 else n * sum(whole)
     seen = [math.log(cost(k) + 1e-12) for k in ks]
     v.unpersist()
-    box = df.agg(*[x for c in columns for x in (F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi"))]).first()
-    m = min(n, 2000)
-
-    def dispersion(r, k):
-        x = np.stack([r.uniform(box[f"{c}_lo"], box[f"{c}_hi"], m) for c in columns], 1)
-        centres = x[r.choice(m, k, replace=False)]
-        for _ in range(30):
-            near = ((x[:, None] - centres) ** 2).sum(2).argmin(1)
-            centres = np.stack([x[near == j].mean(0) if (near == j).any() else centres[j] for j in range(k)])
-        return math.log(((x - centres[near]) ** 2).sum() * n / m + 1e-12)
-
-    rows = []
-    for i, k in enumerate(ks):
-        e = replicate(spark, replicates, lambda r, k=k: dispersion(r, k), seed + k).agg(F.avg("value").alias("a"), F.stddev_pop("value").alias("s")).first()
-        rows.append((int(k), seen[i], e["a"] - seen[i], e["s"] * math.sqrt(1 + 1 / replicates)))
+    box = df.agg(*[(F.max(c) - F.min(c)).cast("double").alias(c) for c in columns]).first()
+    e = np.log(reference_dispersions(spark, list(box), n, ks, replicates, seed) + 1e-12)
+    rows = [(int(k), seen[i], float(e[:, i].mean()) - seen[i], float(e[:, i].std()) * math.sqrt(1 + 1 / replicates)) for i, k in enumerate(ks)]
     chosen = next((a[0] for a, b in zip(rows, rows[1:]) if a[2] >= b[2] - b[3]), rows[-1][0])
     return chosen, spark.createDataFrame(rows, "k int, log_dispersion double, gap double, error double")

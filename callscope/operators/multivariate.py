@@ -74,15 +74,26 @@ def loadings_table(spark: SparkSession, model: dict) -> DataFrame:
 
 
 def parallel_analysis(spark: SparkSession, values: np.ndarray, n: int, replicates: int = 500, quantile: float = 0.95, seed: int = 0) -> tuple[int, np.ndarray]:
-    """(K, thresholds): leading eigenvalues above the quantile of those of normal noise of the same size; replicates are spread over tasks."""
+    """(K, thresholds): leading eigenvalues above the quantile of those of normal noise of the same size; replicates are spread over tasks.
+
+    The noise's cross products are drawn as a Wishart matrix of n - 1 degrees (Bartlett's triangle), so a draw costs the same for any n > p.
+    """
     p = len(values)
+    below = np.tril_indices(p, -1)
 
     def draw(batches):
         for pdf in batches:
             out = []
             for r in pdf["id"]:
-                x = np.random.default_rng([seed, int(r)]).normal(size=(n, p))
-                out.append(np.sort(np.linalg.eigvalsh(np.corrcoef(x, rowvar=False)))[::-1] * n / (n - 1))
+                g = np.random.default_rng([seed, int(r)])
+                if n > p:
+                    half = np.diag(np.sqrt(g.chisquare(n - 1 - np.arange(p))))
+                    half[below] = g.normal(size=len(below[0]))
+                    cross = half @ half.T
+                    corr = cross / np.sqrt(np.outer(np.diag(cross), np.diag(cross)))
+                else:
+                    corr = np.corrcoef(g.normal(size=(n, p)), rowvar=False)
+                out.append(np.sort(np.linalg.eigvalsh(corr))[::-1] * n / (n - 1))
             yield pd.DataFrame([(j, v) for e in out for j, v in enumerate(e)], columns=["place", "value"])
 
     noise = spark.range(0, replicates, 1, max(1, min(replicates, spark.sparkContext.defaultParallelism * 2))).mapInPandas(draw, "place long, value double")

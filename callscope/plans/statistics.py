@@ -71,7 +71,7 @@ def scl_l2_normalise(spark, sf_dir):
 @query(None)
 def ml_parallel_analysis(spark, sf_dir):
     m = multivariate.pca(_customers(spark, sf_dir), ["n", "price", "top", "noise"])
-    k, cut = multivariate.parallel_analysis(spark, m["values"], min(m["n"], 2000), 100)
+    k, cut = multivariate.parallel_analysis(spark, m["values"], m["n"], 100)
     return spark.createDataFrame([(i + 1, float(v), float(c), i < k) for i, (v, c) in enumerate(zip(m["values"], cut))], "component int, eigenvalue double, threshold double, kept boolean")
 
 

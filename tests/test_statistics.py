@@ -169,3 +169,25 @@ def test_distance_dip_takes_every_unit(spark):
     sf = "/root/testdata/sf0.1"
     n = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct().count()
     assert statistics.ml_distance_dip(spark, sf).first()["n_pairs"] == n * (n - 1) // 2
+
+
+def test_null_distributions_have_the_tables_size(spark):
+    # errors of the reference dispersions fall with the rows: 16 times the rows, about a quarter of the spread
+    small, large = (np.log(modality.reference_dispersions(spark, [1.0, 2.0], n, [1, 2], 40, slice_rows=5000)) for n in (2000, 32_000))
+    assert 0.12 < large[:, 0].std() / small[:, 0].std() < 0.45
+    assert np.allclose(np.exp(large[:, 0]).mean() / 32_000, 5 / 12, rtol=0.01) and np.allclose(np.exp(large[:, 1]).mean() / 32_000, 2 / 12, rtol=0.03)
+    uniform = spark.range(20_000).select((F.rand(3) * 1.0).alias("x"), (F.rand(4) * 1.0).alias("y")).cache()
+    assert modality.gap_statistic(uniform, ["x", "y"], [1, 2], 20)[1].where("k = 1").first()["error"] < 0.006  # 0.014 at 2,000 rows
+    # Horn: the threshold above 1 falls with the square root of the rows, and equals that of drawn rows
+    _, cut = multivariate.parallel_analysis(spark, np.ones(4), 400, 4000)
+    r = np.random.default_rng(9)
+    rows = np.array([np.sort(np.linalg.eigvalsh(np.corrcoef(r.normal(size=(400, 4)), rowvar=False)))[::-1] for _ in range(4000)]) * 400 / 399
+    assert np.abs(cut - np.quantile(rows, 0.95, axis=0)).max() < 0.01
+    assert multivariate.parallel_analysis(spark, np.ones(4), 4_000_000, 50)[1][0] < 1.003
+
+
+def test_parallel_analysis_query_uses_every_unit(spark):
+    from callscope.plans import statistics
+
+    top = [r["threshold"] for r in statistics.ml_parallel_analysis(spark, "/root/testdata/sf0.1").orderBy("component").collect()]
+    assert top[0] < 1.03  # about 1.05 for 2,000 rows of noise
