@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 KEY = ["call_id", "side", "utt_num"]
 FILE, TRANSCRIPT = "Utterance File Name", "Transcript"
-_FILE_RE = r"^\d{3}/sw(\d{4})([AB])-U(\d{4,})\.wav$"
+_FILE_RE = r"^\d{3,}/sw(\d{4,})([AB])-U(\d{4,})\.wav$"
 FAMILIES = ("volume", "interactional", "tannen", "prosody", "meta")
 LEVELS = {"validated": ("Trusted",), "provisional": ("Trusted", "WIP"), "all": ("Trusted", "WIP", "Deprecated")}
 

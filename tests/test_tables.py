@@ -158,3 +158,13 @@ def test_units(spark):
     assert units.complete(df, ["x"]).count() == 3
     rules = quality.audit(df, {"big": "x > 50", "null_is_no_breach": "fto > 4"})
     assert {x["rule"]: x["n_violations"] for x in rules.collect()} == {"big": 2, "null_is_no_breach": 1}
+
+
+def test_keys_of_large_calls(spark):
+    u = spark.createDataFrame([(9999, "A", 7, "a", 0.0, 1.0), (10_000, "B", 12_345, "b", 0.0, 1.0), (1_234_567, "A", 1, "c", 0.0, 1.0)], KEYS + ", text string, start double, end double")
+    m = tables.build_manifest(u)
+    k = tables.parse_key(F.col("`Utterance File Name`"))
+    assert [tuple(r) for r in m.select(*k.values()).orderBy("call_id").collect()] == [(9999, "A", 7, "sw9999A"), (10_000, "B", 12_345, "sw10000B"), (1_234_567, "A", 1, "sw1234567A")]
+    assert tables.pending_units(u.select("call_id", "side"), m).count() == 0
+    audio = m.select(F.col("`Utterance File Name`").alias("file"), F.lit(1.0).alias("seconds"))
+    assert tables.verify_durations(m, audio, u, 10, 1).where("reason is not null").count() == 0
