@@ -30,6 +30,7 @@ CYCLE = 4096
 SAMPLES = 16
 LANES = 384
 BANDS, BAND_SYMBOLS = 16, 4
+BLOCK = 128
 #: Ranges of ids, at most; bounds what the driver holds and broadcasts, a row of 16 bytes each.
 MAX_BLOCKS = 20_000
 _R = np.random.default_rng(424242)
@@ -214,11 +215,52 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.9) -> DataFrame:
+def _close(x: str, y: str, similarity: float) -> bool:
+    most = (1 - similarity) * max(len(x), len(y))
+    return abs(len(x) - len(y)) <= most and edit_distance(x, y) <= most
+
+
+def _block_links(similarity: float):
+    """Links between the rows (region, p, q, side, id, component, keys, text) of one block pair; a block with itself has side 0 only.
+
+    Only pairs with a common key and of different components are judged, and none that the links so far have joined.
+    """
+
+    def links(table: pa.Table) -> pa.Table:
+        side, ids, comp, keys, texts = (table[c].to_pylist() for c in ("side", "id", "component", "keys", "text"))
+        inner = 1 not in side
+        by_key: dict[int, tuple[list[int], list[int]]] = {}
+        for i, own in enumerate(keys):
+            for k in own:
+                by_key.setdefault(k, ([], []))[side[i]].append(i)
+        parent = {c: c for c in comp}
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        judged, out = set(), []
+        for left, right in by_key.values():
+            for i in left:
+                for j in left if inner else right:
+                    if (inner and i >= j) or (i, j) in judged or root(comp[i]) == root(comp[j]):
+                        continue
+                    judged.add((i, j))
+                    if _close(texts[i], texts[j], similarity):
+                        out.append((ids[i], ids[j]))
+                        parent[root(comp[i])] = root(comp[j])
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return links
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.9, block: int = BLOCK) -> DataFrame:
     """(id, component_id): documents linked by a common band and an edit distance of at most (1 - similarity) * length.
 
     Equal texts are one class. A band is a choice of BAND_SYMBOLS sampled symbols of one octave, with the octave; each band's
-    members meet its smallest id, which is confirmed on the texts; no pairs inside a band are made.
+    members meet its smallest id, which is confirmed on the texts. Members of bands that still hold several components are then
+    compared across components, in pairs of blocks of about `block` texts; a pair is judged once, however many bands it shares.
     """
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     same = texts.groupBy(F.sha2("text", 256).alias("sig")).agg(F.min("id").alias("cls"))
@@ -243,10 +285,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     keys = kept(reps.mapInArrow(T.mapped(bands), "id long, key string"))
     centre = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
-    pairs = keys.join(centre, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
-    confirm = F.udf(lambda x, y: abs(len(x) - len(y)) <= (1 - similarity) * max(len(x), len(y)) and edit_distance(x, y) <= (1 - similarity) * max(len(x), len(y)), "boolean")
+    members = keys.join(centre, "key")
+    pairs = kept(members.where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    confirm = F.udf(lambda x, y: _close(x, y, similarity), "boolean")
     left, right = reps.select(F.col("id").alias("a"), F.col("text").alias("x")), reps.select(F.col("id").alias("b"), F.col("text").alias("y"))
-    links = pairs.join(left, "a").join(right, "b").where(confirm("x", "y")).select("a", "b")
-    found = components(links)
-    out = member.join(found.select(F.col("id").alias("cls"), "component"), "cls", "left")
+    links = kept(pairs.join(left, "a").join(right, "b").where(confirm("x", "y")).select("a", "b"))
+    found = kept(components(links))
+
+    # bands that hold several components: their members are compared across components
+    named = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    open_docs = named.join(mixed, "key").groupBy("id", "component").agg(F.collect_set(F.xxhash64("key")).alias("keys"))  # a few bands an octave
+    region = components(pairs).select("id", F.col("component").alias("region"))
+    inside = kept(open_docs.join(region, "id"))
+    count = inside.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int").alias("blocks"))
+    placed = inside.join(count, "region").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).join(reps, "id")
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("region", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"), "id", "component", "keys", "text")
+    more = spread.groupBy("region", "p", "q").applyInArrow(_block_links(similarity), "a long, b long")
+    final = components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
+    out = member.join(final.select(F.col("id").alias("cls"), "component"), "cls", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("component", "cls").alias("component_id"))

@@ -454,6 +454,19 @@ def test_fingerprint_near_duplicates(spark):
     assert got[30] == 30 == got[31]
 
 
+def test_fingerprint_bands_with_several_components(spark):
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("abcdefghijklm ") for _ in range(n))
+    template, near = word(300), word(500)
+    # the bands that 1 and 2 share lie in the template and are headed by 0, which is like neither: an edit every 14 characters breaks the others
+    edits = "".join(near[i : i + 14] + "x" for i in range(0, 500, 14))[:500]
+    assert fingerprint.edit_distance(template + near, template + edits) <= 80
+    rows = [(0, template + word(500)), (1, template + near), (2, template + edits), (3, template + word(500))]
+    for block in (128, 1):
+        got = {x["doc_id"]: x["component_id"] for x in fingerprint.near_duplicates(frame(spark, rows), block=block).collect()}
+        assert got == {0: 0, 1: 1, 2: 1, 3: 3}
+
+
 def test_importance(spark):
     r = random.Random(11)
     rows = [(i, " ".join(f"{'g' if i % 2 else 'b'}{r.randrange(40)}" for _ in range(30))) for i in range(400)] + [(900, None), (901, "")]
