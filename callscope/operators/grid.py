@@ -25,34 +25,70 @@ def unit_tables(df: DataFrame, rules: dict[str, Column], transforms: dict, unit_
     return out.groupBy("rule", "transform", "unit", "id").agg(F.count(F.lit(1)).alias("n_sub"), *[F.avg(c).alias(c) for c in features])
 
 
-def specifications(tables: DataFrame, minimums: list[int], feature_sets: dict[str, list[str]]) -> DataFrame:
+BANDWIDTHS = (0.25, 0.4, 0.6)
+BINS = 512
+
+
+def specifications(tables: DataFrame, minimums: list[int], feature_sets: dict[str, list[str]], replicates: int = 199) -> DataFrame:
     """(rule, transform, unit, min_utt, feature_set, n_units, dip, dip_p, modes, delta_bic, skewness, unimodal): the first component of each choice.
 
-    A task sees one choice's unit table, which is small.
+    modes is the largest count over BANDWIDTHS. Moments and bins of the component are grouped in Spark: the driver holds a row
+    of moments a choice, and a task sees one choice's BINS counts.
     """
     names = ["rule", "transform", "unit", "min_utt", "feature_set"]
-    features = [c for c in tables.columns if c not in ("rule", "transform", "unit", "id", "n_sub")]
-    rows = tables.select("*", F.explode(F.array(*map(F.lit, minimums))).alias("min_utt")).where("n_sub >= min_utt").select("*", F.explode(F.array(*map(F.lit, feature_sets))).alias("feature_set"))
+    features = list(dict.fromkeys(c for cols in feature_sets.values() for c in cols))
+    f = [f"f{i}" for i in range(len(features))]
+    rows = None
+    for name, cols in feature_sets.items():
+        full = F.lit(True)
+        for c in cols:
+            full = full & F.col(c).isNotNull() & ~F.isnan(c)
+        own = tables.select("rule", "transform", "unit", "n_sub", F.lit(name).alias("feature_set"), *[F.when(full, F.col(c).cast("double") if c in cols else F.lit(0.0)).alias(x) for c, x in zip(features, f)])
+        rows = own if rows is None else rows.unionByName(own)
+    rows = rows.select("*", F.explode(F.array(*map(F.lit, minimums))).alias("min_utt")).where("n_sub >= min_utt")
+
+    pairs = [(i, j) for i in range(len(f)) for j in range(i, len(f))]
+    found = rows.groupBy(*names).agg(F.count("f0").alias("n"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(f)], *[F.covar_pop(f[i], f[j]).alias(f"c{i}_{j}") for i, j in pairs]).collect()
+    empty, models = [], []
+    for q in found:
+        at = [features.index(c) for c in feature_sets[q["feature_set"]]]
+        cov = np.array([[q[f"c{min(i, j)}_{max(i, j)}"] for j in at] for i in at], float)
+        if q["n"] < 10 or not (np.diag(cov) > 0).all():
+            empty.append((*[q[k] for k in names], q["n"]))
+            continue
+        sd = np.sqrt(np.diag(cov))
+        corr = cov / np.outer(sd, sd)
+        w = np.linalg.eigh(corr)[1][:, -1] if len(at) > 1 else np.ones(1)
+        w = w / np.sqrt(w @ corr @ w) / sd  # the score has spread 1
+        whole = np.zeros(len(f))
+        whole[at] = w
+        models.append((*[q[k] for k in names], [float(v) for v in whole], float(sum(v * q[f"m{i}"] for v, i in zip(w, at)))))
+    spark = tables.sparkSession
+    kinds = "rule string, transform string, unit string, min_utt int, feature_set string"
+    schema = f"{kinds}, n_units long, dip double, dip_p double, modes int, delta_bic double, skewness double, unimodal boolean"
+    rest = spark.createDataFrame([(*e, *[None] * 6) for e in empty], schema)
+    columns = rest.columns
+    if not models:
+        return rest
+    scored = rows.where("f0 is not null").join(F.broadcast(spark.createDataFrame(models, f"{kinds}, w array<double>, c double")), names)  # a row a choice
+    scored = scored.select(*names, (sum((F.get("w", F.lit(i)) * F.col(x) for i, x in enumerate(f)), F.lit(0.0)) - F.col("c")).alias("v"))
+    range_ = scored.groupBy(*names).agg(F.min("v").alias("low"), (F.max("v") + 1e-9).alias("high"), F.skewness("v").alias("skewness"))
+    bin_ = F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * BINS)).cast("int")
+    bins = scored.join(range_, names).groupBy(*names, "low", "high", "skewness", bin_.alias("b")).agg(F.count(F.lit(1)).alias("n"))
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[feature_sets[key[4]]].dropna().to_numpy(float)
-        empty = pd.DataFrame([(*key, len(x), None, None, None, None, None, None)], columns=[*names, "n_units", "dip", "dip_p", "modes", "delta_bic", "skewness", "unimodal"])
-        if len(x) < 10 or (x.std(0) == 0).any():
-            return empty
-        z = (x - x.mean(0)) / x.std(0)
-        score = z @ np.linalg.eigh(np.corrcoef(z, rowvar=False))[1][:, -1] if z.shape[1] > 1 else z[:, 0]
-        score = (score - score.mean()) / score.std()
-        edges = np.linspace(score.min(), score.max() + 1e-9, 513)
-        at, counts = (edges[:-1] + edges[1:]) / 2, np.histogram(score, edges)[0].astype(float)
+        counts = np.zeros(BINS)
+        counts[pdf["b"].to_numpy()] = pdf["n"].to_numpy()
+        edges = np.linspace(pdf["low"].iat[0], pdf["high"].iat[0], BINS + 1)
+        at = (edges[:-1] + edges[1:]) / 2
         stat, n = modality.dip(at, counts), int(counts.sum())
         r = np.random.default_rng(0)
-        p = (1 + sum(modality.dip(at, r.multinomial(n, np.full(len(at), 1 / len(at))).astype(float)) >= stat for _ in range(39))) / 40
-        modes = modality.prominent_modes(modality.smooth(at, counts, 0.4))
+        p = (1 + sum(modality.dip(at, r.multinomial(n, np.full(BINS, 1 / BINS)).astype(float)) >= stat for _ in range(replicates))) / (replicates + 1)
+        modes = max(modality.prominent_modes(modality.smooth(at, counts, h)) for h in BANDWIDTHS)
         bic = lambda k: (3 * k - 1) * np.log(n) - 2 * modality.em(at, counts, k)[0]
-        return pd.DataFrame([(*key, n, stat, p, modes, bic(2) - bic(1), float((score**3).mean()), bool(p > 0.05 and modes == 1))], columns=empty.columns)
+        return pd.DataFrame([(*key, n, stat, p, modes, bic(2) - bic(1), float(pdf["skewness"].iat[0]), bool(p > 0.05 and modes == 1))], columns=columns)
 
-    schema = "rule string, transform string, unit string, min_utt int, feature_set string, n_units long, dip double, dip_p double, modes int, delta_bic double, skewness double, unimodal boolean"
-    return rows.groupBy(*names).applyInPandas(one, schema)
+    return bins.repartition(len(models), *names).groupBy(*names).applyInPandas(one, schema).unionByName(rest)
 
 
 def ranked(specs: DataFrame) -> DataFrame:

@@ -191,3 +191,21 @@ def test_parallel_analysis_query_uses_every_unit(spark):
 
     top = [r["threshold"] for r in statistics.ml_parallel_analysis(spark, "/root/testdata/sf0.1").orderBy("component").collect()]
     assert top[0] < 1.03  # about 1.05 for 2,000 rows of noise
+
+
+def test_grid_takes_the_most_modes_of_three_bandwidths(spark):
+    from statistics import NormalDist
+
+    from callscope.operators import grid
+
+    half = [NormalDist(0, 0.75).inv_cdf((i + 0.5) / 1000) for i in range(1000)]
+    x = np.array([v - 1 for v in half] + [v + 1 for v in half])
+    rows = [("r", "t", "u", str(i), 5, float(v), None if i == 0 else float(v + i % 7)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "rule string, transform string, unit string, id string, n_sub long, a double, b double")
+    got = {q["feature_set"]: q for q in grid.specifications(df, [3], {"one": ["a"], "both": ["a", "b"]}, replicates=19).collect()}
+    assert got["one"]["modes"] == 2 and got["one"]["unimodal"] is False and got["one"]["n_units"] == 2000
+    assert got["both"]["n_units"] == 1999 and abs(got["one"]["skewness"]) < 1e-6
+    at, c = modality.histogram(df, "a", 512)
+    assert modality.prominent_modes(modality.smooth(at, c, 0.4)) == 1  # the single bandwidth of before
+    assert got["one"]["dip_p"] * 20 == pytest.approx(round(got["one"]["dip_p"] * 20))
+    assert grid.specifications(df.limit(4), [3], {"one": ["a"]}).first()["dip"] is None
