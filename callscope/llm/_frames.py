@@ -10,37 +10,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows in an Arrow batch between Spark and Python: texts are long, and each task holds a batch on both sides.
-BATCH_ROWS = 1000
-
-
-def bounded(docs: DataFrame) -> DataFrame:
-    """The same rows; from now on the session sends Arrow batches of at most BATCH_ROWS rows."""
-    conf = docs.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return docs
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one is set where it is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master gets one of its own where that is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file:///tmp/spark-checkpoints-{os.getuid()}"
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Writes the rows in the shared folder and reads them back: cuts lineage and runs the work once."""
+def kept(df: DataFrame, release: bool = False) -> DataFrame:
+    """Writes the rows in the shared folder and reads them back: cuts lineage and runs the work once.
+
+    With release, what the finished work shuffled is let go at once: Spark deletes those files when the driver's collector finds
+    their plan unused, which on a large driver heap would be long after the disks are full. For the steps that shuffle texts.
+    """
     spark = df.sparkSession
     shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     out = df.checkpoint(eager=True)
-    del df  # its plan holds the shuffles
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # what the finished work shuffled isn't needed again: lets Spark delete those files now
+    if release:
+        del df  # its plan holds the shuffles
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return out
 
 
@@ -49,25 +43,38 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that scratch() named."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def splittable(df: DataFrame, key: str) -> DataFrame:
+    """The same rows, dealt by a hash of the key: a join on the key then shuffles them once more, so that Spark can split a hot key's partition.
+
+    A grouped side would lend the join its own partitioning, which ties all rows of a key to one task.
+    """
+    return df.repartition(F.xxhash64(key))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list with long ids: (id, component), component being the smallest id.
 
-    Alternates the large-star and small-star steps: each replaces a node's links by links to the least
-    node of its neighbourhood. Both are a grouped minimum (combined before the shuffle) and a join, so no
-    neighbourhood is ever gathered. Nodes without an edge are not returned; self links are ignored.
+    Alternates the large-star and small-star steps until nothing changes: each replaces a node's links by links to the least
+    node of its neighbourhood. Both are a grouped minimum (combined before the shuffle) and a join that Spark can split at a
+    hot node, so no neighbourhood is ever gathered. Nodes without an edge are not returned; self links are ignored.
     """
     now = kept(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     mark = _mark(now)
-    for _ in range(max_rounds):
+    while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = splittable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u")
+        small = large.join(splittable(large.groupBy("u").agg(F.min("v").alias("m")), "u"), "u")
         nxt = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         now = kept(nxt.where("u <> v").distinct())
         new = _mark(now)

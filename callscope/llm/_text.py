@@ -28,7 +28,8 @@ for _a, _b in ((0x30, 0x3A), (0x61, 0x7B)):
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-SLICE_BYTES = 2 << 20
+#: Bytes of text handled at a time; the tables that a slice needs take about 40 times as many.
+SLICE_BYTES = 512 << 10
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -119,7 +120,9 @@ def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     """A 64-bit hash of each byte range."""
     p, inv = _powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, U)
-    np.cumsum(_BYTE[raw] * p[: len(raw)], out=total[1:])
+    np.take(_BYTE, raw, out=total[1:], mode="clip")
+    total[1:] *= p[: len(raw)]
+    np.cumsum(total, out=total)
     out = mix((total[end] - total[start]) * inv[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
     if len(_POW["p"]) > 4 * SLICE_BYTES:  # a very long text's tables aren't kept
         _POW.clear()

@@ -2,17 +2,22 @@
 
 Two small collections of sub-keys, TABLES of ROWS minhashes each, give TABLES * TABLES table keys: key (i, j) joins
 sub-key i of the first collection and j of the second. 2 * TABLES * ROWS minhashes thus do the work of
-TABLES^2 * 2 * ROWS. At the threshold a pair is missed with probability 2 * (1 - 0.75^ROWS)^TABLES, below 4e-6.
-Only sub-keys that two classes share are combined, so most documents make no table key at all.
+TABLES^2 * 2 * ROWS. A pair of similarity s is a candidate with probability (1 - (1 - s^ROWS)^TABLES)^2: 0.9995 at the
+threshold of 0.75, above 0.99999 from 0.8 on, and 0.005 at 0.23, so that a text's share of common boilerplate makes few candidates.
+Only sub-keys that two classes share are combined, and those of a text that have the same members count as one.
 
 1. Equal shingle sets become one class, named by its smallest id.
-2. Each bucket of a table links its members to its smallest member; these candidate links are confirmed on full sets.
-3. Members of buckets that still hold several components are compared across components, exactly, in blocks of
-   bounded size (counts of common shingles by matrix product); pairs inside a component are skipped and no pair list is made.
+2. Each bucket of a table links its members to its smallest member, where the sizes of the sets allow it; these candidate
+   links are confirmed on full sets.
+3. Members of buckets that still hold several components are compared across components, exactly, in blocks of bounded
+   size (counts of common shingles by matrix product). Buckets with the same members are taken once. Where the buckets of a
+   connected region overlap so much that comparing bucket by bucket would make more comparisons than the region has pairs,
+   the region is compared as one. Pairs inside a component are skipped and no pair list is made.
 
 Defined results: null or empty text or one without words has the empty set and is linked with nothing; a text of fewer than
-`size` words has its whole word sequence as its one shingle; rows with a null id are ignored; rows that repeat an id count
-as one document, judged by the row whose set has the smallest signature. Other columns are not looked at.
+`size` words has its whole word sequence as its one shingle; a row with a null id is linked with nothing, has no component and
+is kept; rows that repeat an id are one document in the links (each text of the id may link it), and a row of the result each.
+Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.llm import _text as T
-from callscope.llm._frames import bounded, components, kept
+from callscope.llm._frames import components, kept, splittable
 
 SIZE, PERCENT = 5, 75
-TABLES, ROWS = 16, 2
+TABLES, ROWS = 22, 4
 BLOCK = 256
 
 
@@ -157,43 +162,74 @@ def _block_links(percent: int):
     return links
 
 
+def _sizes_allow(n: str, m: str, percent: int):
+    """Whether two sets of these sizes can be similar enough; 0 stands for an id with several sets."""
+    return (F.least(n, m) == 0) | (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m))
+
+
+def _buckets(reps: DataFrame, tables: int):
+    """(t, id, n): the table keys of all representatives, as far as another one shares them."""
+    sub = reps.select("id", F.posexplode("keys").alias("slot", "key"))
+    # a key is of one slot; mates: what tells its set of members
+    alike = sub.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x")).where("lo <> hi").select("key", F.xxhash64("lo", "hi", "c", "x").alias("mates"))
+    own = sub.select("id", (F.col("slot") >= tables).alias("second"), "key").join(splittable(alike, "key"), "key")
+    half = own.groupBy("id").agg(F.collect_set(F.when(~F.col("second"), F.col("mates"))).alias("p"), F.collect_set(F.when(F.col("second"), F.col("mates"))).alias("q")).where("size(p) > 0 and size(q) > 0")
+    sized = half.join(reps.groupBy("id").agg(F.when(F.count(F.lit(1)) == 1, F.min("n")).otherwise(0).alias("n")), "id")
+    return sized.select("id", "n", F.explode("p").alias("p"), "q").select("id", "n", "p", F.explode("q").alias("q")).select("id", "n", F.xxhash64("p", "q").alias("t"))
+
+
+def _open_groups(members: DataFrame, found: DataFrame, block: int) -> DataFrame | None:
+    """(g, id, component, blocks): what has to be compared across components: a bucket's members, or those of a whole region."""
+    named = members.where("c > 2").join(found, "id", "left").select("t", "a", "mates", "id", F.coalesce("component", "id").alias("component"))
+    mixed = named.groupBy("t", "mates").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").groupBy("mates").agg(F.min("t").alias("t"))
+    inside = kept(named.join(splittable(mixed.select("t"), "t"), "t").select("t", "a", "id", "component"))
+    if inside.isEmpty():
+        return None
+    region = components(inside.select("a", F.col("id").alias("b"))).withColumnRenamed("component", "region")
+    heads = inside.groupBy("t", "a").agg(F.count(F.lit(1)).cast("double").alias("m")).join(region.withColumnRenamed("id", "a"), "a").select("t", "region", "m")
+    work = heads.groupBy("region").agg(F.sum(F.col("m") * F.col("m")).alias("by_bucket"))
+    size = region.groupBy("region").agg(F.count(F.lit(1)).cast("double").alias("k"))
+    plan = kept(heads.join(work, "region").join(size, "region").withColumn("whole", F.col("k") * F.col("k") <= F.col("by_bucket")))
+    blocks = lambda c: F.ceil(F.col(c) / F.lit(float(block))).cast("int").alias("blocks")
+    bucketwise = inside.join(splittable(plan.where("not whole").select("t", blocks("m")), "t"), "t").select(F.xxhash64("t").alias("g"), "id", "component", "blocks")
+    whole = inside.select("id", "component").distinct().join(region, "id").join(splittable(plan.where("whole").select("region", blocks("k")).distinct(), "region"), "region").select(F.xxhash64(F.lit(1), "region").alias("g"), "id", "component", "blocks")
+    return bucketwise.unionByName(whole)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, tables: int = TABLES, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """One row (id, n_shingles, component_id, kept) per document; component_id is the smallest id reachable by links."""
-    texts = bounded(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = kept(texts.mapInArrow(_sketch_rows(size, tables, rows), "id long, n long, s1 long, s2 long, keys array<long>"))
-    one = sketch.groupBy("id").agg(F.min(F.struct("s1", "s2", "n")).alias("m")).select("id", "m.*")
-    least = one.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("cls"))
-    reps = sketch.join(least.select(F.col("cls").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi").dropDuplicates(["id"])
-
-    sub = reps.select("id", F.posexplode("keys").alias("slot", "key"))
-    alike = sub.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")  # a key is of one slot
-    own = sub.join(alike, "key").groupBy("id").agg(F.collect_list(F.struct("slot", "key")).alias("k"))
-    half = own.select("id", F.filter("k", lambda x: x["slot"] < tables).alias("p"), F.filter("k", lambda x: x["slot"] >= tables).alias("q")).where("size(p) > 0 and size(q) > 0")
-    table_keys = kept(half.select("id", F.explode("p").alias("p"), "q").select("id", "p", F.explode("q").alias("q")).select("id", F.xxhash64("p.key", "q.key").alias("t")))
-    buckets = table_keys.groupBy("t").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("t", "a")
-    members = table_keys.join(buckets, "t")
-    stars = kept(members.where("id <> a").select("a", F.col("id").alias("b")).distinct())
-
-    wanted = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct().join(reps.select("id", "s1", "s2"), "id")
-    raw_sets = texts.join(wanted.select("id").hint("shuffle_hash"), "id", "left_semi").mapInArrow(_set_rows(size), "id long, s1 long, s2 long, shingles binary")
-    sets = kept(raw_sets.join(wanted, ["id", "s1", "s2"], "left_semi").select("id", "shingles"))
+    some = sketch.where("n > 0 and id is not null")
+    classes = kept(some.groupBy("s1", "s2", "n").agg(F.min("id").alias("cls")))
+    reps = kept(some.join(classes.select(F.col("cls").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi").dropDuplicates(["id", "s1", "s2"]))
+
+    table_keys = kept(_buckets(reps, tables), release=True)
+    buckets = table_keys.groupBy("t").agg(F.min(F.struct("id", "n")).alias("h"), F.max("id").alias("z"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x")).where("h.id <> z").select("t", F.col("h.id").alias("a"), F.col("h.n").alias("an"), "c", F.xxhash64("h.id", "z", "c", "x").alias("mates"))
+    members = kept(table_keys.join(splittable(buckets, "t"), "t"), release=True)
+    stars = kept(members.where(F.col("id") != F.col("a")).where(_sizes_allow("n", "an", percent)).select("a", F.col("id").alias("b")).distinct())
+
+    wanted = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).unionByName(members.where("c > 2").select("id")).distinct()
+    chosen = kept(reps.join(wanted, "id", "left_semi").select("id", "s1", "s2"))
+    raw_sets = texts.join(chosen.select("id").distinct(), "id", "left_semi").mapInArrow(_set_rows(size), "id long, s1 long, s2 long, shingles binary")
+    sets = kept(raw_sets.join(chosen, ["id", "s1", "s2"], "left_semi").dropDuplicates(["id", "s1", "s2"]).select("id", "shingles"), release=True)
     pairs = stars.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
-    links = kept(pairs.mapInArrow(_confirm_rows(percent), "a long, b long"))
+    links = kept(pairs.mapInArrow(_confirm_rows(percent), "a long, b long"), release=True)
+    twice = kept(some.groupBy("id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("id"))
+    if not twice.isEmpty():  # an id with several texts is one document
+        links = links.unionByName(some.join(twice, "id", "left_semi").join(classes, ["s1", "s2", "n"]).where("id <> cls").select(F.col("cls").alias("a"), F.col("id").alias("b")))
     found = kept(components(links))
 
-    # buckets that hold several components: their members are compared across components
-    named = members.join(found, "id", "left").select("t", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("t")
-    open_docs = named.join(mixed, "t").select("id", "component").distinct()
-    region = components(stars).select("id", F.col("component").alias("region"))
-    inside = kept(open_docs.join(region, "id"))
-    count = inside.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(block))).cast("int").alias("blocks"))
-    placed = inside.join(count, "region").select("id", "component", "region", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"))
-    spread = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("id", "component", "region", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    more = spread.join(sets, "id").groupBy("region", "p", "q").applyInArrow(_block_links(percent), "a long, b long")
-    joined = found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
-    final = components(joined)
-
-    cls = least.join(final.select(F.col("id").alias("cls"), "component"), "cls", "left").select("s1", "s2", "n", F.coalesce("component", "cls").alias("component"))
-    out = one.join(cls, ["s1", "s2", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    open_groups = _open_groups(members, found, block)
+    final = found
+    if open_groups is not None:
+        placed = open_groups.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        spread = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("id", "component", "g", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+        more = spread.join(sets, "id").groupBy("g", "p", "q").applyInArrow(_block_links(percent), "a long, b long")
+        final = kept(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))
+
+    cls = kept(classes.join(final.withColumnRenamed("id", "cls"), "cls", "left").select("s1", "s2", "n", F.coalesce("component", "cls").alias("component")))
+    named = sketch.where("id is not null").select("id", "n", "s1", "s2").join(cls, ["s1", "s2", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    lost = sketch.where("id is null").select("id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    out = named.unionByName(lost)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

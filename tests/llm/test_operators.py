@@ -161,8 +161,10 @@ def chain(seed, n, length, step):
 def test_near_dedup(spark, block):
     rows = fixture(3) + [(200 + i, t) for i, t in enumerate(chain(4, 30, 120, 2))] + [(300 + i, t) for i, t in enumerate(chain(5, 12, 60, 2))]
     rows += [(400, "A b C d e f"), (401, "a B c d E f"), (402, "a b c"), (403, "A B C")]
-    got = sorted(tuple(r) for r in near_dedup.near_duplicates(frame(spark, rows + [(None, "x y z")]), block=block).collect())
+    out = [tuple(r) for r in near_dedup.near_duplicates(frame(spark, rows + [(None, "x y z"), (None, None)]), block=block).collect()]
+    got = sorted(r for r in out if r[0] is not None)
     assert got == brute_near(rows)
+    assert sorted(r for r in out if r[0] is None) == [(None, 0, None, True), (None, 1, None, True)]
     assert sum(not r[3] for r in got) > 20
 
 
@@ -171,6 +173,25 @@ def test_near_dedup_empty(spark):
     assert [tuple(r) for r in near_dedup.near_duplicates(frame(spark, [(5, None)])).collect()] == [(5, 0, 5, True)]
 
 
+def test_near_dedup_repeated_ids(spark):
+    r = random.Random(12)
+    a, b, c = (" ".join(words(r, 60, 10_000)) for _ in range(3))
+    rows = [(1, a), (2, b), (3, a), (3, b), (3, b), (4, b + " more"), (5, c), (5, c), (6, None), (6, a + " end")]
+    got = sorted(tuple(x) for x in near_dedup.near_duplicates(frame(spark, rows)).collect())
+    component = {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 1}  # 3 joins the copies of both of its texts; a row without words is linked with nothing
+    want = [(d, len(shingles(t)), component[d] if t else d, component[d] == d or not t) for d, t in rows]
+    assert got == sorted(want)
+
+
+def test_near_dedup_of_a_template(spark):
+    """Texts that share much without being copies: many mixed buckets, compared as one region, and copies among them."""
+    r = random.Random(13)
+    template = words(r, 100, 10_000)
+    rows = [(i, " ".join(template + words(r, 22, 10_000))) for i in range(60)]
+    rows += [(100 + i, t.rsplit(" ", 6)[0]) for i, t in rows[::3]]
+    assert sorted(tuple(x) for x in near_dedup.near_duplicates(frame(spark, rows), block=16).collect()) == brute_near(rows)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)]
@@ -191,6 +212,13 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_long_path(spark):
+    r = random.Random(3)
+    names = r.sample(range(10**6), 3000)
+    got = components(spark.createDataFrame(list(zip(names[:-1], names[1:])), "a long, b long"))
+    assert {x["component"] for x in got.collect()} == {min(names)} and got.count() == 3000
+
+
 def brute_hits(rows, items, size=10):
     norm = lambda t: ALNUM.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = {}
