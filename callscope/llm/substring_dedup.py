@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.llm import _text as T
-from callscope.llm._frames import bounded, kept
+from callscope.llm._frames import kept, splittable
 
 PERIOD = 31
 #: A perfect difference set modulo 31.
@@ -42,6 +42,7 @@ def _marked(lists: pa.Array, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(size: int):
+    """Rows (id, sig, text) -> an (anchor, id, sig, at) for every cover position."""
     cover = np.zeros(PERIOD, bool)
     cover[list(COVER)] = True
 
@@ -49,23 +50,24 @@ def _anchor_rows(size: int):
         words = T.Words(batch.column(2))
         start = T.window_starts(words.counts, words.offsets, size)
         start = start[cover[words.position()[start] % PERIOD]]
-        tag = _tag(batch.column(1).to_numpy())
-        row, mark = _marked(batch.column(3), batch.num_rows)
-        copy = np.zeros(batch.num_rows, bool)  # the smaller id has all of its windows
-        copy[row[mark == (tag[row] | WHOLE)]] = True
-        start = start[~copy[words.doc()[start]]]
-        doc = words.doc()[start]
-        yield pa.RecordBatch.from_arrays([T.signed(T.rolling(words.hashes(), size)[start]), batch.column(0).take(pa.array(doc)), pa.array(words.position()[start].astype(np.int32))], ["anchor", "id", "at"])
+        doc = pa.array(words.doc()[start])
+        yield pa.RecordBatch.from_arrays([T.signed(T.rolling(words.hashes(), size)[start]), batch.column(0).take(doc), batch.column(1).take(doc), pa.array(words.position()[start].astype(np.int32))], ["anchor", "id", "sig", "at"])
 
     return T.mapped(rows)
 
 
 def _window_rows(size: int, anchor: int):
+    """Rows (id, sig, text, near, marks) -> (h, c, id, mark) for every window around an anchor; a marked copy has none, as all of it goes."""
+
     def rows(batch: pa.RecordBatch):
         words = T.Words(batch.column(2))
+        tag = _tag(batch.column(1).to_numpy())
+        row, mark = _marked(batch.column(4), batch.num_rows)
+        copy = np.zeros(batch.num_rows, bool)
+        copy[row[mark == (tag[row] | WHOLE)]] = True
         near = np.zeros(len(words) + 1, np.int64)
         doc, at = _marked(batch.column(3), batch.num_rows)
-        keep = at < words.counts[doc]  # an anchor of another text with this id
+        keep = (at < words.counts[doc]) & ~copy[doc]  # the first: not an anchor of another text with this id
         doc, at = doc[keep], at[keep]
         base = words.offsets[:-1][doc]
         np.add.at(near, base + np.maximum(at - (size - anchor), 0), 1)
@@ -75,8 +77,7 @@ def _window_rows(size: int, anchor: int):
         h = words.hashes()
         doc = words.doc()[start]
         check = (T.rolling(T.mix(h ^ T.U(0xA24BAED4963EE407)), size)[start] >> T.U(33)).astype(np.int32)
-        mark = _tag(batch.column(1).to_numpy())[doc] | words.position()[start]
-        yield pa.RecordBatch.from_arrays([T.signed(T.rolling(h, size)[start]), pa.array(check), batch.column(0).take(pa.array(doc)), pa.array(mark)], ["h", "c", "id", "mark"])
+        yield pa.RecordBatch.from_arrays([T.signed(T.rolling(h, size)[start]), pa.array(check), batch.column(0).take(pa.array(doc)), pa.array(tag[doc] | words.position()[start])], ["h", "c", "id", "mark"])
 
     return T.mapped(rows)
 
@@ -88,23 +89,23 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
         raise ValueError(f"min_words must be {PERIOD} or more")
     texts = keyed(docs, id_col, text_col)
     sigs = docs.where(F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("sig"), F.xxhash64(F.lit(7), F.col(text_col)).alias("sig2"))
-    least = sigs.groupBy("sig", "sig2").agg(F.min("id").alias("least"))
-    copies = sigs.join(least, ["sig", "sig2"]).where("id > least").select("id", F.col("sig").bitwiseOR(F.lit(WHOLE)).alias("mark")).distinct()
+    least = splittable(sigs.groupBy("sig", "sig2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("sig", "sig2", "least"), "sig")
+    copies = kept(sigs.join(least, ["sig", "sig2"]).where("id > least").select("id", F.col("sig").bitwiseOR(F.lit(WHOLE)).alias("mark")).distinct())
+    # straight from the scan, twice: rows are summed up before they are grouped, and a join of plain shuffles can be split at a hot passage
+    anchors = texts.mapInArrow(_anchor_rows(anchor), "anchor long, id long, sig long, at int")
+    common = kept(anchors.groupBy("anchor").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("anchor"), release=True)
+    near = kept(anchors.select("anchor", "id", "at").join(common, "anchor").groupBy("id").agg(F.collect_list("at").alias("near")), release=True)
     copied = copies.groupBy("id").agg(F.collect_list("mark").alias("marks"))
-    anchors = texts.join(copied.hint("shuffle_hash"), "id", "left").select("id", "sig", "text", "marks").mapInArrow(_anchor_rows(anchor), "anchor long, id long, at int")
-    # grouped and joined apart: a join of plain shuffles can be split where a passage is in very many documents
-    common = kept(anchors.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("anchor"))
-    near = kept(anchors.join(common, "anchor").groupBy("id").agg(F.collect_list("at").alias("near")))
-    around = texts.join(near.hint("shuffle_hash"), "id").select("id", "sig", "text", "near")
+    around = texts.join(near.join(copied, "id", "left").hint("shuffle_hash"), "id").select("id", "sig", "text", "near", "marks")
     windows = around.mapInArrow(_window_rows(min_words, anchor), "h long, c int, id long, mark long")
-    first = kept(windows.groupBy("h", "c").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "c", "least"))
+    first = kept(windows.groupBy("h", "c").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "c", "least"), release=True)
     found = windows.join(first, ["h", "c"]).where("id > least").select("id", "mark")
-    return kept(found.unionByName(copies).groupBy("id").agg(F.collect_list("mark").alias("marks")))
+    return kept(found.unionByName(copies).groupBy("id").agg(F.collect_list("mark").alias("marks")), release=True)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, sig, text) of the rows with an id."""
-    return bounded(docs).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("sig"), F.col(text_col).alias("text"))
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("sig"), F.col(text_col).alias("text"))
 
 
 def _cut_column(size: int, only_changed: bool):
