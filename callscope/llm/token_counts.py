@@ -5,7 +5,8 @@ a trie whose nodes hold the forward score of their prefix: the best sum of piece
 number of pieces in it. A prefix that many pre-tokens share is scored once; a pre-token's counts are read at its terminal node.
 A slice's trie is built level by level: all nodes of a depth are scored together, one vector step for each piece length.
 
-The model is a public vocabulary file (its path is a parameter), whose pieces are scored by their rank as a Zipf law says.
+The model is a public vocabulary file (its path is a parameter), whose pieces are scored by their rank as a Zipf law says: the
+file has no probabilities, and tokenizers are not trained here, which fitting them to the corpus would be.
 A character without a piece counts as its UTF-8 bytes, at BYTE_SCORE each. Ties go to the longest last piece.
 
 Defined results: null or empty text has no tokens; rows that repeat an id are counted each by itself.
@@ -22,6 +23,8 @@ from callscope.llm import _text as T
 
 MARK = "▁"
 BYTE_SCORE = -16.0
+#: Longer pre-tokens share no prefix worth a level of the trie; they are scored one by one, in time linear in their length.
+LONG = 128
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -63,8 +66,30 @@ class Model:
             h = h * T.U(T._P) + T.mix(points[:, i].astype(T.U) + T.U(1))
         return h
 
+    def _long_word(self, w: str) -> tuple[int, float]:
+        """(token count, score) of one pre-token."""
+        top, used = [0.0], [0]
+        for e in range(1, len(w) + 1):
+            width = len(w[e - 1].encode("utf-8", "surrogatepass"))
+            best, count = top[e - 1] + width * BYTE_SCORE, used[e - 1] + width
+            for k in range(1, min(self.longest, e) + 1):
+                s = self.scores.get(w[e - k : e])
+                if s is not None and top[e - k] + s >= best:
+                    best, count = top[e - k] + s, used[e - k] + 1
+            top.append(best)
+            used.append(count)
+        return used[-1], top[-1]
+
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(token counts, scores) of pre-tokens, their mark included, over a trie of them."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if long:
+            counts, scores = np.zeros(len(words), np.int64), np.zeros(len(words))
+            short = [i for i, w in enumerate(words) if len(w) <= LONG]
+            counts[short], scores[short] = self.words([words[i] for i in short])
+            for i in long:
+                counts[i], scores[i] = self._long_word(words[i])
+            return counts, scores
         n = len(words)
         size = np.array([len(w) for w in words], np.int64)
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
