@@ -5,7 +5,7 @@ window hashes is broadcast while it has at most MAX_WINDOWS entries (about 200 b
 benchmark is joined by hash instead. Every hit is verified on the words themselves before it counts.
 
 Defined results: null or empty text has no words and no hits; an item without words has no window; rows that repeat an
-id are judged each by itself; equal items all count. Other columns pass through or are not looked at.
+id are judged each by itself; equal items all count; items with a null id are one item, named by the empty string; an id of any type counts as a string. Other columns pass through or are not looked at.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from callscope.llm import _text as T
 
 SIZE = 10
 MAX_WINDOWS = 200_000
+SIEVE_BITS = 1 << 27
 
 
 def _window_rows(size: int):
@@ -41,15 +42,15 @@ def _window_rows(size: int):
             out["n"] += [n] * len(start)
             out["item_id"] += [ids[d] for d in doc]
             out["words"] += [b" ".join(words.text(i) for i in range(s, s + n)) for s in start]
-        yield pa.RecordBatch.from_arrays([pa.array(out["h"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["item_id"], pa.int64()), pa.array(out["words"], pa.binary())], ["h", "n", "item_id", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array(out["h"], pa.int64()), pa.array(out["n"], pa.int32()), pa.array(out["item_id"], pa.string()), pa.array(out["words"], pa.binary())], ["h", "n", "item_id", "words"])
 
     return T.mapped(rows)
 
 
 def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """Every distinct window of the items: (h, n, item_id, words)."""
-    rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_window_rows(size), "h long, n int, item_id long, words binary").distinct()
+    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_window_rows(size), "h long, n int, item_id string, words binary").distinct()
 
 
 class _Table:
@@ -59,7 +60,7 @@ class _Table:
         rows = sorted(rows, key=lambda r: (r.n, r.h))
         self.h = np.array([r.h for r in rows], np.int64)
         self.n = np.array([r.n for r in rows], np.int64)
-        self.item = np.array([-1 if r.item_id is None else r.item_id for r in rows], np.int64)
+        self.item = np.array([r.item_id for r in rows], object)
         self.words = [bytes(r.words) for r in rows]
         self.sizes = {int(n): slice(*np.searchsorted(self.n, [n, n + 1])) for n in np.unique(self.n)}
         self.sieve = {n: self._bits(self.h[s]) for n, s in self.sizes.items()}
@@ -114,7 +115,7 @@ def _hit_words(words: T.Words, doc: np.ndarray, at: np.ndarray, length: np.ndarr
 def _digest(texts: pa.Array, words: T.Words, doc, at, length, item) -> pa.Array:
     _, n_hit = _hit_words(words, doc, at, length)
     cut = np.searchsorted(doc, np.arange(len(texts) + 1))
-    items = [sorted({str(x) for x in item[a:b]}) for a, b in zip(cut[:-1], cut[1:])]
+    items = [sorted(set(item[a:b])) for a, b in zip(cut[:-1], cut[1:])]
     digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
     return pa.StructArray.from_arrays([pa.array(words.counts), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digests, pa.string())], ["n_words", "n_hit", "n_items", "items_sha256"])
 
@@ -155,18 +156,37 @@ def _found(docs: DataFrame, benchmark: DataFrame, text: str, finish, schema: str
     return docs.withColumn("found", F.arrow_udf(T.array_mapped(scan), schema)(F.col(text)))
 
 
+def _sieve(found: DataFrame) -> np.ndarray:
+    """A bitmap of the windows' hashes: SIEVE_BITS bits (16 MB), however many windows there are."""
+    bit = F.shiftrightunsigned("h", 64 - SIEVE_BITS.bit_length() + 1)
+    some = found.groupBy(F.shiftright(bit, 6).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - SIEVE_BITS.bit_length() + 1}) & 63 as int))")).alias("m")).toArrow()
+    out = np.zeros(SIEVE_BITS // 64, T.U)
+    out[some["w"].to_numpy()] = some["m"].to_numpy().view(T.U)
+    return out
+
+
 def _joined(docs: DataFrame, found: DataFrame, text: str, finish, schema: str, size: int) -> DataFrame:
-    """As _found for a benchmark of any size: windows of both sides meet in a join on their hash and words. Equal texts are scanned once."""
+    """As _found for a benchmark of any size: windows of both sides meet in a join on their hash and words. Equal texts are scanned once.
+
+    Only windows of sizes that occur are looked at, and only those whose hash a broadcast bitmap has take part in the shuffle.
+    """
+    sizes = sorted(r["n"] for r in found.select("n").distinct().collect())  # `size` rows at most
+    shared = docs.sparkSession.sparkContext.broadcast(_sieve(found))
+    shift = T.U(64 - SIEVE_BITS.bit_length() + 1)
 
     def every(batch: pa.RecordBatch):
         words = T.Words(batch.column(2), T.NOT_ALNUM, lower=True)
         h = words.hashes()
-        for n in range(1, size + 1):
+        for n in sizes:
             start = T.window_starts(words.counts, words.offsets, n)
             if len(start):
+                own = T.rolling(h, n)[start]
+                bit = own >> shift
+                may = (shared.value[bit >> T.U(6)] >> (bit & T.U(63)) & T.U(1)).astype(bool)
+                start, own = start[may], own[may]
                 doc = pa.array(words.doc()[start])
                 joined = [b" ".join(words.text(i) for i in range(s, s + n)) for s in start]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), T.signed(T.rolling(h, n)[start]), pa.array(np.full(len(start), n, np.int32)), pa.array(words.position()[start].astype(np.int32)), pa.array(joined, pa.binary())], ["r1", "r2", "h", "n", "at", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(doc), batch.column(1).take(doc), T.signed(own), pa.array(np.full(len(start), n, np.int32)), pa.array(words.position()[start].astype(np.int32)), pa.array(joined, pa.binary())], ["r1", "r2", "h", "n", "at", "words"])
 
     keyed = docs.withColumns({"r1": F.xxhash64(text), "r2": F.xxhash64(F.lit(7), F.col(text))})
     own = keyed.select("r1", "r2", F.col(text).alias("text")).where("text IS NOT NULL").distinct().mapInArrow(T.mapped(every), "r1 long, r2 long, h long, n int, at int, words binary")
@@ -176,7 +196,8 @@ def _joined(docs: DataFrame, found: DataFrame, text: str, finish, schema: str, s
         words = T.Words(col, T.NOT_ALNUM, lower=True)
         hits = hits.fill_null([]) if hits.null_count else hits
         doc = np.repeat(np.arange(len(col)), np.diff(hits.offsets.to_numpy()))
-        at, n, item = (hits.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+        at, n = (hits.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2))
+        item = hits.flatten().field(2).to_numpy(zero_copy_only=False)
         return finish(col, words, doc, at, n, item)
 
     met = keyed.join(lists, ["r1", "r2"], "left")
