@@ -3,15 +3,16 @@
 An ARC file is a version block, whose last line before its end names the URL-record fields, and records of one header line
 and as many bytes as the line declares. Version 1 lines have 5 fields (URL, IP, date, type, length); version 2 lines have
 10 (result code, checksum, location, offset and file name added). The converter parses them by the declared lengths and
-synthesises WARC fields: WARC-Record-ID (a name-based UUID of URL, date, page and digest, so that a retried task names a record alike), WARC-Date (from the 14 digits),
+synthesises WARC fields: WARC-Record-ID (a name-based UUID of the archive, the place in it, URL, date, page and digest, so that each record has its own and a retried task names it alike), WARC-Date (from the 14 digits),
 WARC-Type, Content-Type and a SHA-256 WARC-Payload-Digest of what follows the HTTP head.
 
 Archives travel as (path, content) rows, as the binaryFile source gives them, so a task holds one file of bounded size.
 WARC files are written with pyarrow's file systems, so the target may be local, S3, GCS or HDFS; a retried task replaces its file.
 
-Defined results: null html is an empty payload; null urls become 'about:blank'; white space in a URL is percent-encoded; null
-page ids are written as -1 and read back as null; payloads below MIN_REVISIT bytes are always responses; rows that repeat a
-page id and payload are all responses, as none has a smaller page id; a declared length beyond the file's end is an error.
+Defined results: null html is an empty payload; null urls become 'about:blank'; white space in a URL is percent-encoded; a null
+page id has no header and is read back as null; payloads below MIN_REVISIT bytes are always responses; rows that repeat a
+page id and payload are all responses, as none has a smaller page id; a declared length beyond the
+file's end and a header line that the version does not fit are errors in parse_arc, and rows of malformed(); the records before them count.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import re
 import uuid
 import zlib
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm._frames import scratch
+from callscope.llm._frames import scratch, splittable
 
 MIN_REVISIT = 100
 ARC_BYTES = 4 << 20
@@ -48,31 +50,62 @@ def arc_record(url: str, version: int, name: str, offset: int, block: bytes) ->
     return f"{url} 0.0.0.0 {_DATE} text/html{more} {len(block)}\n".encode() + block + b"\n"
 
 
-def parse_arc(content: bytes):
-    """Yields (url, ip, date, type, offset, block) for each record; plain or gzipped content."""
+#: URL, IP, date, what the versions differ in, length; a URL and a content type may hold blanks.
+_LINE = re.compile(r"(.*?) (\S+) (\d{14}) (.*) (\d+)", re.DOTALL)
+
+
+def _header(line: str, version: int | None) -> tuple[str, str, str, str, int] | None:
+    """(url, ip, date, type, length) of a header line, null if it isn't one of the version."""
+    m = _LINE.fullmatch(line)
+    if not m or version is None:
+        return None
+    mime = m[4]
+    if version == 2:
+        parts = mime.rsplit(" ", 5)
+        if len(parts) < 6 or not parts[4].isdigit():
+            return None
+        mime = parts[0]
+    elif re.search(r" \d{3} \S+ \S+ \d+ \S+$", mime):  # fields of the other version
+        return None
+    return m[1], m[2], m[3], mime, int(m[5])
+
+
+def parse_arc(content: bytes, bad: list | None = None):
+    """Yields (url, ip, date, type, offset, block) for each record; plain or gzipped content.
+
+    A malformed record is an error, or with `bad` an (offset, line, reason) there: the next one follows if a length is declared, else the file ends.
+    """
+
+    def wrong(reason: str) -> None:
+        if bad is None:
+            raise ValueError(f"record at {at}: {reason}")
+        bad.append((at, line[:1000], reason))
+
     if content[:2] == b"\x1f\x8b":
         content = gzip.decompress(content)
-    fields, at = None, 0
+    version, at = None, 0
     while at < len(content):
         if content[at : at + 1] == b"\n":
             at += 1
             continue
-        end = content.index(b"\n", at)
-        line = content[at:end].decode("utf-8")
-        parts = line.split(" ")
-        size = int(parts[-1])
+        end = content.find(b"\n", at)
+        end = len(content) if end < 0 else end
+        line = content[at:end].decode("utf-8", "replace")
+        declared = line.rsplit(" ", 1)[-1]
+        if not (declared.isascii() and declared.isdigit()):
+            return wrong("no length is declared")
+        size = int(declared)
         block = content[end + 1 : end + 1 + size]
         if len(block) < size:
-            raise ValueError(f"record at {at} declares {size} bytes, {len(block)} are left")
+            return wrong(f"{size} bytes are declared, {len(block)} are left")
         if line.startswith("filedesc://"):
-            version = int(block[:1])
+            version = int(block[:1]) if block[:1].isdigit() else None
             if version not in ARC_FIELDS:
-                raise ValueError(f"unknown archive version {version}")
-            fields = len(ARC_FIELDS[version].split(" "))
+                wrong("unknown archive version")
+        elif (fields := _header(line, version)) is None:
+            wrong(f"not a header line of version {version}")
         else:
-            if fields is None or len(parts) != fields:
-                raise ValueError(f"record at {at} has {len(parts)} header fields, the version block says {fields}")
-            yield parts[0], parts[1], parts[2], parts[3], at, block
+            yield *fields[:4], at, block
         at = end + 1 + size
 
 
@@ -91,7 +124,7 @@ def to_arc(pages: DataFrame) -> DataFrame:
                     out = io.BytesIO()
                     out.write(arc_version_block(name, version))
                 payload = (html or "").encode()
-                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {-1 if page is None else page}\r\nContent-Length: {len(payload)}\r\n\r\n"
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{'' if page is None else f'X-Page-Id: {page}{chr(13)}{chr(10)}'}Content-Length: {len(payload)}\r\n\r\n"
                 safe = "".join(f"%{ord(c):02X}" if c.isspace() and ord(c) < 128 else c for c in "".join(c if not c.isspace() or ord(c) < 128 else "%20" for c in (url or ""))) or "about:blank"
                 out.write(arc_record(safe, version, name, out.tell(), head.encode() + payload))
                 if out.tell() >= ARC_BYTES:
@@ -106,19 +139,37 @@ def to_arc(pages: DataFrame) -> DataFrame:
 _RECORD = "page_id long, record_id string, target string, date string, ip string, mime string, head binary, payload binary, digest string"
 
 
+def _page_id(head: bytes) -> int | None:
+    return next((int(x[10:]) for x in head.split(b"\r\n") if x[:10].lower() == b"x-page-id:"), None)
+
+
+def malformed(archives: DataFrame) -> DataFrame:
+    """(path, offset, line, reason) of the records of ARC files that convert() leaves out."""
+
+    def rows(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                bad: list = []
+                for _ in parse_arc(content.as_py(), bad):
+                    pass
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(bad), pa.string()), pa.array([x[0] for x in bad], pa.int64()), pa.array([x[1] for x in bad], pa.string()), pa.array([x[2] for x in bad], pa.string())], ["path", "offset", "line", "reason"])
+
+    return archives.select("path", "content").mapInArrow(rows, "path string, offset long, line string, reason string")
+
+
 def convert(archives: DataFrame) -> DataFrame:
-    """ARC files (path, content) -> one row per record with the synthesised WARC fields."""
+    """ARC files (path, content) -> one row per well-formed record with the synthesised WARC fields; malformed() has the others."""
 
     def parse(batches):
         for batch in batches:
-            for content in batch.column(1):
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = []
-                for url, ip, date, mime, offset, block in parse_arc(content.as_py()):
+                for url, ip, date, mime, offset, block in parse_arc(content.as_py(), bad=[]):
                     head, sep, payload = block.partition(b"\r\n\r\n") if block[:5] == b"HTTP/" else (b"", b"", block)
-                    page = next((int(x[10:]) for x in head.split(b"\r\n") if x[:10].lower() == b"x-page-id:"), -1)
+                    page = _page_id(head)
                     digest = hashlib.sha256(payload).hexdigest()
                     when = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
-                    rows.append((None if page < 0 else page, f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{url} {date} {page} {digest}')}", url, when, ip, mime, head + sep, payload, digest))
+                    rows.append((page, f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{path} {offset} {url} {date} {page} {digest}')}", url, when, ip, mime, head + sep, payload, digest))
                     if len(rows) == 256:
                         yield _records(rows)
                         rows = []
@@ -137,8 +188,8 @@ def mark_revisits(records: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame
     """Adds refers_to and refers_id: the page and record of the first response with the same payload, null for responses."""
     narrow = records.where((F.length("payload") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "record_id", "digest")
     first = narrow.groupBy("digest").agg(F.min(F.struct("page_id", "record_id")).alias("f"), F.max("page_id").alias("most")).where("f.page_id < most").select("digest", "f")
-    later = narrow.join(first, "digest").where("page_id > f.page_id").select("record_id", F.col("f.page_id").alias("refers_to"), F.col("f.record_id").alias("refers_id")).distinct()
-    return records.join(later, "record_id", "left")
+    later = narrow.join(splittable(first, "digest"), "digest").where("page_id > f.page_id").select("page_id", "digest", F.col("f.page_id").alias("refers_to"), F.col("f.record_id").alias("refers_id")).distinct()
+    return records.join(later, ["page_id", "digest"], "left")
 
 
 def _warc_record(r: dict) -> bytes:
@@ -212,11 +263,11 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                 rows = []
                 for fields, block in parse_warc(content.as_py()):
                     head, _, payload = block.partition(b"\r\n\r\n")
-                    page = next((int(x[10:]) for x in head.split(b"\r\n") if x[:10].lower() == b"x-page-id:"), -1)
+                    page = _page_id(head)
                     revisit = fields["WARC-Type"] == "revisit"
                     size = int(fields["X-Payload-Length"]) if revisit else len(payload)
                     digest = fields["WARC-Payload-Digest"].split(":", 1)[1] if revisit else hashlib.sha256(payload).hexdigest()
-                    rows.append((None if page < 0 else page, size, digest, fields["WARC-Type"], int(fields["X-Refers-To-Page"]) if revisit else None, fields["WARC-Target-URI"], fields["WARC-Record-ID"].strip("<>"), fields["WARC-Date"]))
+                    rows.append((page, size, digest, fields["WARC-Type"], int(fields["X-Refers-To-Page"]) if revisit else None, fields["WARC-Target-URI"], fields["WARC-Record-ID"].strip("<>"), fields["WARC-Date"]))
                 types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target", "record_id", "date"])
 
