@@ -21,13 +21,18 @@ from callscope.llm import _text as T
 
 BITS = 18
 SAMPLE = 6000
+#: Longer labelled texts aren't learned from (a parameter of train); all are scored whole.
 SAMPLE_CHARS = 20_000
 PENALTY = 1.0
 MIN_Z = 3.5
 THRESHOLD = 0.3
-#: Identity terms and the partner each is swapped for.
+#: The default pairs of identity terms; any other mapping may be given.
 SWAPS = {"women": "men", "woman": "man", "girls": "boys", "girl": "boy", "she": "he", "her": "his", "muslim": "christian", "muslims": "christians", "jewish": "catholic", "jews": "catholics", "black": "white", "african": "european", "asian": "american", "gay": "straight", "lesbian": "heterosexual", "transgender": "cisgender", "immigrant": "native", "immigrants": "natives", "disabled": "abled", "deaf": "hearing", "blind": "sighted", "elderly": "young"}
-PARTNER = {**SWAPS, **{b: a for a, b in SWAPS.items()}}
+
+
+def partners(swaps: dict[str, str]) -> dict[str, str]:
+    """Each term's partner, in both directions."""
+    return {**{b: a for a, b in swaps.items()}, **swaps}
 
 
 def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -45,23 +50,26 @@ def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (pair >> T.U(BITS)).astype(np.int64), (pair & T.U((1 << BITS) - 1)).astype(np.int64)
 
 
-def swapped(text: str | None) -> str | None:
+def swapped(text: str | None, partner: dict[str, str]) -> str | None:
     """The text with identity terms swapped; null if it has none."""
     words = (text or "").split()
-    new = [PARTNER.get(w.strip(".,;:!?\"'()").lower(), None) for w in words]
+    new = [partner.get(w.strip(".,;:!?\"'()").lower(), None) for w in words]
     return " ".join(n or w for n, w in zip(new, words)) if any(new) else None
 
 
-def _sample_rows(batch: pa.RecordBatch):
-    texts = batch.column(0)
-    pairs = [features(texts)]
-    other = pa.array([swapped(x) for x in texts.to_pylist()], pa.string())
-    pairs.append(features(other))
-    lists = []
-    for row, bucket in pairs:
-        offsets = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
-        lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(bucket.astype(np.int32))))
-    yield pa.RecordBatch.from_arrays([batch.column(1), *lists], ["y", "x", "swap"])
+def _sample_rows(partner: dict[str, str]):
+    def rows(batch: pa.RecordBatch):
+        texts = batch.column(0)
+        pairs = [features(texts)]
+        other = pa.array([swapped(x, partner) for x in texts.to_pylist()], pa.string())
+        pairs.append(features(other))
+        lists = []
+        for row, bucket in pairs:
+            offsets = np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)
+            lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(bucket.astype(np.int32))))
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *lists], ["y", "o", "x", "swap"])
+
+    return rows
 
 
 def _sparse(lists: list, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,17 +117,18 @@ def fit(y: np.ndarray, x: list, swap: list, penalty: float = PENALTY, min_z: flo
     return float(b), weights
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, held_out: bool = True) -> tuple[float, np.ndarray]:
-    """Fits on at most `sample` labelled rows, never on those whose crc32(id) mod 4 is 2 (unless held_out is False)."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, held_out: bool = True, swaps: dict[str, str] = SWAPS, penalty: float = PENALTY, sample_chars: int = SAMPLE_CHARS) -> tuple[float, np.ndarray]:
+    """Fits on at most `sample` labelled rows of at most `sample_chars` characters, never on those whose crc32(id) mod 4 is 2 (unless held_out is False)."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if held_out:
         known = known.where(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2)
     picked = known.select(F.col(id_col), F.col(label_col).cast("double").alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    rows = docs.where(F.length(text_col) <= SAMPLE_CHARS).select(id_col, F.col(text_col).alias("text")).join(F.broadcast(picked), id_col).select("text", "y")
-    got = rows.mapInArrow(T.mapped(_sample_rows), "y double, x array<int>, swap array<int>").toArrow()
+    rows = docs.where(F.length(text_col) <= sample_chars).select(id_col, F.col(text_col).alias("text")).join(F.broadcast(picked), id_col).select("text", "y", F.xxhash64(id_col, "text").alias("o"))
+    # the limit again, on rows: an id may have any number of texts
+    got = rows.mapInArrow(T.mapped(_sample_rows(partners(swaps))), "y double, o long, x array<int>, swap array<int>").orderBy("o", "y").limit(sample).toArrow()
     lists = lambda c: [np.asarray(v.values) for v in got[c].combine_chunks()] if got.num_rows else []
     x, swap = lists("x"), lists("swap")
-    return fit(got["y"].to_numpy().astype(float), x, swap)
+    return fit(got["y"].to_numpy().astype(float), x, swap, penalty)
 
 
 def score_column(model: tuple[float, np.ndarray]):
@@ -137,15 +146,24 @@ def score_column(model: tuple[float, np.ndarray]):
     return F.arrow_udf(T.array_mapped(one), "double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def counterfactual_gap(docs: DataFrame, model: tuple[float, np.ndarray], text_col: str = "text", swaps: dict[str, str] = SWAPS) -> DataFrame:
+    """One row (n, mean_gap, max_gap): how far scores move, in absolute value, when the identity terms of a text are swapped; n texts have one."""
+    partner = partners(swaps)
+    other = F.arrow_udf(lambda col: pa.array([swapped(x, partner) for x in col.to_pylist()], pa.string()), "string")
+    both = docs.select(F.col(text_col).alias("a"), other(F.col(text_col)).alias("b")).where(F.col("b").isNotNull())
+    score = score_column(model)
+    return both.select(F.abs(score(F.col("a")) - score(F.col("b"))).alias("gap")).agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("max_gap"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, swaps: dict[str, str] = SWAPS, penalty: float = PENALTY) -> DataFrame:
     """(id, held_out, score, predicted) per row."""
-    model = train(docs, labels, id_col, text_col)
+    model = train(docs, labels, id_col, text_col, swaps=swaps, penalty=penalty)
     out = docs.select(id_col, (F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2).alias("held_out"), score_column(model)(F.col(text_col)).alias("score"))
     return out.select("*", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, swaps: dict[str, str] = SWAPS) -> DataFrame:
     """The input rows that score below `threshold`."""
-    model = train(docs, labels, id_col, text_col)
+    model = train(docs, labels, id_col, text_col, swaps=swaps)
     row = docs.select(F.struct("*").alias("row"), score_column(model)(F.col(text_col)).alias("score"))
     return row.where(F.col("score") < threshold).select("row.*")
