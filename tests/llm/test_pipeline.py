@@ -2,11 +2,15 @@
 
 import random
 import re
+import zlib
 
+import numpy as np
 from test_operators import brute_near, brute_substrings, words
 
+from tokenizers import Tokenizer
+
 import corpus_pipeline
-from callscope.llm import queries
+from callscope.llm import packing, queries
 
 
 def _tables(spark, folder):
@@ -58,9 +62,35 @@ def test_stages(spark, tmp_path):
 
 
 def test_run_matches_stages(spark, tmp_path):
+    """run's pieces, row by row, against the tokenizer's ids of what the stages leave, each applied to the one before."""
     folder = f"file://{tmp_path}/in"
     _tables(spark, folder)
-    assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} == set(corpus_pipeline.run(spark, folder).columns)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, folder).write.parquet(f"file://{tmp_path}/kept{n}")
+        docs = spark.read.parquet(f"file://{tmp_path}/kept{n}")
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    ids = {x["doc_id"]: tok.encode(x["text"] or "", add_special_tokens=False).ids + [1] for x in docs.collect()}
+    out = corpus_pipeline.run(spark, folder)
+    assert {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"} == set(out.columns)
+    pieces, sequences = {}, {}
+    for p in out.collect():
+        pieces.setdefault(p["doc_id"], []).append(p)
+        sequences.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    assert set(pieces) == set(ids)
+    for d, own in pieces.items():
+        at = 0
+        for p in sorted(own, key=lambda p: p["start"]):
+            assert p["start"] == at and p["doc_tokens"] == len(ids[d])
+            assert p["ids_crc32"] == zlib.crc32(np.array(ids[d][at : at + p["length"]], "<u4").tobytes())
+            at += p["length"]
+        assert at == len(ids[d])
+    for s in sequences.values():
+        at = 0
+        for offset, length in sorted(s):
+            assert offset == at
+            at += length
+        assert at == 2048 or at & (at - 1) == 0
 
 
 def test_every_operator_has_one_query():
