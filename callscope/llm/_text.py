@@ -33,11 +33,11 @@ SLICE_BYTES = 512 << 10
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into runs of rows with about `limit` bytes of text each, a row at least."""
+    """Cuts a batch into runs of rows with about `limit` bytes of text (or of a list of longs) each, a row at least."""
     if batch.num_rows == 0:
         return
     col = batch.column(batch.schema.get_field_index(text))
-    _, offsets = buffer_of(col)
+    offsets = 8 * col.offsets.to_numpy() if pa.types.is_list(col.type) else buffer_of(col)[1]
     block = (offsets[:-1] - offsets[0]) // limit
     cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts[:-1], cuts[1:]):
@@ -174,6 +174,12 @@ def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - (ends - count), count)
 
 
+def listed(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of all entries of a list column; null lists are empty."""
+    lists = lists.fill_null([]) if lists.null_count else lists
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(zero_copy_only=False)
+
+
 def signed(h: np.ndarray) -> pa.Array:
     """As Spark's long."""
     return pa.array(h.view(np.int64))

@@ -7,9 +7,10 @@ threshold of 0.75, above 0.99999 from 0.8 on, and 0.005 at 0.23, so that a text'
 Only sub-keys that two classes share are combined, and those of a text that have the same members count as one.
 
 1. Equal shingle sets become one class, named by its smallest id.
-2. Each bucket of a table links its members to its smallest member, where the sizes of the sets allow it; these candidate
-   links are confirmed on full sets.
-3. Members of buckets that still hold several components are compared across components, exactly, in blocks of bounded
+2. Each bucket of the tables (i, i) links its members to its smallest member, where the sizes of the sets allow it; these
+   candidate links are confirmed on full sets. Most copies become one component here, so that a large group needs few keys.
+3. The same with the buckets of all tables, for the sub-keys that several components still share.
+4. Members of buckets that still hold several components are compared across components, exactly, in blocks of bounded
    size (counts of common shingles by matrix product). Buckets with the same members are taken once. Where the buckets of a
    connected region overlap so much that comparing bucket by bucket would make more comparisons than the region has pairs,
    the region is compared as one. Pairs inside a component are skipped and no pair list is made.
@@ -167,29 +168,116 @@ def _sizes_allow(n: str, m: str, percent: int):
     return (F.least(n, m) == 0) | (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m))
 
 
-def _buckets(reps: DataFrame, tables: int):
-    """(t, id, n): the table keys of all representatives, as far as another one shares them."""
-    sub = reps.select("id", F.posexplode("keys").alias("slot", "key"))
-    # a key is of one slot; mates: what tells its set of members
+#: What of a packed sub-key tells its set of members; the rest is its place.
+_MATES = -64
+
+
+def _diagonal_rows(tables: int):
+    """Rows (id, n, keys) -> (t, id, n, component) for the tables that join sub-key i of both collections; the id as component."""
+
+    def rows(batch: pa.RecordBatch):
+        row, v = T.listed(batch.column(2))
+        slot, mates = v & ~_MATES, v & _MATES
+        p, q = slot < tables, slot >= tables
+        _, i, j = np.intersect1d(row[p] * tables + slot[p], row[q] * tables + slot[q] - tables, return_indices=True)
+        yield _table_keys(batch.column(0), batch.column(1), batch.column(0), row[p][i], mates[p][i], mates[q][j])
+
+    return T.mapped(rows, "keys")
+
+
+def _tensor_rows(batch: pa.RecordBatch):
+    """Rows (id, n, component, keys) -> (t, id, n, component) for all pairs of a first and a second sub-key (odd ones)."""
+    row, v = T.listed(batch.column(3))
+    order = np.lexsort((v & 1, row))
+    row, v = row[order], v[order]
+    second = (v & 1).astype(bool)
+    prow, p, qrow, q = row[~second], v[~second] & _MATES, row[second], v[second] & _MATES
+    at = np.searchsorted(qrow, np.arange(batch.num_rows + 1))
+    count = np.diff(at)[prow]
+    for lo in range(0, len(prow), 1 << 12):  # a key makes a few dozen rows
+        cut = slice(lo, lo + (1 << 12))
+        yield _table_keys(batch.column(0), batch.column(1), batch.column(2), np.repeat(prow[cut], count[cut]), np.repeat(p[cut], count[cut]), q[T.ranges(at[prow[cut]], count[cut])])
+
+
+def _table_keys(ids: pa.Array, n: pa.Array, component: pa.Array, row: np.ndarray, p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+    t = T.mix(T.mix(p.view(T.U)) + q.view(T.U))
+    order = np.lexsort((t, row))
+    row, t = row[order], t[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (t[1:] != t[:-1])
+    at = pa.array(row[new])
+    return pa.RecordBatch.from_arrays([T.signed(t[new]), ids.take(at), n.take(at), component.take(at)], ["t", "id", "n", "component"])
+
+
+_TABLE_KEYS = "t long, id long, n long, component long"
+
+
+def _sizes_allow(n: str, m: str, percent: int):
+    """Whether two sets of these sizes can be similar enough; 0 stands for an id with several sets."""
+    return (F.least(n, m) == 0) | (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m))
+
+
+def _shared_keys(reps: DataFrame) -> DataFrame:
+    """(id, n, keys): the sub-keys that another representative has, too; each as what tells its set of members, with its place."""
+    sub = reps.select("id", F.posexplode("keys").alias("slot", "key"))  # a key is of one slot
     alike = sub.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x")).where("lo <> hi").select("key", F.xxhash64("lo", "hi", "c", "x").alias("mates"))
-    own = sub.select("id", (F.col("slot") >= tables).alias("second"), "key").join(splittable(alike, "key"), "key")
-    half = own.groupBy("id").agg(F.collect_set(F.when(~F.col("second"), F.col("mates"))).alias("p"), F.collect_set(F.when(F.col("second"), F.col("mates"))).alias("q")).where("size(p) > 0 and size(q) > 0")
-    sized = half.join(reps.groupBy("id").agg(F.when(F.count(F.lit(1)) == 1, F.min("n")).otherwise(0).alias("n")), "id")
-    return sized.select("id", "n", F.explode("p").alias("p"), "q").select("id", "n", "p", F.explode("q").alias("q")).select("id", "n", F.xxhash64("p", "q").alias("t"))
+    own = sub.join(splittable(alike, "key"), "key").select("id", F.col("mates").bitwiseAND(F.lit(_MATES)).bitwiseOR(F.col("slot").cast("long")).alias("k"))
+    sizes = reps.groupBy("id").agg(F.when(F.count(F.lit(1)) == 1, F.min("n")).otherwise(0).alias("n"))
+    return own.groupBy("id").agg(F.collect_list("k").alias("keys")).join(sizes, "id").select("id", "n", "keys")
+
+
+def _mixed_keys(shared: DataFrame, found: DataFrame, tables: int) -> DataFrame:
+    """(id, n, component, keys): the sub-keys that members of several components share, odd for the second collection."""
+    both = shared.join(found, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"), F.array_distinct(F.transform("keys", lambda k: k.bitwiseAND(F.lit(_MATES)) + (k.bitwiseAND(F.lit(~_MATES)) >= tables).cast("int"))).alias("keys"))
+    flat = both.select("id", "n", "component", F.explode("keys").alias("k"))
+    mixed = flat.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k")
+    return flat.join(splittable(mixed, "k"), "k").groupBy("id", "n", "component").agg(F.collect_list("k").alias("keys"))
+
+
+def _members(table_keys: DataFrame) -> DataFrame:
+    """The table keys of buckets with several members, with the bucket's smallest member a, its number and what tells its members."""
+    buckets = table_keys.groupBy("t").agg(F.min(F.struct("id", "n", "component")).alias("h"), F.max("id").alias("z"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x")).where("h.id <> z")
+    named = buckets.select("t", F.col("h.id").alias("a"), F.col("h.n").alias("an"), F.col("h.component").alias("ac"), "c", F.xxhash64("h.id", "z", "c", "x").alias("mates"))
+    return table_keys.join(splittable(named, "t"), "t")
+
+
+def _stars(members: DataFrame, percent: int) -> DataFrame:
+    """Candidate links of buckets' members to the smallest one, across components."""
+    return members.where("id <> a and component <> ac").where(_sizes_allow("n", "an", percent)).select("a", F.col("id").alias("b")).distinct()
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    return links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
+
+
+def _sets(texts: DataFrame, reps: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(id, shingles) of the representatives with these ids."""
+    chosen = kept(reps.join(ids.distinct(), "id", "left_semi").select("id", "s1", "s2"))
+    raw = texts.join(chosen.select("id").distinct(), "id", "left_semi").mapInArrow(_set_rows(size), "id long, s1 long, s2 long, shingles binary")
+    return kept(raw.join(chosen, ["id", "s1", "s2"], "left_semi").dropDuplicates(["id", "s1", "s2"]).select("id", "shingles"), release=True)
+
+
+def _confirmed(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    pairs = stars.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    return kept(pairs.select("a", "b", "x", "y").mapInArrow(_confirm_rows(percent), "a long, b long"), release=True)
+
+
+def _edges(found: DataFrame) -> DataFrame:
+    return found.select(F.col("id").alias("a"), F.col("component").alias("b"))
 
 
 def _open_groups(members: DataFrame, found: DataFrame, block: int) -> DataFrame | None:
     """(g, id, component, blocks): what has to be compared across components: a bucket's members, or those of a whole region."""
-    named = members.where("c > 2").join(found, "id", "left").select("t", "a", "mates", "id", F.coalesce("component", "id").alias("component"))
+    named = members.where("c > 2").drop("component").join(found, "id", "left").select("t", "a", "mates", "id", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("t", "mates").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").groupBy("mates").agg(F.min("t").alias("t"))
-    inside = kept(named.join(splittable(mixed.select("t"), "t"), "t").select("t", "a", "id", "component"))
+    inside = kept(named.join(splittable(mixed.select("t"), "t"), "t").select("t", "a", "id", "component"), release=True)
     if inside.isEmpty():
         return None
     region = components(inside.select("a", F.col("id").alias("b"))).withColumnRenamed("component", "region")
     heads = inside.groupBy("t", "a").agg(F.count(F.lit(1)).cast("double").alias("m")).join(region.withColumnRenamed("id", "a"), "a").select("t", "region", "m")
     work = heads.groupBy("region").agg(F.sum(F.col("m") * F.col("m")).alias("by_bucket"))
     size = region.groupBy("region").agg(F.count(F.lit(1)).cast("double").alias("k"))
-    plan = kept(heads.join(work, "region").join(size, "region").withColumn("whole", F.col("k") * F.col("k") <= F.col("by_bucket")))
+    plan = kept(heads.join(work, "region").join(size, "region").withColumn("whole", F.col("k") * F.col("k") <= F.col("by_bucket")), release=True)
     blocks = lambda c: F.ceil(F.col(c) / F.lit(float(block))).cast("int").alias("blocks")
     bucketwise = inside.join(splittable(plan.where("not whole").select("t", blocks("m")), "t"), "t").select(F.xxhash64("t").alias("g"), "id", "component", "blocks")
     whole = inside.select("id", "component").distinct().join(region, "id").join(splittable(plan.where("whole").select("region", blocks("k")).distinct(), "region"), "region").select(F.xxhash64(F.lit(1), "region").alias("g"), "id", "component", "blocks")
@@ -204,29 +292,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = kept(some.groupBy("s1", "s2", "n").agg(F.min("id").alias("cls")))
     reps = kept(some.join(classes.select(F.col("cls").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi").dropDuplicates(["id", "s1", "s2"]))
 
-    table_keys = kept(_buckets(reps, tables), release=True)
-    buckets = table_keys.groupBy("t").agg(F.min(F.struct("id", "n")).alias("h"), F.max("id").alias("z"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x")).where("h.id <> z").select("t", F.col("h.id").alias("a"), F.col("h.n").alias("an"), "c", F.xxhash64("h.id", "z", "c", "x").alias("mates"))
-    members = kept(table_keys.join(splittable(buckets, "t"), "t"), release=True)
-    stars = kept(members.where(F.col("id") != F.col("a")).where(_sizes_allow("n", "an", percent)).select("a", F.col("id").alias("b")).distinct())
-
-    wanted = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).unionByName(members.where("c > 2").select("id")).distinct()
-    chosen = kept(reps.join(wanted, "id", "left_semi").select("id", "s1", "s2"))
-    raw_sets = texts.join(chosen.select("id").distinct(), "id", "left_semi").mapInArrow(_set_rows(size), "id long, s1 long, s2 long, shingles binary")
-    sets = kept(raw_sets.join(chosen, ["id", "s1", "s2"], "left_semi").dropDuplicates(["id", "s1", "s2"]).select("id", "shingles"), release=True)
-    pairs = stars.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
-    links = kept(pairs.mapInArrow(_confirm_rows(percent), "a long, b long"), release=True)
+    shared = kept(_shared_keys(reps), release=True)
+    stars = kept(_stars(_members(kept(shared.mapInArrow(_diagonal_rows(tables), _TABLE_KEYS))).withColumn("ac", F.col("a")), percent), release=True)
+    sets = _sets(texts, reps, _ends(stars), size)
+    links = _confirmed(stars, sets, percent)
     twice = kept(some.groupBy("id").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo <> hi").select("id"))
     if not twice.isEmpty():  # an id with several texts is one document
         links = links.unionByName(some.join(twice, "id", "left_semi").join(classes, ["s1", "s2", "n"]).where("id <> cls").select(F.col("cls").alias("a"), F.col("id").alias("b")))
-    found = kept(components(links))
-
-    open_groups = _open_groups(members, found, block)
-    final = found
-    if open_groups is not None:
-        placed = open_groups.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        spread = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("id", "component", "g", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-        more = spread.join(sets, "id").groupBy("g", "p", "q").applyInArrow(_block_links(percent), "a long, b long")
-        final = kept(components(found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)))
+    final = kept(components(links), release=True)
+
+    members = kept(_members(kept(_mixed_keys(shared, final, tables).mapInArrow(T.mapped(_tensor_rows, "keys"), _TABLE_KEYS))), release=True)
+    if not members.isEmpty():
+        stars = kept(_stars(members, percent))
+        sets = sets.unionByName(_sets(texts, reps, _ends(stars).unionByName(members.where("c > 2").select("id")).join(sets.select("id").distinct(), "id", "left_anti"), size))
+        final = kept(components(_edges(final).unionByName(_confirmed(stars, sets, percent))), release=True)
+        open_groups = _open_groups(members, final, block)
+        if open_groups is not None:
+            placed = open_groups.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+            spread = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("id", "component", "g", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+            more = kept(spread.join(sets, "id").groupBy("g", "p", "q").applyInArrow(_block_links(percent), "a long, b long"), release=True)
+            final = kept(components(_edges(final).unionByName(more)), release=True)
 
     cls = kept(classes.join(final.withColumnRenamed("id", "cls"), "cls", "left").select("s1", "s2", "n", F.coalesce("component", "cls").alias("component")))
     named = sketch.where("id is not null").select("id", "n", "s1", "s2").join(cls, ["s1", "s2", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -35,12 +35,6 @@ def _tag(sig: np.ndarray) -> np.ndarray:
     return sig.astype(np.int64) & ~np.int64(WHOLE)
 
 
-def _marked(lists: pa.Array, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, mark) of all list entries; null lists are empty."""
-    lists = lists.fill_null([]) if lists.null_count else lists
-    return np.repeat(np.arange(rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(zero_copy_only=False)
-
-
 def _anchor_rows(size: int):
     """Rows (id, sig, text) -> an (anchor, id, sig, at) for every cover position."""
     cover = np.zeros(PERIOD, bool)
@@ -62,11 +56,11 @@ def _window_rows(size: int, anchor: int):
     def rows(batch: pa.RecordBatch):
         words = T.Words(batch.column(2))
         tag = _tag(batch.column(1).to_numpy())
-        row, mark = _marked(batch.column(4), batch.num_rows)
+        row, mark = T.listed(batch.column(4))
         copy = np.zeros(batch.num_rows, bool)
         copy[row[mark == (tag[row] | WHOLE)]] = True
         near = np.zeros(len(words) + 1, np.int64)
-        doc, at = _marked(batch.column(3), batch.num_rows)
+        doc, at = T.listed(batch.column(3))
         keep = (at < words.counts[doc]) & ~copy[doc]  # the first: not an anchor of another text with this id
         doc, at = doc[keep], at[keep]
         base = words.offsets[:-1][doc]
@@ -120,7 +114,7 @@ def _cut_column(size: int, only_changed: bool):
         words = T.Words(batch.column(0))
         n = batch.num_rows
         edge = np.zeros(len(words) + 1, np.int64)
-        row, mark = _marked(batch.column(2), n)
+        row, mark = T.listed(batch.column(2))
         mine = (mark & ~np.int64(WHOLE)) == _tag(batch.column(1).to_numpy())[row]
         row, at = row[mine], mark[mine] & WHOLE
         width = np.where(at == WHOLE, words.counts[row], size)
