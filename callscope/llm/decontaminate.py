@@ -143,7 +143,10 @@ _CUT = "n_words long, n_hit long, kept string"
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, text: str, finish, schema: str, size: int, max_windows: int) -> DataFrame:
-    """Adds found: what `finish` makes of each text's words and hits, in one pass over the texts (one Python worker a task)."""
+    """Adds found: what `finish` makes of each text's words and hits, in one pass over the texts (one Python worker a task).
+
+    The function is marked as not deterministic, which keeps Spark from running it again for a filter on what it finds.
+    """
     found = windows(benchmark, size=size)
     if found.count() > max_windows:
         return _joined(docs, found, text, finish, schema, size)
@@ -153,7 +156,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, text: str, finish, schema: str
         words = T.Words(col, T.NOT_ALNUM, lower=True)
         return finish(col, words, *_hits(shared.value, words))
 
-    return docs.withColumn("found", F.arrow_udf(T.array_mapped(scan), schema)(F.col(text)))
+    return docs.withColumn("found", F.arrow_udf(T.array_mapped(scan), schema).asNondeterministic()(F.col(text)))
 
 
 def _sieve(found: DataFrame) -> np.ndarray:
@@ -201,7 +204,7 @@ def _joined(docs: DataFrame, found: DataFrame, text: str, finish, schema: str, s
         return finish(col, words, doc, at, n, item)
 
     met = keyed.join(lists, ["r1", "r2"], "left")
-    return met.withColumn("found", F.arrow_udf(end, schema)(F.col(text), F.col("hits"))).drop("r1", "r2", "hits")
+    return met.withColumn("found", F.arrow_udf(end, schema).asNondeterministic()(F.col(text), F.col("hits"))).drop("r1", "r2", "hits")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, max_windows: int = MAX_WINDOWS) -> DataFrame:
