@@ -1,10 +1,11 @@
 """Near-duplicate classes of documents by MinHash with tensored banding, confirmed on full shingle sets.
 
-Two small collections of sub-keys, TABLES of ROWS minhashes each, give TABLES * TABLES table keys: key (i, j) joins
-sub-key i of the first collection and j of the second. 2 * TABLES * ROWS minhashes thus do the work of
-TABLES^2 * 2 * ROWS. A pair of similarity s is a candidate with probability (1 - (1 - s^ROWS)^TABLES)^2: 0.9995 at the
-threshold of 0.75, above 0.99999 from 0.8 on, and 0.005 at 0.23, so that a text's share of common boilerplate makes few candidates.
-Only sub-keys that two classes share are combined, and those of a text that have the same members count as one.
+Two small collections of sub-keys, TABLES of ROWS minhashes each, give table keys: key (i, j) joins sub-key i of the first
+collection and j of the second, for the WIDTH values of j that follow i round the clock. 2 * TABLES * ROWS minhashes thus do
+the work of TABLES * WIDTH * 2 * ROWS. At the threshold of 0.75 a pair is missed with probability 0.0008 (0.0005 as it shares no
+sub-key of a collection, the rest as none of the shared ones meet), below 0.0001 from 0.8 on; at 0.23 it is a candidate with
+probability 0.003 at most, so that a text's share of common boilerplate makes few candidates.
+Only sub-keys that two classes share are combined, and buckets with the same members count as one.
 
 1. Equal shingle sets become one class, named by its smallest id.
 2. Each bucket of the tables (i, i) links its members to its smallest member, where the sizes of the sets allow it; these
@@ -32,7 +33,7 @@ from callscope.llm import _text as T
 from callscope.llm._frames import components, kept, splittable
 
 SIZE, PERCENT = 5, 75
-TABLES, ROWS = 22, 4
+TABLES, ROWS, WIDTH = 22, 4, 9
 BLOCK = 256
 
 
@@ -185,18 +186,24 @@ def _diagonal_rows(tables: int):
     return T.mapped(rows, "keys")
 
 
-def _tensor_rows(batch: pa.RecordBatch):
-    """Rows (id, n, component, keys) -> (t, id, n, component) for all pairs of a first and a second sub-key (odd ones)."""
-    row, v = T.listed(batch.column(3))
-    order = np.lexsort((v & 1, row))
-    row, v = row[order], v[order]
-    second = (v & 1).astype(bool)
-    prow, p, qrow, q = row[~second], v[~second] & _MATES, row[second], v[second] & _MATES
-    at = np.searchsorted(qrow, np.arange(batch.num_rows + 1))
-    count = np.diff(at)[prow]
-    for lo in range(0, len(prow), 1 << 12):  # a key makes a few dozen rows
-        cut = slice(lo, lo + (1 << 12))
-        yield _table_keys(batch.column(0), batch.column(1), batch.column(2), np.repeat(prow[cut], count[cut]), np.repeat(p[cut], count[cut]), q[T.ranges(at[prow[cut]], count[cut])])
+def _tensor_rows(tables: int, width: int):
+    """Rows (id, n, component, keys) -> (t, id, n, component) for the tables of a first sub-key and the `width` second ones from its place on."""
+
+    def rows(batch: pa.RecordBatch):
+        row, v = T.listed(batch.column(3))
+        slot, mates = v & ~_MATES, v & _MATES
+        order = np.argsort(row, kind="stable")
+        first, second = order[slot[order] < tables], order[slot[order] >= tables]
+        at = np.searchsorted(row[second], np.arange(batch.num_rows + 1))
+        count = np.diff(at)[row[first]]
+        for lo in range(0, len(first), 1 << 12):  # a sub-key makes a few dozen rows
+            own, n = first[lo : lo + (1 << 12)], count[lo : lo + (1 << 12)]
+            p, q = np.repeat(own, n), second[T.ranges(at[row[own]], n)]
+            near = (slot[q] - slot[p]) % tables < width
+            p, q = p[near], q[near]
+            yield _table_keys(batch.column(0), batch.column(1), batch.column(2), row[p], mates[p], mates[q])
+
+    return T.mapped(rows, "keys")
 
 
 def _table_keys(ids: pa.Array, n: pa.Array, component: pa.Array, row: np.ndarray, p: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
@@ -226,17 +233,16 @@ def _shared_keys(reps: DataFrame) -> DataFrame:
     return own.groupBy("id").agg(F.collect_list("k").alias("keys")).join(sizes, "id").select("id", "n", "keys")
 
 
-def _mixed_keys(shared: DataFrame, found: DataFrame, tables: int) -> DataFrame:
-    """(id, n, component, keys): the sub-keys that members of several components share, odd for the second collection."""
-    both = shared.join(found, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"), F.array_distinct(F.transform("keys", lambda k: k.bitwiseAND(F.lit(_MATES)) + (k.bitwiseAND(F.lit(~_MATES)) >= tables).cast("int"))).alias("keys"))
-    flat = both.select("id", "n", "component", F.explode("keys").alias("k"))
+def _mixed_keys(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, n, component, keys): the sub-keys that members of several components share."""
+    flat = shared.join(found, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"), F.explode("keys").alias("k"))
     mixed = flat.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k")
     return flat.join(splittable(mixed, "k"), "k").groupBy("id", "n", "component").agg(F.collect_list("k").alias("keys"))
 
 
 def _members(table_keys: DataFrame) -> DataFrame:
-    """The table keys of buckets with several members, with the bucket's smallest member a, its number and what tells its members."""
-    buckets = table_keys.groupBy("t").agg(F.min(F.struct("id", "n", "component")).alias("h"), F.max("id").alias("z"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x")).where("h.id <> z")
+    """The table keys of buckets with several components, with the bucket's smallest member a, its number and what tells its members."""
+    buckets = table_keys.groupBy("t").agg(F.min(F.struct("id", "n", "component")).alias("h"), F.max("id").alias("z"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x")).where("lo <> hi")
     named = buckets.select("t", F.col("h.id").alias("a"), F.col("h.n").alias("an"), F.col("h.component").alias("ac"), "c", F.xxhash64("h.id", "z", "c", "x").alias("mates"))
     return table_keys.join(splittable(named, "t"), "t")
 
@@ -268,23 +274,23 @@ def _edges(found: DataFrame) -> DataFrame:
 
 def _open_groups(members: DataFrame, found: DataFrame, block: int) -> DataFrame | None:
     """(g, id, component, blocks): what has to be compared across components: a bucket's members, or those of a whole region."""
-    named = members.where("c > 2").drop("component").join(found, "id", "left").select("t", "a", "mates", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("t", "mates").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").groupBy("mates").agg(F.min("t").alias("t"))
-    inside = kept(named.join(splittable(mixed.select("t"), "t"), "t").select("t", "a", "id", "component"), release=True)
+    some = members.where("c > 2").select("mates", "a", "id").distinct()  # buckets with the same members as one
+    inside = kept(some.join(found, "id", "left").select("mates", "a", "id", F.coalesce("component", "id").alias("component")), release=True)
     if inside.isEmpty():
         return None
     region = components(inside.select("a", F.col("id").alias("b"))).withColumnRenamed("component", "region")
-    heads = inside.groupBy("t", "a").agg(F.count(F.lit(1)).cast("double").alias("m")).join(region.withColumnRenamed("id", "a"), "a").select("t", "region", "m")
+    mixed = inside.groupBy("mates", "a").agg(F.count(F.lit(1)).cast("double").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    heads = mixed.join(region.withColumnRenamed("id", "a"), "a").select("mates", "region", "m")
     work = heads.groupBy("region").agg(F.sum(F.col("m") * F.col("m")).alias("by_bucket"))
     size = region.groupBy("region").agg(F.count(F.lit(1)).cast("double").alias("k"))
     plan = kept(heads.join(work, "region").join(size, "region").withColumn("whole", F.col("k") * F.col("k") <= F.col("by_bucket")), release=True)
     blocks = lambda c: F.ceil(F.col(c) / F.lit(float(block))).cast("int").alias("blocks")
-    bucketwise = inside.join(splittable(plan.where("not whole").select("t", blocks("m")), "t"), "t").select(F.xxhash64("t").alias("g"), "id", "component", "blocks")
+    bucketwise = inside.join(splittable(plan.where("not whole").select("mates", blocks("m")), "mates"), "mates").select(F.col("mates").alias("g"), "id", "component", "blocks")
     whole = inside.select("id", "component").distinct().join(region, "id").join(splittable(plan.where("whole").select("region", blocks("k")).distinct(), "region"), "region").select(F.xxhash64(F.lit(1), "region").alias("g"), "id", "component", "blocks")
     return bucketwise.unionByName(whole)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, tables: int = TABLES, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, tables: int = TABLES, rows: int = ROWS, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """One row (id, n_shingles, component_id, kept) per document; component_id is the smallest id reachable by links."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = kept(texts.mapInArrow(_sketch_rows(size, tables, rows), "id long, n long, s1 long, s2 long, keys array<long>"))
@@ -301,17 +307,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(some.join(twice, "id", "left_semi").join(classes, ["s1", "s2", "n"]).where("id <> cls").select(F.col("cls").alias("a"), F.col("id").alias("b")))
     final = kept(components(links), release=True)
 
-    members = kept(_members(kept(_mixed_keys(shared, final, tables).mapInArrow(T.mapped(_tensor_rows, "keys"), _TABLE_KEYS))), release=True)
+    members = kept(_members(kept(_mixed_keys(shared, final).mapInArrow(_tensor_rows(tables, width), _TABLE_KEYS))), release=True)
     if not members.isEmpty():
         stars = kept(_stars(members, percent))
         sets = sets.unionByName(_sets(texts, reps, _ends(stars).unionByName(members.where("c > 2").select("id")).join(sets.select("id").distinct(), "id", "left_anti"), size))
-        final = kept(components(_edges(final).unionByName(_confirmed(stars, sets, percent))), release=True)
+        links = _edges(final).unionByName(_confirmed(stars, sets, percent))
         open_groups = _open_groups(members, final, block)
         if open_groups is not None:
             placed = open_groups.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
             spread = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("id", "component", "g", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
             more = kept(spread.join(sets, "id").groupBy("g", "p", "q").applyInArrow(_block_links(percent), "a long, b long"), release=True)
-            final = kept(components(_edges(final).unionByName(more)), release=True)
+            links = links.unionByName(more)
+        final = kept(components(links), release=True)
 
     cls = kept(classes.join(final.withColumnRenamed("id", "cls"), "cls", "left").select("s1", "s2", "n", F.coalesce("component", "cls").alias("component")))
     named = sketch.where("id is not null").select("id", "n", "s1", "s2").join(cls, ["s1", "s2", "n"], "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
