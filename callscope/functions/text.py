@@ -15,7 +15,7 @@ MARKERS = ("so", "well", "and", "but", "or", "oh", "now", "then", "um", "uh", "o
 #: Filler words and phrases.
 FILLERS = ("um", "uh", "like", "you know", "i mean", "so", "well", "i guess", "basically", "er")
 #: Fixed value: first-person words.
-FIRST_PERSON = r"(?i)\b(i|my|me|mine|myself|we|our|us|ours|ourselves)\b"
+FIRST_PERSON = r"(?i)(^|[^\p{L}\p{N}_])(i|my|me|mine|myself|we|our|us|ours|ourselves)($|[^\p{L}\p{N}_])"
 ECHO_WORDS, ECHO_SHARE, ANECDOTE_WORDS = 6, 0.5, 5
 
 _ENDS = r"""^["'.,!?;:()\[\]]+|["'.,!?;:()\[\]]+$"""

@@ -31,6 +31,7 @@ def features(spark, sf_dir):
 
 _LIST = lambda xs: ", ".join(f"'{x}'" for x in xs)
 _WORDS = r"list_filter(string_split_regex(lower(text), '\s+'), lambda w: w <> '')"
+_BARE = r"array_to_string(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '' AND NOT (starts_with(w, '[') AND ends_with(w, ']'))), ' ')"
 _TOK = f"list_filter({_WORDS}, lambda w: NOT (starts_with(w, '[') AND ends_with(w, ']')))"
 _BC = rf"list_filter(list_transform({_WORDS}, lambda w: regexp_replace(regexp_replace(w, '^[[:punct:]]+', ''), '[[:punct:]]+$', '')), lambda w: w <> '')"
 BC_SQL = f"CASE WHEN len({_BC}) > 0 AND len(list_filter({_BC}, lambda w: w NOT IN ({_LIST(X.BACKCHANNELS)}))) = 0 THEN 1 ELSE 0 END"
@@ -167,7 +168,7 @@ PAST = ("was", "were", "had", "did", "went", "asked", "answered", "worked")
 
 
 @query(rf"""
-a AS (SELECT *, len({_TOK}) >= 5 AND regexp_matches(text, '(?i)\b(i|my|me|mine|myself|we|our|us|ours|ourselves)\b') AND len(list_intersect({_TOK}, [{_LIST(PAST)}])) > 0 AS an FROM u),
+a AS (SELECT *, len({_TOK}) >= 5 AND regexp_matches({_BARE}, '{X.FIRST_PERSON}') AND len(list_intersect({_TOK}, [{_LIST(PAST)}])) > 0 AS an FROM u),
 l AS (SELECT *, lag(side) OVER ({ORDER}) AS ls, lag(an) OVER ({ORDER}) AS la FROM a)
 SELECT call_id, side, utt_num, CASE WHEN ls IS NULL THEN NULL WHEN ls = side THEN 0 ELSE (an AND la)::INT END AS mutual_revelation FROM l
 """)

@@ -9,9 +9,10 @@ from callscope.operators import chronology as C
 from callscope.operators import groups as S
 from callscope.operators import overlap as O
 from callscope.operators import quality as Q
+from callscope.operators import registry as R
 from callscope.operators import units as U
 from callscope.plans import annotated, core, corpus
-from callscope.plans.core import BC_SQL, CONTENT, ORDER, PAUSES_SQL, STARTERS, TURNS_SQL, _TOK
+from callscope.plans.core import BC_SQL, CONTENT, ORDER, PAUSES_SQL, STARTERS, TURNS_SQL, _BARE, _TOK
 from callscope.sources import tables as B
 from callscope.streaming import incremental as I
 
@@ -109,7 +110,7 @@ def src_verify_durations(spark, sf_dir):
     u = corpus.utterances(spark, sf_dir)
     key = B.format_key(F.col("call_id"), F.col("side"), F.col("utt_num"))
     audio = u.where("utt_num % 10 <> 3").select(key.alias("file"), (F.col("end") - F.col("start") + F.when(F.col("utt_num") % 6 == 4, 0.02).otherwise(0.001)).alias("seconds"))
-    return B.verify_durations(B.build_manifest(u), audio, u, n=2**31 - 2, seed=7)
+    return B.verify_durations(B.build_manifest(u), audio, u, n=None, seed=7)
 
 
 @query(f"{TURNS_SQL} SELECT u.call_id, u.side, u.utt_num, text, kind, fto FROM u LEFT JOIN ev USING (call_id, side, utt_num)")
@@ -172,18 +173,25 @@ def _table(spark, sf_dir):
 
 
 FEATURES = ["token_count", "word_rate", "fto", "pause_total", "obstructive"]
-_MEANS = "round(avg(CASE WHEN backchannel = 0 THEN token_count END), 4) AS token_count, round(avg(CASE WHEN backchannel = 0 THEN word_rate END), 4) AS word_rate, round(avg(CASE WHEN backchannel = 0 AND fto BETWEEN -2 AND 2 THEN fto END), 4) AS fto, round(avg(CASE WHEN backchannel = 0 THEN pause_total END), 4) AS pause_total, round(avg(CASE WHEN backchannel = 0 THEN obstructive END), 4) AS obstructive, count_if(backchannel = 0)::BIGINT AS n_sub, count(CASE WHEN backchannel = 0 AND fto BETWEEN -2 AND 2 THEN fto END) AS n_fto, round(avg(backchannel), 4) AS bc_rate"
+
+
+def _means(df):
+    return df.withColumns({c: F.round(F.col(c) + 1e-10, 6) for c in (*FEATURES, "bc_rate")})
+
+
+#: Six places; a mean that lies on a tie, as sums of whole milliseconds may, is rounded up alike by both engines, whose sums differ in the last bit.
+_MEANS = "round(avg(CASE WHEN backchannel = 0 THEN token_count END) + 1e-10, 6) AS token_count, round(avg(CASE WHEN backchannel = 0 THEN word_rate END) + 1e-10, 6) AS word_rate, round(avg(CASE WHEN backchannel = 0 AND fto BETWEEN -2 AND 2 THEN fto END) + 1e-10, 6) AS fto, round(avg(CASE WHEN backchannel = 0 THEN pause_total END) + 1e-10, 6) AS pause_total, round(avg(CASE WHEN backchannel = 0 THEN obstructive END) + 1e-10, 6) AS obstructive, count_if(backchannel = 0)::BIGINT AS n_sub, count(CASE WHEN backchannel = 0 AND fto BETWEEN -2 AND 2 THEN fto END) AS n_fto, round(avg(backchannel) + 1e-10, 6) AS bc_rate"
 
 
 @query(f"{UNIT_SQL} SELECT caller, {_MEANS}, min(gender) AS gender, min(region) AS region FROM fu WHERE caller IS NOT NULL GROUP BY caller HAVING count_if(backchannel = 0) >= 20")
 def agg_unit_table_caller(spark, sf_dir):
     t = U.unit_table(_table(spark, sf_dir).where("caller IS NOT NULL"), "caller", FEATURES, demographics=["gender", "region"])
-    return _round(t, *FEATURES, "bc_rate", places=4)
+    return _means(t)
 
 
 @query(f"{UNIT_SQL} SELECT call_id, side, {_MEANS} FROM fu GROUP BY ALL HAVING count_if(backchannel = 0) >= 5")
 def agg_unit_table_side(spark, sf_dir):
-    return _round(U.unit_table(_table(spark, sf_dir), ["call_id", "side"], FEATURES, min_utterances=5), *FEATURES, "bc_rate", places=4)
+    return _means(U.unit_table(_table(spark, sf_dir), ["call_id", "side"], FEATURES, min_utterances=5))
 
 
 @query(f"{TURNS_SQL} SELECT call_id, side, utt_num, CASE WHEN fto BETWEEN -2 AND 2 THEN fto END AS fto FROM ev")
@@ -447,7 +455,7 @@ def prj_known_education(spark, sf_dir):
     return known.groupBy("education").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("token_count"), 4).alias("mean_tokens")).where("n >= 5")
 
 
-@query(f"SELECT call_id, side, utt_num, len({_TOK}) >= 0 AND len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '' AND NOT (starts_with(w, '[') AND ends_with(w, ']')))) >= 5 AND regexp_matches(text, '(?i)\\b(i|my|me|mine|myself|we|our|us|ours|ourselves)\\b') AS may_be_anecdote FROM u")
+@query(f"SELECT call_id, side, utt_num, len({_TOK}) >= 0 AND len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '' AND NOT (starts_with(w, '[') AND ends_with(w, ']')))) >= 5 AND regexp_matches({_BARE}, '{X.FIRST_PERSON}') AS may_be_anecdote FROM u")
 def scl_anecdote_candidate(spark, sf_dir):
     return corpus.utterances(spark, sf_dir).select(*C.KEY, X.may_be_anecdote(F.col("text")).alias("may_be_anecdote"))
 
@@ -455,3 +463,18 @@ def scl_anecdote_candidate(spark, sf_dir):
 @query(f"{TURNS_SQL} SELECT call_id, side, utt_num, kind, fto FROM ev ORDER BY call_id, side, utt_num")
 def srt_manifest_order(spark, sf_dir):
     return core.features(spark, sf_dir).select(*C.KEY, "kind", "fto").orderBy(*C.KEY)
+
+
+@query(f"SELECT call_id, side, utt_num, len({_TOK})::INT AS token_count, {BC_SQL} AS backchannel, CASE WHEN \"end\" > start THEN round(len({_TOK}) / (\"end\" - start), 6) END AS word_rate FROM u")
+def udf_run_feature(spark, sf_dir):
+    u = corpus.utterances(spark, sf_dir)
+    out = R.run_feature("token_count", u)
+    for name in ("backchannel", "word_rate"):
+        out = out.join(R.run_feature(name, u), C.KEY)
+    return out
+
+
+@query(f"SELECT call_id, side, utt_num, i, token, CASE WHEN length(token) % 2 = 0 THEN 'even' ELSE 'odd' END AS tag FROM w")
+def udf_tag_tokens(spark, sf_dir):
+    words = corpus.words(spark, sf_dir)
+    return R.tag_tokens(words, lambda: lambda tokens: ["odd" if len(t) % 2 else "even" for t in tokens]).select(*C.KEY, "i", "token", "tag")

@@ -141,10 +141,11 @@ def assert_fresh(spark: SparkSession, table: str, inputs: list[str]) -> None:
         raise ValueError(f"{table} is older than {stale}")
 
 
-def verify_durations(manifest: DataFrame, audio: DataFrame, utterances: DataFrame, n: int, seed: int, tolerance: float = 0.005) -> DataFrame:
-    """(key, reason) for a seeded sample of n manifest rows whose audio length disagrees with the transcript, or can't be told."""
+def verify_durations(manifest: DataFrame, audio: DataFrame, utterances: DataFrame, n: int | None, seed: int, tolerance: float = 0.005) -> DataFrame:
+    """(key, reason) for a seeded sample of n manifest rows (None: all, without a sort) whose audio length disagrees with the transcript, or can't be told."""
     k = parse_key(F.col(f"`{FILE}`"))
-    sample = manifest.orderBy(F.xxhash64(F.lit(seed), f"`{FILE}`"), f"`{FILE}`").limit(n).select(F.col(f"`{FILE}`").alias("file"), k["call_id"].alias("call_id"), k["side"].alias("side"), k["utt_num"].alias("utt_num"))
+    some = manifest if n is None else manifest.orderBy(F.xxhash64(F.lit(seed), f"`{FILE}`"), f"`{FILE}`").limit(n)
+    sample = some.select(F.col(f"`{FILE}`").alias("file"), k["call_id"].alias("call_id"), k["side"].alias("side"), k["utt_num"].alias("utt_num"))
     j = sample.join(audio.select("file", "seconds"), "file", "left").join(utterances.select(*KEY, F.round(F.col("end") - F.col("start"), 6).alias("expected")), KEY, "left")
     reason = F.when(F.col("call_id").isNull(), "bad key").when(F.col("seconds").isNull(), "no audio").when(F.col("expected").isNull(), "no transcript line").when(F.round(F.abs(F.col("seconds") - F.col("expected")), 6) > tolerance, "duration differs")
     return j.select("file", reason.alias("reason"))
