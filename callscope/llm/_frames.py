@@ -25,19 +25,25 @@ def shared_dir(spark: SparkSession) -> str:
 def kept(df: DataFrame, release: bool = False) -> DataFrame:
     """Writes the rows in the shared folder and reads them back: cuts lineage and runs the work once.
 
-    With release, what the finished work shuffled is let go at once: Spark deletes those files when the driver's collector finds
-    their plan unused, which on a large driver heap would be long after the disks are full. For the steps that shuffle texts.
+    With release, what finished steps shuffled is let go, before and after: Spark deletes those files when the driver's collector finds
+    their plan unused, which on a large driver heap would be long after the disks are full. For the steps that shuffle much.
     """
     spark = df.sparkSession
     shared_dir(spark)
+    if release:
+        _let_go(spark)  # of the step before, whose plan was still in use by Spark's listeners when it ended
     out = df.checkpoint(eager=True)
     if release:
         del df  # its plan holds the shuffles
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        _let_go(spark)
     return out
 
 
+def _let_go(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
