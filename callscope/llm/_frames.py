@@ -67,6 +67,24 @@ def splittable(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(F.xxhash64(key))
 
 
+#: Bits of a sieve; its bitmap has a row for each 64 of them, 262,144 rows at most.
+SIEVE_BITS = 1 << 24
+
+
+def sieved(df: DataFrame, ids: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among `ids`, rows whose key surely is not), so that only the first need a shuffle to meet them.
+
+    Tells by a bitmap of hashes, broadcast and of bounded size whatever the number of ids: with n of them a share of at most
+    n / SIEVE_BITS of the other rows is in the first part, too; with far more ids than bits nearly all are. Null keys are in the second part.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS))
+    place = ids.select(F.shiftright(at, 6).alias("sieve_word"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    words = F.broadcast(kept(place.groupBy("sieve_word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("sieve_bits"))))
+    met = df.withColumns({"sieve_word": F.when(F.col(key).isNotNull(), F.shiftright(at, 6)), "sieve_bit": at.bitwiseAND(F.lit(63)).cast("int")}).join(words, "sieve_word", "left")
+    may = F.coalesce(F.expr("(shiftrightunsigned(sieve_bits, sieve_bit) & 1L) = 1L"), F.lit(False))
+    return met.where(may).select(df.columns), met.where(~may).select(df.columns)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list with long ids: (id, component), component being the smallest id.
 

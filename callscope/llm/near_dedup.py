@@ -164,11 +164,6 @@ def _block_links(percent: int):
     return links
 
 
-def _sizes_allow(n: str, m: str, percent: int):
-    """Whether two sets of these sizes can be similar enough; 0 stands for an id with several sets."""
-    return (F.least(n, m) == 0) | (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m))
-
-
 #: What of a packed sub-key tells its set of members; the rest is its place.
 _MATES = -64
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.llm import _text as T
-from callscope.llm._frames import kept, splittable
+from callscope.llm._frames import kept, sieved, splittable
 
 PERIOD = 31
 #: A perfect difference set modulo 31.
@@ -77,7 +77,7 @@ def _window_rows(size: int, anchor: int):
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, marks) for the ids that lose words: see WHOLE. Joins are on the id alone, so that all share one shuffle of the texts."""
+    """(id, marks) for the ids that lose words: see WHOLE. Of the texts, those that a sieve of the ids with common anchors lets through are shuffled."""
     anchor = min_words - PERIOD + 1
     if anchor < 1:
         raise ValueError(f"min_words must be {PERIOD} or more")
@@ -90,7 +90,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     common = kept(anchors.groupBy("anchor").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo <> hi").select("anchor"), release=True)
     near = kept(anchors.select("anchor", "id", "at").join(common, "anchor").groupBy("id").agg(F.collect_list("at").alias("near")), release=True)
     copied = copies.groupBy("id").agg(F.collect_list("mark").alias("marks"))
-    around = texts.join(near.join(copied, "id", "left").hint("shuffle_hash"), "id").select("id", "sig", "text", "near", "marks")
+    around = sieved(texts, near)[0].join(near.join(copied, "id", "left").hint("shuffle_hash"), "id").select("id", "sig", "text", "near", "marks")
     windows = around.mapInArrow(_window_rows(min_words, anchor), "h long, c int, id long, mark long")
     first = kept(windows.groupBy("h", "c").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "c", "least"), release=True)
     found = windows.join(first, ["h", "c"]).where("id > least").select("id", "mark")
@@ -141,9 +141,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row (id, n_words, n_removed, kept_text) per input row; kept_text is the kept words joined by one space."""
     found = repeats(docs, id_col, text_col, min_words)
     cut = _cut_column(min_words, False)
-    out = keyed(docs, id_col, text_col).join(found.hint("shuffle_hash"), "id", "left").select("id", cut("text", "sig", "marks").alias("o"))
-    none = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("id"), cut(F.col(text_col), F.lit(0).cast("long"), F.lit(None).cast("array<long>")).alias("o"))
-    return out.unionByName(none).select(F.col("id").alias(id_col), "o.*")
+    row = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("sig"), F.col(text_col).alias("text"))
+    return _met(row, found).select(F.col("id").alias(id_col), cut("text", "sig", "marks").alias("o")).select(id_col, "o.*")
+
+
+def _met(row: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows with their ids' marks; only rows that may have some are shuffled."""
+    may, rest = sieved(row, found)
+    return may.join(found.hint("shuffle_hash"), "id", "left").unionByName(rest.withColumn("marks", F.lit(None).cast("array<long>")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -151,7 +156,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = repeats(docs, id_col, text_col, min_words)
     row = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("sig"))
     text = F.col(f"row.`{text_col}`")
-    met = row.join(found.hint("shuffle_hash"), "id", "left")
+    met = _met(row, found)
     new = F.when(F.col("marks").isNull(), text).otherwise(_cut_column(min_words, True)(text, F.col("sig"), F.col("marks"))["kept_text"])
     out = met.select("row", new.alias("new"))
     return out.select(*[F.col("new").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
