@@ -172,3 +172,15 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         _frames.shared_dir(Session())
 
+
+
+def test_sieved_parts_hold_every_row_once(spark):
+    rows = [(k, "x") for k in [*range(-50, 50), 7, 7, 2**62, None, None]]
+    df = spark.createDataFrame(rows, "id long, v string")
+    for wanted in ([], [7, -50, 2**62]):
+        may, rest = _frames.sieved(df, spark.createDataFrame([(k,) for k in wanted], "id long"))
+        assert may.columns == rest.columns == ["id", "v"]
+        may, rest = [r["id"] for r in may.collect()], [r["id"] for r in rest.collect()]
+        assert sorted(map(str, may + rest)) == sorted(str(k) for k, _ in rows)
+        assert set(wanted) <= set(may) and not set(wanted) & set(rest) and rest.count(None) == 2
+        assert wanted or not may
