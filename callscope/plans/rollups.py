@@ -75,6 +75,14 @@ def src_resolve_audio(spark, sf_dir):
     return resolve_audio(units, corpus.sides(spark, sf_dir).withColumnRenamed("caller", "path"))[0]
 
 
+@query("SELECT DISTINCT call_id, side, 'transcript missing' AS reason FROM sides WHERE NOT EXISTS (FROM u WHERE u.call_id = sides.call_id AND u.side = sides.side AND length(u.text) > 20)")
+def src_units_without_transcript(spark, sf_dir):
+    """Sides none of whose utterances is longer than 20 characters count as not transcribed: the given tables have text on every side."""
+    from callscope.sources.transcripts import without_transcript
+
+    return without_transcript(corpus.sides(spark, sf_dir), corpus.utterances(spark, sf_dir).where("length(text) > 20"))
+
+
 @query(f"""{TURNS_SQL}, {PAUSES_SQL} SELECT u.call_id, u.side, u.utt_num, u.text, kind, fto, latching, pause_total, pause_count, len({_TOK})::INT AS token_count FROM u JOIN ev USING (call_id, side, utt_num) JOIN pz USING (call_id, side, utt_num)""")
 def src_canonical_table(spark, sf_dir):
     u = corpus.utterances(spark, sf_dir)

@@ -85,3 +85,9 @@ def index_from_json(lines: DataFrame) -> DataFrame:
 def resolve_audio(units: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(units with their path, units without audio)."""
     return units.join(index, ["call_id", "side"]), units.join(index, ["call_id", "side"], "left_anti")
+
+
+def without_transcript(units: DataFrame, utterances: DataFrame) -> DataFrame:
+    """Wanted units (call_id, side) that have no utterance, each once with the reason; the others can be worked on."""
+    lost = units.select("call_id", "side").distinct().join(utterances.select("call_id", "side"), ["call_id", "side"], "left_anti")
+    return lost.withColumn("reason", F.lit("transcript missing"))

@@ -168,3 +168,10 @@ def test_keys_of_large_calls(spark):
     assert tables.pending_units(u.select("call_id", "side"), m).count() == 0
     audio = m.select(F.col("`Utterance File Name`").alias("file"), F.lit(1.0).alias("seconds"))
     assert tables.verify_durations(m, audio, u, 10, 1).where("reason is not null").count() == 0
+
+
+def test_units_without_transcript(spark):
+    wanted = spark.createDataFrame([(1, "A"), (1, "B"), (2, "A"), (2, "A")], "call_id int, side string")
+    had = spark.createDataFrame([(1, "A", "yes"), (1, "A", "no"), (3, "A", "x")], "call_id int, side string, text string")
+    got = sorted(tuple(r) for r in transcripts.without_transcript(wanted, had).collect())
+    assert got == [(1, "B", "transcript missing"), (2, "A", "transcript missing")]
