@@ -53,18 +53,19 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(call_id, side, caller): who speaks on each side; one side in eleven is unmapped and absent."""
+    """(call_id, side, caller): who speaks on each side, a caller for 25 customers; one side in eleven is unmapped and absent."""
     calls = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("call_id")).distinct()
     both = calls.select("call_id", F.explode(F.array(F.lit("A"), F.lit("B"))).alias("side"))
     b = (F.col("side") == "B").cast("long")
-    return both.where((F.col("call_id") + b) % 11 <= 9).select("call_id", "side", (1 + (F.col("call_id") * 2 + b) * 31 % 60).alias("caller"))
+    people = table(spark, sf_dir, "customer").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 25)).alias("k"))
+    return both.where((F.col("call_id") + b) % 11 <= 9).crossJoin(F.broadcast(people)).select("call_id", "side", (1 + (F.col("call_id") * 2 + b) * 31 % F.col("k")).alias("caller"))  # one row
 
 
 def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(caller, sex, birth_year, dialect, education) from customer and nation."""
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     k = F.col("c_custkey")
-    return c.where("c_custkey <= 60").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(k.alias("caller"), F.when(k % 2 == 0, "FEMALE").otherwise("MALE").alias("sex"), (1920 + k * 7 % 56).alias("birth_year"), F.when(k % 13 == 0, "UNK").otherwise(F.col("n_name")).alias("dialect"), (k % 4).alias("education"))
+    return c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(k.alias("caller"), F.when(k % 2 == 0, "FEMALE").otherwise("MALE").alias("sex"), (1920 + k * 7 % 56).alias("birth_year"), F.when(k % 13 == 0, "UNK").otherwise(F.col("n_name")).alias("dialect"), (k % 4).alias("education"))
 
 
 #: Tags the gold acts take in turn.
@@ -104,8 +105,8 @@ u AS (SELECT call_id, side, n * 2 AS utt_num, start_ms / 1000.0::DOUBLE AS start
   UNION ALL SELECT call_id, CASE side WHEN 'A' THEN 'B' ELSE 'A' END, n * 2 + 1, (start_ms + dur_ms // 2) / 1000.0::DOUBLE, (start_ms + dur_ms // 2 + 400) / 1000.0::DOUBLE, CASE n % 3 WHEN 0 THEN 'uh-huh' WHEN 1 THEN 'yeah right' ELSE 'um-hum' END FROM pc WHERE n % 4 = 1),
 w0 AS (SELECT call_id, side, n, start_ms, unnest(string_split_regex(text, '\s+')) AS token, generate_subscripts(string_split_regex(text, '\s+'), 1) - 1 AS i FROM pc),
 w AS (SELECT call_id, side, n * 2 AS utt_num, i, (start_ms + 60 + 120 * i + 300 * ((i + n % 8) // 8)) / 1000.0::DOUBLE AS start, (start_ms + 60 + 120 * i + 300 * ((i + n % 8) // 8) + 90 + (i * 13 % 4) * 10) / 1000.0::DOUBLE AS "end", token FROM w0),
-sides AS (SELECT call_id, side, 1 + (call_id * 2 + (side = 'B')::INT) * 31 % 60 AS caller FROM (SELECT DISTINCT conv_id AS call_id FROM conversations), (VALUES ('A'), ('B')) v(side) WHERE (call_id + (side = 'B')::INT) % 11 <= 9),
-callers AS (SELECT c_custkey AS caller, CASE c_custkey % 2 WHEN 0 THEN 'FEMALE' ELSE 'MALE' END AS sex, 1920 + c_custkey * 7 % 56 AS birth_year, CASE WHEN c_custkey % 13 = 0 THEN 'UNK' ELSE n_name END AS dialect, c_custkey % 4 AS education FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey <= 60),
+sides AS (SELECT call_id, side, 1 + (call_id * 2 + (side = 'B')::INT) * 31 % (SELECT greatest(1, count(*) // 25) FROM customer) AS caller FROM (SELECT DISTINCT conv_id AS call_id FROM conversations), (VALUES ('A'), ('B')) v(side) WHERE (call_id + (side = 'B')::INT) % 11 <= 9),
+callers AS (SELECT c_custkey AS caller, CASE c_custkey % 2 WHEN 0 THEN 'FEMALE' ELSE 'MALE' END AS sex, 1920 + c_custkey * 7 % 56 AS birth_year, CASE WHEN c_custkey % 13 = 0 THEN 'UNK' ELSE n_name END AS dialect, c_custkey % 4 AS education FROM customer JOIN nation ON c_nationkey = n_nationkey),
 acts AS (SELECT call_id, side, n * 2 + h AS act_id, (['sd', 'b', 'qy^d', 'sv', 'ba,fe', 'qw', 'sd(^q)*', '^2', 'bh', '%', 'qy^g', '+'])[(n * 5 + h * 3 + call_id) % 12 + 1] AS tag,
   (start_ms + h * (dur_ms // 2) + (n * 17 + h * 5) % 7 * 40 - 120) / 1000.0::DOUBLE AS start, (start_ms + h * (dur_ms // 2) + (n * 17 + h * 5) % 7 * 40 - 120 + dur_ms // 2) / 1000.0::DOUBLE AS "end" FROM pc, (VALUES (0), (1)) v(h)),
 fr0 AS (SELECT *, unnest(range(0, dur_ms // 40)) AS f FROM pc WHERE n % 5 <> 4),
