@@ -55,10 +55,14 @@ def per_second(count: Column, seconds: Column) -> Column:
     return F.when(seconds > 0, count / seconds)
 
 
+def vowel_groups(word: Column) -> Column:
+    """Vowel groups of a lower-case word, one at least if it has a letter."""
+    return F.when(word.rlike("[a-z]"), F.greatest(F.regexp_count(word, F.lit("[aeiouy]+")), F.lit(1))).otherwise(0)
+
+
 def syllables(text: Column) -> Column:
-    """Vowel groups of each token, one at least for a token with a letter; the fallback without a pronunciation table."""
-    count = lambda w: F.when(w.rlike("[a-z]"), F.greatest(F.regexp_count(w, F.lit("[aeiouy]+")), F.lit(1))).otherwise(0)
-    return F.aggregate(tokens(text), F.lit(0), lambda a, w: a + count(w))
+    """Vowel groups of all tokens; the fallback without a pronunciation table."""
+    return F.aggregate(tokens(text), F.lit(0), lambda a, w: a + vowel_groups(w))
 
 
 def filler_hits(text: Column) -> Column:

@@ -80,3 +80,20 @@ def question_flags(utterances: DataFrame) -> DataFrame:
 def repetitions_previous(utterances: DataFrame) -> DataFrame:
     """(key, repetitions_previous): token pairs shared with the predecessor; null for a call's first utterance."""
     return predecessor(utterances).select(*KEY, F.when(F.col("prev_text").isNotNull(), X.shared_pairs(F.col("text"), F.col("prev_text"))).alias("repetitions_previous"))
+
+
+def syllables(utterances: DataFrame, pronunciations: DataFrame) -> DataFrame:
+    """(key, syllables): sum over tokens of the pronunciation table's count, or of vowel groups for words it lacks; 0 without tokens.
+
+    pronunciations: (word, syllables), of any size; the greatest count of a word that is in it more than once.
+    """
+    known = pronunciations.where("syllables IS NOT NULL").groupBy(F.lower("word").alias("t")).agg(F.max("syllables").cast("long").alias("known"))
+    n = utterances.select(*KEY, F.explode_outer(X.tokens(F.col("text"))).alias("t")).groupBy(*KEY, "t").agg(F.count("t").alias("n"))
+    each = F.coalesce("known", X.vowel_groups(F.col("t")), F.lit(0))
+    return n.join(known, "t", "left").groupBy(*KEY).agg(F.sum(F.col("n") * each).alias("syllables"))
+
+
+def syllable_rate(utterances: DataFrame, pronunciations: DataFrame) -> DataFrame:
+    """(key, syllable_rate): per second; null without a positive duration."""
+    s = utterances.select(*KEY, (F.col("end") - F.col("start")).alias("seconds")).join(syllables(utterances, pronunciations), KEY)
+    return s.select(*KEY, X.per_second(F.col("syllables"), F.col("seconds")).alias("syllable_rate"))

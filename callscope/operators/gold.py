@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.functions import tags as G
+from callscope.functions import text as X
+from callscope.operators.groups import correlation
 
 KEY = ["call_id", "side", "utt_num"]
 BIN_SECONDS = 60.0
@@ -88,3 +90,55 @@ def floor_retention(acts_with_events: DataFrame) -> DataFrame:
     """Share of '+' acts (same speaker goes on) whose utterance opens a turn all the same."""
     plus = acts_with_events.where(F.array_contains(G.bases(F.col("tag")), "+"))
     return plus.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("turn_initial"), 6).alias("opened_share"))
+
+
+def token_counts(words: DataFrame) -> DataFrame:
+    """(key, t, n, k): how often each lower-case token t is in an utterance, in all and outside of repairs; brackets don't count.
+
+    words: (key, token, repair), repair boolean.
+    """
+    w = words.where(~X.is_bracket(F.col("token")))
+    return w.groupBy(*KEY, F.lower("token").alias("t")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce("repair", F.lit(False))).alias("k"))
+
+
+def predecessors(utterances: DataFrame) -> DataFrame:
+    """(key, prev_side, prev_num): the utterance of either side that starts before, ties by side and number; null for a call's first."""
+    w = Window.partitionBy("call_id").orderBy("start", "side", "utt_num")
+    return utterances.select(*KEY, F.lag("side").over(w).alias("prev_side"), F.lag("utt_num").over(w).alias("prev_num"))
+
+
+def _share(pairs: DataFrame) -> DataFrame:
+    n, k = F.sum("n"), F.sum("k")
+    return pairs.agg(F.coalesce(n, F.lit(0)).cast("long").alias("pairs"), F.coalesce(k, F.lit(0)).cast("long").alias("pairs_without_repair"), F.round(1 - F.try_divide(k, n), 6).alias("repair_share"))
+
+
+def current_pairs(counts: DataFrame) -> DataFrame:
+    """(key, n, k): repeated token pairs within an utterance, with and without repair tokens; a row for each utterance with tokens."""
+    c2 = lambda c: F.sum((F.col(c) * (F.col(c) - 1) / 2).cast("long")).alias(c)
+    return counts.groupBy(*KEY).agg(c2("n"), c2("k"))
+
+
+def repair_share_current(words: DataFrame) -> DataFrame:
+    """One row: pairs, pairs_without_repair, repair_share; the share is null without pairs."""
+    return _share(current_pairs(token_counts(words)))
+
+
+def repair_share_previous(words: DataFrame, utterances: DataFrame) -> DataFrame:
+    """As repair_share_current, over token pairs shared with the predecessor in time; an equi-join on call, predecessor and token."""
+    counts = token_counts(words)
+    before = counts.select("call_id", F.col("side").alias("prev_side"), F.col("utt_num").alias("prev_num"), "t", F.col("n").alias("pn"), F.col("k").alias("pk"))
+    met = counts.join(predecessors(utterances), KEY).join(before, ["call_id", "prev_side", "prev_num", "t"])
+    return _share(met.select((F.col("n") * F.col("pn")).alias("n"), (F.col("k") * F.col("pk")).alias("k")))
+
+
+def repetition_against_mirror(words: DataFrame, acts: DataFrame, decoration: str = "^m") -> DataFrame:
+    """(measure, n_sides, r): side-level repetition per utterance, whole, without repairs and by repairs, against acts with the decoration per 100 utterances.
+
+    Sides are those with tokens; one without acts has rate 0. r is null where a column is constant.
+    """
+    sides = current_pairs(token_counts(words)).groupBy("call_id", "side").agg(F.count(F.lit(1)).alias("u"), F.sum("n").alias("n"), F.sum("k").alias("k"))
+    m = acts.groupBy("call_id", "side").agg(F.count_if(F.array_contains(G.decorations(F.col("tag")), decoration)).alias("m"))
+    s = sides.join(m, ["call_id", "side"], "left").select((F.col("n") / F.col("u")).alias("raw"), (F.col("k") / F.col("u")).alias("clean"), ((F.col("n") - F.col("k")) / F.col("u")).alias("by_repair"), (100 * F.coalesce("m", F.lit(0)) / F.col("u")).alias("mirror"))
+    names = ("raw", "clean", "by_repair")
+    one = s.agg(F.count(F.lit(1)).alias("n_sides"), *[correlation(c, "mirror").alias(c) for c in names])
+    return one.select("n_sides", F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.round(c, 6).alias("r")) for c in names])).alias("x")).select("x.measure", "n_sides", "x.r")

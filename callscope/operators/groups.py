@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's r over the rows that have both, as an aggregate; null where a column is constant, on which Spark's own stops."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    both = x.isNotNull() & y.isNotNull()
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+
+
 def group_table(df: DataFrame, by: str, value: str, min_n: int = 5) -> DataFrame:
     """(by, n, mean, sd) of each group with at least `min_n` values; sample spread."""
     return df.where(F.col(value).isNotNull()).groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")).where(F.col("n") >= min_n)
@@ -28,21 +35,33 @@ def welch_t(df: DataFrame, group: Column, value: str) -> DataFrame:
 
 
 def anova(df: DataFrame, by: str, value: str, min_n: int = 5) -> DataFrame:
-    """One row: Fisher's and Welch's F with their degrees of freedom and p-values."""
-    g = group_table(df, by, value, min_n)
+    """One row: Fisher's and Welch's F with their degrees of freedom and p-values. Rows without a group are left out.
+
+    Null where undefined: both with fewer than two groups or without spread, Welch's with a group that has none.
+    """
+    g = group_table(df.where(F.col(by).isNotNull()), by, value, min_n)
     var = F.col("sd") ** 2
-    w = F.col("n") / var
-    s = g.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("nm"), F.sum(F.col("n") * F.col("mean") ** 2).alias("nmm"), F.sum((F.col("n") - 1) * var).alias("within"), F.sum(w).alias("w"), F.sum(w * F.col("mean")).alias("wm"), F.sum(w * F.col("mean") ** 2).alias("wmm"))
+    w = F.try_divide(F.col("n"), var)
+    s = g.agg(F.count(F.lit(1)).alias("k"), F.count(w).alias("spread"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("nm"), F.sum(F.col("n") * F.col("mean") ** 2).alias("nmm"), F.sum((F.col("n") - 1) * var).alias("within"), F.sum(w).alias("w"), F.sum(w * F.col("mean")).alias("wm"), F.sum(w * F.col("mean") ** 2).alias("wmm"))
     lam = g.crossJoin(F.broadcast(s.select(F.col("w").alias("all_w")))).agg(F.sum((1 - w / F.col("all_w")) ** 2 / (F.col("n") - 1)).alias("lam"))
     s = s.crossJoin(F.broadcast(lam))
     k = F.col("k")
-    fisher = (F.col("nmm") - F.col("nm") ** 2 / F.col("n")) / (k - 1) / (F.col("within") / (F.col("n") - k))
-    welch = (F.col("wmm") - F.col("wm") ** 2 / F.col("w")) / (k - 1) / (1 + 2 * (k - 2) / (k**2 - 1) * F.col("lam"))
-    out = s.select(k.cast("long").alias("k"), F.round(fisher, 6).alias("f"), (F.col("n") - k).cast("double").alias("dof"), F.round(welch, 6).alias("welch_f"), F.round((k**2 - 1) / (3 * F.col("lam")), 6).alias("welch_dof"))
+    fisher = F.try_divide(F.try_divide(F.col("nmm") - F.col("nm") ** 2 / F.col("n"), k - 1), F.try_divide(F.col("within"), F.col("n") - k))
+    whole = lambda c: F.when((F.col("spread") == k) & (k > 1), c)
+    welch = whole(F.try_divide(F.try_divide(F.col("wmm") - F.col("wm") ** 2 / F.col("w"), k - 1), 1 + F.try_divide(2 * (k - 2), k**2 - 1) * F.col("lam")))
+    out = s.select(k.cast("long").alias("k"), F.round(fisher, 6).alias("f"), (F.col("n") - k).cast("double").alias("dof"), F.round(welch, 6).alias("welch_f"), F.round(whole(F.try_divide(k**2 - 1, 3 * F.col("lam"))), 6).alias("welch_dof"))
     one = (k - 1).cast("double")
     return out.withColumn("p", F.round(f_p_value(F.col("f"), one, F.col("dof")), 9)).withColumn("welch_p", F.round(f_p_value(F.col("welch_f"), one, F.col("welch_dof")), 9))
 
 
+def anova_grid(df: DataFrame, by: str, value: str, unknown: list, min_n: int = 5) -> DataFrame:
+    """(unknown, test, k, f, dof, p): Fisher's and Welch's analysis of variance with the unknown groups in and out."""
+    known = df.where(~F.col(by).isin(*unknown))
+    cells = anova(df, by, value, min_n).select(F.lit("in").alias("unknown"), "*").unionByName(anova(known, by, value, min_n).select(F.lit("out").alias("unknown"), "*"))
+    both = F.array(F.struct(F.lit("fisher").alias("test"), F.col("k"), F.col("f"), F.col("dof"), F.col("p")), F.struct(F.lit("welch").alias("test"), F.col("k"), F.col("welch_f").alias("f"), F.col("welch_dof").alias("dof"), F.col("welch_p").alias("p")))
+    return cells.select("unknown", F.explode(both).alias("x")).select("unknown", "x.*")
+
+
 def incomplete_beta(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function by its continued fraction."""
     if not 0 < x < 1:
@@ -85,7 +104,7 @@ def shape(df: DataFrame, columns: list[str]) -> DataFrame:
 def correlations(df: DataFrame, columns: list[str], others: list[str] | None = None) -> DataFrame:
     """(a, b, r) for all pairs of columns, or of columns with others; one aggregation."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in (others if others is not None else columns[i + 1 :])]
-    row = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(f"r{i}", 6).alias("r")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
 
 
@@ -99,7 +118,7 @@ def spearman(df: DataFrame, a: str, b: str, by: list[str] = ()) -> DataFrame:
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     rows = rows if by else rows.withColumn("all_rows", F.lit(1))
     ranked = rows.withColumn("ra", _mid_rank(a, groups)).withColumn("rb", _mid_rank(b, groups))
-    return ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("ra", "rb"), 6).alias("rho")).select(*by, "n", "rho")
+    return ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.round(correlation("ra", "rb"), 6).alias("rho")).select(*by, "n", "rho")
 
 
 def auc(df: DataFrame, positive: Column, score: str, *by: str) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callscope.operators.groups import correlation
+
 
 def moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, means, population covariance) of complete rows: one aggregation of k (k + 1) / 2 merged cross moments."""
@@ -243,3 +245,64 @@ def bootstrap_scores(df: DataFrame, columns: list[str], target: list[float], rep
             yield pd.DataFrame(out, columns=["replicate", "captured", "agreement"])
 
     return sums.mapInPandas(refit, "replicate int, captured double, agreement double")
+
+
+def theory_contributions(df: DataFrame, loadings: list[list[float]], target: list[float], columns: list[str], anchor: str) -> DataFrame:
+    """Adds score, component_1.. and feature_<column>: both kinds of parts sum to the score. flipped: whether all were negated.
+
+    The score is negated if it correlates negatively with the anchor column, so that more of the anchor means a higher score.
+    """
+    l, t = np.asarray(loadings), np.asarray(target)  # noqa: E741
+    w = l.T @ t
+    full = l @ w
+    z = standardise(df, columns)
+    dot = lambda v: sum((F.col(c) * float(x) for c, x in list(zip(columns, v))[1:]), F.col(columns[0]) * float(v[0]))
+    parts = {"score": dot(full)} | {f"component_{k + 1}": dot(l[:, k] * w[k]) for k in range(l.shape[1])} | {f"feature_{c}": F.col(c) * float(x) for c, x in zip(columns, full)}
+    scored = z.withColumns(parts)
+    sign = scored.agg(F.when(correlation("score", anchor) < 0, -1.0).otherwise(1.0).alias("sign_"))
+    return scored.crossJoin(F.broadcast(sign)).withColumns({c: F.col(c) * F.col("sign_") for c in parts}).withColumn("flipped", F.col("sign_") < 0).drop("sign_")  # one row
+
+
+def validate_scores(df: DataFrame, columns: list[str], loadings: list[list[float]], target: list[float], variants: dict[str, list[float]], outside: list[str], first: int = 1) -> DataFrame:
+    """(validation, name, value) of the score z (L L' t), all from one pass of cross moments over complete rows.
+
+    direction: correlation of the score with each column of the target, 1 in agrees if its sign is the target's; without: correlation
+    with the score that leaves one column's part out; variant: with scores of other targets; contrast: with z . t; outside: with other
+    columns; gain: what the score adds to the first component's share of an outside column's variance.
+    """
+    k, names = len(columns), [*columns, *outside]
+    _, _, cov = moments(df, names)
+    sd = np.sqrt(np.diag(cov))
+    sd[sd == 0] = np.inf  # a constant column has no part in a score
+    r = cov / np.outer(sd, sd)
+    l, t = np.asarray(loadings), np.asarray(target, float)  # noqa: E741
+    wide = lambda v: np.concatenate([v, np.zeros(len(outside))])
+    score = wide(l @ (l.T @ t))
+    one = lambda i: np.eye(len(names))[i]
+
+    def between(a, b):
+        s = (a @ r @ a) * (b @ r @ b)
+        return float(a @ r @ b / np.sqrt(s)) if s > 0 else None
+
+    rows = []
+    for i, c in enumerate(columns):
+        if t[i]:
+            x = between(score, one(i))
+            rows += [("direction", c, x), ("agrees", c, None if x is None else float(np.sign(x) == np.sign(t[i])))]
+        rows.append(("without", c, between(score, score * (1 - one(i)))))
+    rows += [("variant", v, between(score, wide(l @ (l.T @ np.asarray(x, float))))) for v, x in variants.items()]
+    rows.append(("contrast", "all", between(score, wide(t))))
+    component = wide(l[:, first - 1])
+    for i, c in enumerate(outside, k):
+        a, b, ab = between(score, one(i)), between(component, one(i)), between(score, component)
+        rows.append(("outside", c, a))
+        known = None not in (a, b, ab) and abs(ab) < 1 - 1e-9
+        rows.append(("gain", c, (a - b * ab) ** 2 / (1 - ab**2) if known else None))
+    return df.sparkSession.createDataFrame(rows, "validation string, name string, value double")
+
+
+def block_shares(loadings: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(component, block, share) of absolute loadings; loadings (component, feature, loading), blocks (feature, block). Features of no block count as 'none'."""
+    s = loadings.join(blocks, "feature", "left").groupBy("component", F.coalesce("block", F.lit("none")).alias("block")).agg(F.sum(F.abs("loading")).alias("s"))
+    whole = loadings.groupBy("component").agg(F.sum(F.abs("loading")).alias("all_"))
+    return s.join(whole, "component").select("component", "block", F.round(F.try_divide("s", "all_"), 6).alias("share"))

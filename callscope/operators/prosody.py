@@ -79,3 +79,38 @@ def marked_question(f: DataFrame) -> DataFrame:
     points = 1 + (F.col("token_count") <= MAX_TOKENS).cast("int") + F.coalesce((F.col("onset_gap") <= MAX_ONSET).cast("int"), F.lit(0)) + F.coalesce((F.col("pitch_mean") >= F.col("high_pitch")).cast("int"), F.lit(0))
     score = F.when(F.col("backchannel") == 1, None).when(~syntactic & F.col("rising").isNull(), None).when(~intent, 0).otherwise(points)
     return f.select(*KEY, score.alias("mgq_score"), (score == 4).cast("int").alias("mgq_flag"))
+
+
+class MissingInput(ValueError):
+    """A feature table that a composite needs is absent or lacks columns."""
+
+
+#: What the marked-question score reads: table -> its columns beside the key.
+MARKED_QUESTION_INPUTS = {"question_flags": ["question_flag"], "rising_terminal": ["rising"], "token_count": ["token_count"], "fto": ["onset_gap", "backchannel"], "pitch": ["pitch_mean"]}
+
+
+def composite(utterances: DataFrame, tables: dict[str, DataFrame], needs: dict[str, list[str]]) -> DataFrame:
+    """Utterance keys with the columns of all tables that a composite needs.
+
+    A table that isn't given, or lacks a column, raises MissingInput now; an utterance without a row in a table, or with
+    several, fails the job with the table's name. A row may hold nulls.
+    """
+    for name, columns in needs.items():
+        if name not in tables:
+            raise MissingInput(f"missing input {name}: compute that feature first")
+        lost = [c for c in [*KEY, *columns] if c not in tables[name].columns]
+        if lost:
+            raise MissingInput(f"{name} has no column {', '.join(lost)}: compute that feature again")
+    out = utterances.select(*KEY)
+    for name, columns in needs.items():
+        rows = tables[name].groupBy(*KEY).agg(*[F.first(c).alias(c) for c in columns], F.count(F.lit(1)).alias("rows_"))
+        bad = F.raise_error(F.concat(F.lit(f"{name} has not one row for utterance "), F.concat_ws("/", *KEY)))
+        out = out.join(rows, KEY, "left").withColumn("rows_", F.when(F.coalesce(F.col("rows_"), F.lit(0)) != 1, bad.cast("long")).otherwise(F.col("rows_"))).where("rows_ = 1").drop("rows_")
+    return out
+
+
+def marked_question_of(utterances: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """marked_question over the five feature tables, checked by `composite`; high_pitch comes from the pitch table."""
+    high = side_pitch_baseline(tables["pitch"]) if "pitch" in tables and "pitch_mean" in tables["pitch"].columns else None
+    f = composite(utterances, tables, MARKED_QUESTION_INPUTS)
+    return marked_question(f.join(high.withColumn("high_pitch", F.round("high_pitch", 9)), ["call_id", "side"], "left"))

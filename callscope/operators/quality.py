@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callscope.operators.groups import correlation
+
 #: Rules every feature row keeps: name -> the condition of a violation.
 RULES: dict[str, str] = {
     "fto_without_turn_start": "fto IS NOT NULL AND turn_initial = 0",
@@ -45,3 +47,15 @@ def drift(before: DataFrame, after: DataFrame, managed: list[str]) -> DataFrame:
     b = before.agg(F.count(F.lit(1)).alias("rows_before"))
     a = after.agg(F.count(F.lit(1)).alias("rows_after"), *[F.count_if(F.col(c).isNull()).alias(f"{c}_nulls") for c in managed])
     return b.crossJoin(F.broadcast(a))
+
+
+def defined_rates(df: DataFrame, flag: str, other: str, by: list[str], min_n: int = 20) -> DataFrame:
+    """One row over groups of at least `min_n` rows: quantiles of the share of rows with the flag, and correlations.
+
+    n_units, q05, median, q95 of that share; r_defined_other, r_defined_share, r_share_other with the mean of `other` and the mean
+    flag where it is defined. Groups with a null on either side of a pair don't count there; null where nothing is left.
+    """
+    g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(flag).isNotNull().cast("double")).alias("defined"), F.avg(flag).alias("share"), F.avg(other).alias("other")).where(F.col("n") >= min_n)
+    r = lambda a, b: F.round(correlation(a, b), 6)
+    q = lambda p: F.round(F.percentile("defined", F.lit(p)), 6)
+    return g.agg(F.count(F.lit(1)).alias("n_units"), q(0.05).alias("q05"), q(0.5).alias("median"), q(0.95).alias("q95"), r("defined", "other").alias("r_defined_other"), r("defined", "share").alias("r_defined_share"), r("share", "other").alias("r_share_other"))

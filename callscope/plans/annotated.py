@@ -90,15 +90,11 @@ s AS (SELECT *, CASE WHEN backchannel = 1 THEN NULL WHEN coalesce(q, 0) = 0 AND
 SELECT call_id, side, utt_num, mgq_score, (mgq_score = 4)::INT AS mgq_flag FROM s""")
 def scl_marked_question(spark, sf_dir):
     u = corpus.utterances(spark, sf_dir)
-    text = C.text_features(u).select(*C.KEY, "token_count", "question_flag")
-    events = core.features(spark, sf_dir).select(*C.KEY, "backchannel", "onset_gap")
-    pitch = prosody.pitch(corpus.frames(spark, sf_dir))
-    f = text.join(events, C.KEY).join(_slopes(spark, sf_dir), C.KEY, "left").join(pitch.withColumn("pitch_mean", F.round("pitch_mean", 9)), C.KEY, "left").join(_rounded9(prosody.side_pitch_baseline(pitch)), ["call_id", "side"], "left")
-    return prosody.marked_question(f)
-
-
-def _rounded9(df):
-    return df.withColumn("high_pitch", F.round("high_pitch", 9))
+    text = C.text_features(u)
+    pitch = prosody.pitch(corpus.frames(spark, sf_dir)).select(*C.KEY, F.round("pitch_mean", 9).alias("pitch_mean"))
+    rows = lambda t, *c: u.select(*C.KEY).join(t.select(*C.KEY, *c), C.KEY, "left")
+    tables = {"question_flags": text.select(*C.KEY, "question_flag"), "rising_terminal": rows(_slopes(spark, sf_dir), "rising"), "token_count": text.select(*C.KEY, "token_count"), "fto": core.features(spark, sf_dir).select(*C.KEY, "onset_gap", "backchannel"), "pitch": rows(pitch, "pitch_mean")}
+    return prosody.marked_question_of(u, tables)
 
 
 PEOPLE_SQL = """
@@ -300,10 +296,7 @@ tk AS (SELECT call_id, side, utt_num, i, lower(token) AS t, i % 6 IN (2, 3) AS r
 a AS (SELECT call_id, side, utt_num, t, count(*) AS n, count_if(NOT rep) AS k FROM tk GROUP BY ALL)
 SELECT sum(n * (n - 1) // 2)::BIGINT AS pairs, sum(k * (k - 1) // 2)::BIGINT AS pairs_without_repair, round(1 - sum(k * (k - 1) // 2) / sum(n * (n - 1) // 2), 6) AS repair_share FROM a""")
 def agg_repair_share(spark, sf_dir):
-    w = corpus.words(spark, sf_dir).where(~X.is_bracket(F.col("token"))).select(*C.KEY, F.lower("token").alias("t"), (F.col("i") % 6).isin(2, 3).alias("rep"))
-    a = w.groupBy(*C.KEY, "t").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("rep")).alias("k"))
-    n, k = F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")), F.sum((F.col("k") * (F.col("k") - 1) / 2).cast("long"))
-    return a.agg(n.alias("pairs"), k.alias("pairs_without_repair"), F.round(1 - k / n, 6).alias("repair_share"))
+    return gold.repair_share_current(corpus.words(spark, sf_dir).select(*C.KEY, "token", (F.col("i") % 6).isin(2, 3).alias("repair")))
 
 
 @query(f"{ORDER and ''} SELECT DISTINCT a.call_id FROM acts a SEMI JOIN u USING (call_id)")

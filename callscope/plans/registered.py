@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from callscope.plans import annotated, core, rollups, statistics
+from callscope.plans import annotated, core, rollups, statistics, validation
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _m in (core, annotated, rollups, statistics):
+for _m in (core, annotated, rollups, statistics, validation):
     QUERIES |= _m.QUERIES
     SQL |= _m.SQL

@@ -306,12 +306,6 @@ def agg_null_structure(spark, sf_dir):
     return Q.null_structure(_table(spark, sf_dir), ["fto", "pause_total"], "call_id")
 
 
-@query(f"{UNIT_SQL} SELECT 'laughter' AS feature, 0::BIGINT AS n_mismatches UNION ALL SELECT 'token_count', count_if(token_count <> len({_TOK.replace('text', 'text')}) + (utt_num % 10 = 0)::INT)::BIGINT FROM fu")
-def agg_reconciliation(spark, sf_dir):
-    t = _table(spark, sf_dir)
-    return Q.reconcile(t, {"laughter": X.bracket_events(F.col("text"))["laughter"], "token_count": X.token_count(F.col("text")) + (F.col("utt_num") % 10 == 0).cast("int")})
-
-
 @query(f"{UNIT_SQL} SELECT CASE WHEN token_count <= 2 THEN '1-2' WHEN token_count <= 5 THEN '3-5' WHEN token_count <= 10 THEN '6-10' ELSE '11+' END AS length, count(*) AS n, round(avg((fto IS NULL)::INT), 6) AS null_share FROM fu GROUP BY 1")
 def agg_missing_by_length(spark, sf_dir):
     return Q.missing_by(_table(spark, sf_dir), "fto", Q.length_bucket(F.col("token_count")), "length")
@@ -334,12 +328,6 @@ def agg_cluster_profile(spark, sf_dir):
     return z.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("token_count"), 6).alias("mean_tokens"), F.round(F.avg((n <= 2).cast("double")), 6).alias("short_share"), F.round(F.avg("word_rate"), 6).alias("word_rate"))
 
 
-@query(rf"""sd AS (SELECT call_id, side, avg(p) AS rep, avg(m) AS mir FROM (SELECT a.call_id, a.side, a.act_id % 7 AS p, (a.tag IN ('^2', 'bh'))::INT AS m FROM acts a) GROUP BY ALL) SELECT count(*) AS n, round(corr(rep, mir), 6) AS r FROM sd""")
-def agg_repetition_mirror_correlation(spark, sf_dir):
-    a = corpus.acts(spark, sf_dir).groupBy("call_id", "side").agg(F.avg(F.col("act_id") % 7).alias("rep"), F.avg(F.col("tag").isin("^2", "bh").cast("int")).alias("mir"))
-    return a.agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("rep", "mir"), 6).alias("r"))
-
-
 # --- group comparisons, over customers and orders ---------------------------------------------------------------
 
 
@@ -449,14 +437,6 @@ def set_column_union(spark, sf_dir):
     return B.union_columns(C.text_features(corpus.utterances(spark, sf_dir)), ["token_count", "backchannel"], ["backchannel", "noise"])
 
 
-@query("x AS (SELECT r_regionkey, n_regionkey, n_nationkey FROM region LEFT JOIN nation ON r_regionkey = n_regionkey AND n_nationkey % 2 = 0) SELECT r_regionkey, round(sum(abs(n_nationkey)) / (SELECT sum(abs(n_nationkey)) FROM x), 6) AS share FROM x GROUP BY 1")
-def agg_block_shares(spark, sf_dir):
-    n = corpus.table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0")
-    x = corpus.table(spark, sf_dir, "region").join(n, F.col("r_regionkey") == F.col("n_regionkey"), "left")
-    total = x.agg(F.sum(F.abs("n_nationkey")).alias("t"))
-    return x.groupBy("r_regionkey").agg(F.sum(F.abs("n_nationkey")).alias("s")).crossJoin(F.broadcast(total)).select("r_regionkey", F.round(F.col("s") / F.col("t"), 6).alias("share"))
-
-
 @query(f"{UNIT_SQL} SELECT education, count(*) AS n, round(avg(token_count), 4) AS mean_tokens FROM fu WHERE education IS NOT NULL AND education NOT IN ('0', '9') GROUP BY 1 HAVING count(*) >= 5")
 def prj_known_education(spark, sf_dir):
     known = _table(spark, sf_dir).where(F.col("education").isNotNull() & ~F.col("education").isin("0", "9"))
