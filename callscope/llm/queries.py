@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import decontaminate, fingerprint, importance, language_id, near_dedup, packing, substring_dedup, token_counts, toxicity, warc
+from callscope.llm import decontaminate, fingerprint, importance, language_id, near_dedup, packing, piece_codec, substring_dedup, token_counts, toxicity, warc
 from callscope.llm._frames import read
 
 
@@ -50,6 +50,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digests(read(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
@@ -97,7 +101,7 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 1
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_importance_resampling, op2_substring_dedup, op3_token_counts, op4_minhash_near_dedup, op5_decontamination, op6_language_id, op7_warc_archive, op8_toxicity, op9_fingerprints, op10_packing)}
+    return {f.__name__: f for f in (op1_importance_resampling, op2_substring_dedup, op3_token_counts, op4_minhash_near_dedup, op5_decontamination, op6_language_id, op7_warc_archive, op8_toxicity, op9_fingerprints, op10_packing, op13_piece_codec)}
 
 
 def oracle_sql() -> dict:
