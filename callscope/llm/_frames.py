@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
 import uuid
@@ -55,6 +56,25 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def read_when_written(df: DataFrame, name: str) -> DataFrame:
+    """Writes the rows as Parquet in the shared folder and reads them back: as kept(), but columns can be read one by one.
+
+    The folder goes when the driver's Python ends, as the rows may be read until then.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    atexit.register(_remove_at_end, spark, path)
+    return spark.read.parquet(path)
+
+
+def _remove_at_end(spark: SparkSession, path: str) -> None:
+    try:
+        remove(spark, path)
+    except Exception:  # the session may have been stopped; a folder left behind does no harm
+        return
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import decontaminate, fingerprint, importance, language_id, near_dedup, packing, piece_codec, substring_dedup, token_counts, toxicity, warc
+from callscope.llm import decontaminate, fingerprint, importance, language_id, near_dedup, packing, piece_codec, substring_dedup, token_counts, toxicity, vector_codes, warc
 from callscope.llm._frames import read
 
 
@@ -50,6 +50,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings")).drop("n_evaluated")
+
+
 def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(read(spark, sf_dir, "documents"))
 
@@ -100,9 +104,29 @@ FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND payload_bytes >= 1
 """
 
 
+def _op12_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """The rounds of the codebooks, one after the other."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT rid, x.p, any_value(x.v) AS v, min(list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i]))) * 16 + e) AS k FROM x JOIN c{r} c ON x.p = c.p GROUP BY rid, x.p)")
+        if r < rounds:
+            steps.append(f"""s{r} AS (SELECT p, e, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM (SELECT p, k % 16 AS e, v, unnest(range(1, len(v) + 1)) AS i FROM a{r}) GROUP BY p, e, i),
+c{r + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT p, e, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{r} GROUP BY p, e) m ON c.p = m.p AND c.e = m.e)""")
+    return f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS rid, vec_id, label, embedding, len(embedding) // 8 AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT rid, p, list_transform(embedding[p * w + 1:(p + 1) * w], lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM kept, (SELECT unnest(range(0, 8)) AS p)),
+c0 AS MATERIALIZED (SELECT p, rid AS e, v FROM x WHERE rid < 16),
+{", ".join(steps)},
+books AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c{rounds}),
+coded AS (SELECT rid, string_agg(printf('%02x', (k % 16)::BIGINT), '' ORDER BY p) AS code, sum(k // 16)::BIGINT AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM coded JOIN kept USING (rid), books
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_importance_resampling, op2_substring_dedup, op3_token_counts, op4_minhash_near_dedup, op5_decontamination, op6_language_id, op7_warc_archive, op8_toxicity, op9_fingerprints, op10_packing, op13_piece_codec)}
+    return {f.__name__: f for f in (op1_importance_resampling, op2_substring_dedup, op3_token_counts, op4_minhash_near_dedup, op5_decontamination, op6_language_id, op7_warc_archive, op8_toxicity, op9_fingerprints, op10_packing, op12_vector_codes, op13_piece_codec)}
 
 
 def oracle_sql() -> dict:
-    return {"op2_substring_dedup": OP2_SQL, "op4_minhash_near_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_warc_archive": OP7_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op4_minhash_near_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op7_warc_archive": OP7_SQL, "op12_vector_codes": _op12_sql()}
