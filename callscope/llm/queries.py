@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callscope.llm import decontaminate, fingerprint, importance, language_id, near_dedup, packing, piece_codec, substring_dedup, token_counts, toxicity, vector_codes, warc
+from callscope.llm import decontaminate, fingerprint, importance, language_id, near_dedup, packing, pair_alignment, piece_codec, substring_dedup, token_counts, toxicity, vector_codes, warc
 from callscope.llm._frames import read
 
 
@@ -50,6 +50,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op11_pair_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_alignment.align(read(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(read(spark, sf_dir, "embeddings")).drop("n_evaluated")
 
@@ -125,7 +129,7 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_importance_resampling, op2_substring_dedup, op3_token_counts, op4_minhash_near_dedup, op5_decontamination, op6_language_id, op7_warc_archive, op8_toxicity, op9_fingerprints, op10_packing, op12_vector_codes, op13_piece_codec)}
+    return {f.__name__: f for f in (op1_importance_resampling, op2_substring_dedup, op3_token_counts, op4_minhash_near_dedup, op5_decontamination, op6_language_id, op7_warc_archive, op8_toxicity, op9_fingerprints, op10_packing, op11_pair_alignment, op12_vector_codes, op13_piece_codec)}
 
 
 def oracle_sql() -> dict:
