@@ -16,8 +16,8 @@ an empty digest; special tokens' strings are plain text; rows that repeat an id
 
 from __future__ import annotations
 
-import base64
 import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,16 +32,23 @@ from callscope.llm._frames import kept, read_when_written, splittable
 SLOTS, LINKS, ROWS = 1 << 16, 1 << 20, 1 << 13
 #: A pair's number: the first tokenizer's id shifted by so many bits, plus the second one's.
 SHIFT = 20
+_DEEP = re.compile(r"\s{5000}")
 _SCHEMA = "chunk long, slot int, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, pair long, plane int, dense boolean, bits binary"
 _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 _FIELDS = pa.schema([("chunk", pa.int64()), ("slot", pa.int32()), *((x, pa.int64()) for x in ("doc_id", "n_a", "n_b", "n_groups")), ("groups_sha256", pa.string()), ("pair", pa.int64()), ("plane", pa.int32()), ("dense", pa.bool_()), ("bits", pa.binary())])
 
 
 def paths() -> tuple[str, str]:
-    """Of the two vocabularies: that of byte_bpe_50k.json as ranks, and a model of pieces."""
+    """Of the two vocabularies."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def byte_characters() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 stands for itself, the others follow from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or (161 <= b and b != 173)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
 
 
 class Spelling:
@@ -68,21 +75,25 @@ class Pair:
         import public_tokenizers
         import sentencepiece
         import tiktoken
-
-        with open(a_path, "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+        from tokenizers import Tokenizer
+
+        self.plain = Tokenizer.from_file(a_path)
+        self.plain.encode_special_tokens = True
+        own, tokens = byte_characters(), [b""] * self.plain.get_vocab_size()
+        special = {t.content for t in self.plain.get_added_tokens_decoder().values()}
+        for token, i in self.plain.get_vocab().items():
+            tokens[i] = b"" if token in special else bytes(map(own.__getitem__, token))
+        ranks = {t: i for i, t in enumerate(tokens) if t}  # ids are in the order of merging, so they are ranks
         self.first = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.second = p = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token
         pieces = [p.id_to_piece(i) for i in range(p.get_piece_size())]
         self.a = Spelling(tokens)
         self.b = Spelling([bytes([int(s[3:5], 16)]) if p.is_byte(i) else s.replace("▁", " ").encode() for i, s in enumerate(pieces)])
 
     def ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        a = [np.array(self.first.encode_ordinary(" " + t), np.int64) for t in texts]
-        return a, [np.array(x, np.int64) for x in self.second.encode(texts, num_threads=1)]
+        """The first tokenizer's ids come by its ranks, which is faster; very long runs of white space are too deep for that pattern's recursion."""
+        a = [self.plain.encode(" " + t, add_special_tokens=False).ids if _DEEP.search(t) else self.first.encode_ordinary(" " + t) for t in texts]
+        return [np.array(x, np.int64) for x in a], [np.array(x, np.int64) for x in self.second.encode(texts, num_threads=1)]
 
     def aligned(self, texts: list[str | None]) -> dict[str, np.ndarray | list[str]]:
         """n_a, n_b, n_groups and groups_sha256 of each text; row and pair of each link."""

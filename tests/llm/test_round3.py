@@ -21,7 +21,7 @@ ODD = ["", None, " ", "  two  spaces ", "▁mark ▁", "<s></s><unk><0x41>", "<|
 def texts(seed=3, n=40):
     r = random.Random(seed)
     syllables = ["the", "in", "er", "tion", "ße", "ción", "ñ", "ez", "x", "qu", "12", ".", ",", "\n", " ", " ", " ", "é", "!!", "中"]
-    return ODD + ["".join(r.choice(syllables) for _ in range(r.randrange(1, 200))) for _ in range(n)] + ["".join(r.choice(syllables) for _ in range(60_000)), "ab" * 100_000]
+    return ODD + ["".join(r.choice(syllables) for _ in range(r.randrange(1, 200))) for _ in range(n)] + ["".join(r.choice(syllables) for _ in range(60_000)), "ab" * 100_000, "x" + " \n" * 200_000 + "y"]
 
 
 def frame(spark, rows):
