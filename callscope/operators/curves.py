@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callscope.operators import order
+
 
 def long_table(df: DataFrame, unit: str, columns: list[str]) -> DataFrame:
     """(unit, name, value)."""
@@ -16,17 +18,17 @@ def long_table(df: DataFrame, unit: str, columns: list[str]) -> DataFrame:
 def mambac(df: DataFrame, unit: str, columns: list[str], buffer: int = 25) -> DataFrame:
     """(cut, value): mean above less mean below each cut, averaged over all ordered pairs of indicators.
 
-    A window per input indicator: for unit tables.
+    The rows of each input indicator are put in its order once, with the totals of all others running along.
     """
-    rows = long_table(df, unit, columns)
-    by_input = Window.partitionBy("input").orderBy("value", "unit")
-    ranked = rows.withColumnRenamed("name", "input").select("unit", "input", F.row_number().over(by_input).alias("cut"))
-    pairs = ranked.join(rows.select("unit", F.col("name").alias("output"), F.col("value").alias("y")), "unit").where("input <> output")
-    w = Window.partitionBy("input", "output")
-    run = pairs.select("input", "output", "cut", F.sum("y").over(w.orderBy("cut").rowsBetween(Window.unboundedPreceding, 0)).alias("below"), F.sum("y").over(w).alias("total"), F.count("y").over(w).alias("n"))
-    cuts = run.where((F.col("cut") >= buffer) & (F.col("cut") <= F.col("n") - buffer))
-    value = (F.col("total") - F.col("below")) / (F.col("n") - F.col("cut")) - F.col("below") / F.col("cut")
-    return cuts.groupBy("cut").agg(F.avg(value).alias("value"))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("input"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")
+    names = {c: f"y{i}" for i, c in enumerate(columns)}
+    rows = df.select(F.col(unit).alias("unit"), *[F.col(c).cast("double").alias(y) for c, y in names.items()], F.lit(1).cast("long").alias("cut"), each).select("*", "x.*").drop("x")
+    run = order.running(rows, ["value", "unit"], ["cut", *names.values()], ["input"])
+    totals = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).cast("double")).alias(f"{y}_all") for c, y in names.items()])
+    cut, n = F.col("cut_run"), F.col("n")
+    cuts = run.crossJoin(F.broadcast(totals)).where((cut >= buffer) & (cut <= n - buffer))  # one row
+    value = F.array(*[F.when(F.col("input") != c, (F.col(f"{y}_all") - F.col(f"{y}_run")) / (n - cut) - F.col(f"{y}_run") / cut) for c, y in names.items()])
+    return cuts.select(cut.cast("int").alias("cut"), F.explode(value).alias("value")).groupBy("cut").agg(F.avg("value").alias("value"))
 
 
 def maxeig(df: DataFrame, unit: str, columns: list[str], windows: int = 50, overlap: float = 0.9) -> DataFrame:
@@ -40,7 +42,8 @@ def maxeig(df: DataFrame, unit: str, columns: list[str], windows: int = 50, over
     if size < k:
         raise ValueError(f"windows of {size} rows for {k} indicators")
     step = (n - size) / (windows - 1) if windows > 1 else 0.0
-    ranked = rows.select("unit", F.col("name").alias("input"), (F.row_number().over(Window.partitionBy("name").orderBy("value", "unit")) - 1).alias("r"))
+    places = order.running(rows.withColumn("r", F.lit(1).cast("long")), ["value", "unit"], ["r"], ["name"])
+    ranked = places.select("unit", F.col("name").alias("input"), (F.col("r_run") - 1).alias("r"))
     lows = np.array([round(t * step) for t in range(windows)])
     inside = F.filter(F.array(*[F.struct(F.lit(t).alias("window"), F.lit(int(lo)).alias("lo")) for t, lo in enumerate(lows)]), lambda x: (F.col("r") >= x["lo"]) & (F.col("r") < x["lo"] + size))
     met = ranked.select("unit", "input", F.explode(inside).alias("x")).select("unit", "input", "x.window").join(df.select(F.col(unit).alias("unit"), *columns), "unit")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from callscope.operators import order
+
 
 def correlation(a: str, b: str) -> Column:
     """Pearson's r over the rows that have both, as an aggregate; null where a column is constant, on which Spark's own stops."""
@@ -108,41 +110,33 @@ def correlations(df: DataFrame, columns: list[str], others: list[str] | None = N
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(f"r{i}", 6).alias("r")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
 
 
-def _mid_rank(value: str, by: list[str]) -> Column:
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2.0
-
-
 def spearman(df: DataFrame, a: str, b: str, by: list[str] = ()) -> DataFrame:
-    """Rank correlation with mid-ranks, in each group; over unit tables, or groups of bounded size."""
-    groups = list(by) or ["all_rows"]
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    rows = rows if by else rows.withColumn("all_rows", F.lit(1))
-    ranked = rows.withColumn("ra", _mid_rank(a, groups)).withColumn("rb", _mid_rank(b, groups))
-    return ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.round(correlation("ra", "rb"), 6).alias("rho")).select(*by, "n", "rho")
+    """Rank correlation with mid-ranks, in each group or over all rows."""
+    by = list(by)
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, a, b)
+    for c, name in ((a, "ra"), (b, "rb")):
+        rows = order.with_rank(rows, c, by).withColumn(name, order.mid_rank()).drop("rank_", "times_", "of_")
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(correlation("ra", "rb"), 6).alias("rho")).select(*by, "n", "rho")
 
 
 def auc(df: DataFrame, positive: Column, score: str, *by: str) -> DataFrame:
     """(n1, n0, auc) of the Mann-Whitney statistic. Rows are first counted by distinct score, so that the ordered pass is over those."""
     c = df.where(F.col(score).isNotNull() & positive.isNotNull()).groupBy(*by, score).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    u = c.withColumn("u", F.col("p") * (F.coalesce(F.sum("q").over(below), F.lit(0)) + F.col("q") / 2.0))
+    u = order.running(c, [score], ["q"], list(by)).withColumn("u", F.col("p") * (F.col("q_run") - F.col("q") / 2.0))
     return u.groupBy(*by).agg(F.sum("p").alias("n1"), F.sum("q").alias("n0"), F.round(F.try_divide(F.sum("u"), F.sum("p").cast("double") * F.sum("q")), 6).alias("auc"))
 
 
 def adjusted_p(df: DataFrame, p: str, *by: str) -> DataFrame:
     """Adds p_adjusted, by Benjamini and Hochberg, within each family of tests."""
-    groups = list(by) or [F.lit(1)]
-    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(p))
-    m = F.count(p).over(Window.partitionBy(*groups))
-    least = F.min("q_").over(Window.partitionBy(*groups).orderBy(F.desc("r_")).rowsBetween(Window.unboundedPreceding, 0))
-    return df.where(F.col(p).isNotNull()).withColumn("r_", rank).withColumn("q_", F.col(p) * m / F.col("r_")).withColumn("p_adjusted", F.round(F.least(least, F.lit(1.0)), 9)).drop("r_", "q_")
+    values = order.ranked_values(df, p, list(by)).withColumn("q", F.col(p) * F.col("of") / (F.col("below") + F.col("times")))
+    least = order.running(values.select(*by, p, "q"), [F.desc(p)], ["q"], list(by), least=True)
+    adjusted = least.select(*by, p, F.round(F.least("q_run", F.lit(1.0)), 9).alias("p_adjusted"))
+    return order.matched(df.where(F.col(p).isNotNull()), adjusted, [*by, p])
 
 
 def percentile_rank(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """Adds percentile: rank / (n + 1)."""
-    groups = list(by) or [F.lit(1)]
-    w = Window.partitionBy(*groups)
-    return df.withColumn("percentile", F.round(F.rank().over(w.orderBy(value)) / (F.count(F.lit(1)).over(w) + 1), 9))
+    """Rows with a value, with percentile: rank / (n + 1)."""
+    return order.with_rank(df, value, list(by)).withColumn("percentile", F.round(F.col("rank_") / (F.col("of_") + 1), 9)).drop("rank_", "times_", "of_")
 
 
 def top_groups(df: DataFrame, by: str, value: str, k: int) -> DataFrame:
@@ -158,7 +152,8 @@ def largest(df: DataFrame, value: str, k: int, *keep: str) -> DataFrame:
 
 def representatives(df: DataFrame, score: str, unit: str, at: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """The unit at each score percentile, by nearest rank."""
-    w = Window.partitionBy(F.lit(1))
-    ranked = df.where(F.col(score).isNotNull()).select(unit, score, F.row_number().over(w.orderBy(score, unit)).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
-    want = F.explode(F.array(*map(F.lit, at))).alias("at")
-    return ranked.select("*", want).where(F.col("r") == F.greatest(F.lit(1), F.ceil(F.col("at") * F.col("n")))).select("at", unit, score)
+    rows = df.where(F.col(score).isNotNull()).select(unit, score, F.lit(1).cast("long").alias("r"))
+    places = order.running(rows, [score, unit], ["r"])
+    n = rows.count()
+    want = F.array(*[F.struct(F.lit(a).alias("at"), F.lit(max(1, math.ceil(a * n))).alias("place")) for a in at])
+    return places.select(unit, score, F.explode(F.filter(want, lambda x: x["place"] == F.col("r_run"))).alias("x")).select("x.at", unit, score)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callscope.operators import order
+
 BINS = 4096
 
 
@@ -259,8 +261,9 @@ def battery(df: DataFrame, axes: list[str], level: str, replicates: int = 99, se
 
 def tail_diagnosis(df: DataFrame, column: str, h: float = 0.25, cut: float = 0.001) -> dict:
     """Mode counts of the raw and the winsorised axis, and the share of rows beyond 5 standard deviations."""
-    q = df.agg(F.percentile(column, F.array(F.lit(cut), F.lit(1 - cut))).alias("q"), F.avg(column).alias("m"), F.stddev_pop(column).alias("s")).first()
-    clipped = df.select(F.least(F.greatest(F.col(column), F.lit(q["q"][0])), F.lit(q["q"][1])).alias(column))
+    q = df.agg(F.avg(column).alias("m"), F.stddev_pop(column).alias("s")).first()
+    ends = order.percentiles(df, [column], [cut, 1 - cut])[()]
+    clipped = df.select(F.least(F.greatest(F.col(column), F.lit(ends[column, cut])), F.lit(ends[column, 1 - cut])).alias(column))
     far = df.agg(F.avg((F.abs(F.col(column) - F.lit(q["m"])) > 5 * F.lit(q["s"])).cast("double"))).first()[0]
     return {"raw_modes": count_modes(df, column, h), "winsorised_modes": count_modes(clipped, column, h), "far_share": far}
 

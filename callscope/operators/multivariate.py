@@ -6,11 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import Normalizer, RobustScaler, VectorAssembler
+from pyspark.ml.feature import Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callscope.operators import order
 from callscope.operators.groups import correlation
 
 
@@ -33,10 +34,10 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def robust_scale(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds scaled: the columns less their median, by interquartile range."""
-    v = VectorAssembler(inputCols=columns, outputCol="v_").transform(df)
-    s = RobustScaler(inputCol="v_", outputCol="s_", withCentering=True, relativeError=1e-6).fit(v).transform(v)
-    return s.withColumn("scaled", vector_to_array("s_")).drop("v_", "s_")
+    """Adds scaled: the columns less their median, by interquartile range (0 where that is 0)."""
+    q = order.percentiles(df, columns, [0.25, 0.5, 0.75])[()]
+    scaled = [F.lit(0.0) if not (wide := (q[c, 0.75] or 0.0) - (q[c, 0.25] or 0.0)) else (F.col(c) - F.lit(q[c, 0.5])) / F.lit(wide) for c in columns]
+    return df.withColumn("scaled", F.array(*scaled))
 
 
 def l2_normalise(df: DataFrame, array_col: str, out: str = "unit") -> DataFrame:

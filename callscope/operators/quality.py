@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callscope.operators import order
 from callscope.operators.groups import correlation
 
 #: Rules every feature row keeps: name -> the condition of a violation.
@@ -57,5 +58,7 @@ def defined_rates(df: DataFrame, flag: str, other: str, by: list[str], min_n: in
     """
     g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(flag).isNotNull().cast("double")).alias("defined"), F.avg(flag).alias("share"), F.avg(other).alias("other")).where(F.col("n") >= min_n)
     r = lambda a, b: F.round(correlation(a, b), 6)
-    q = lambda p: F.round(F.percentile("defined", F.lit(p)), 6)
+    g = order.settled(g)
+    found = order.percentiles(g, ["defined"], [0.05, 0.5, 0.95])[()]
+    q = lambda p: F.round(F.lit(found["defined", p]).cast("double"), 6)
     return g.agg(F.count(F.lit(1)).alias("n_units"), q(0.05).alias("q05"), q(0.5).alias("median"), q(0.95).alias("q95"), r("defined", "other").alias("r_defined_other"), r("defined", "share").alias("r_defined_share"), r("share", "other").alias("r_share_other"))

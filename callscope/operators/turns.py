@@ -5,8 +5,10 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from callscope.functions import text as X
+from callscope.operators import order
 
 KEY = ["call_id", "side", "utt_num"]
 LATCH_SECONDS, OBSTRUCTIVE_SECONDS = 0.2, 1.0
@@ -113,11 +115,16 @@ def rollup(features: DataFrame) -> DataFrame:
 def transfer_summary(features: DataFrame, *by: str) -> DataFrame:
     """Number, median, mean, share below 0 and within [-1, 2] of floor-transfer offsets, by the given columns."""
     defined = features.where(F.col("fto").isNotNull())
-    return defined.groupBy(*by).agg(
+    median = order.percentiles(defined, ["fto"], [0.5], list(by))
+    rows = [(*g, q["fto", 0.5]) for g, q in median.items()]
+    fields = [StructField(b, defined.schema[b].dataType) for b in by]
+    medians = features.sparkSession.createDataFrame(rows, StructType([*fields, StructField("median_fto", DoubleType())]))
+    out = defined.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.percentile("fto", F.lit(0.5)), 6).alias("median_fto"),
         F.round(F.avg("fto"), 6).alias("mean_fto"),
         F.round(F.avg((F.col("fto") < 0).cast("double")), 6).alias("overlap_share"),
         F.round(F.avg(F.col("fto").between(-1, 2).cast("double")), 6).alias("window_share"),
         F.round(F.avg("latching"), 6).alias("latch_rate"),
     )
+    joined = order.matched(out, F.broadcast(medians), list(by)) if by else out.crossJoin(F.broadcast(medians))
+    return joined.withColumn("median_fto", F.round("median_fto", 6))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callscope.operators import order
+
 WINDOW = (-2.0, 2.0)
 POOLED_FLOOR = 30
 
@@ -25,10 +27,11 @@ def complete(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def winsor_bounds(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99, accuracy: int | None = None) -> DataFrame:
     """One row with <column>_lo, _hi, _min of each column; exact quantiles unless an accuracy for approximate ones is given."""
-    def q(c: str, p: float) -> Column:
-        return F.percentile(c, F.lit(p)) if accuracy is None else F.percentile_approx(c, p, accuracy)
-
-    return df.agg(*[x for c in columns for x in (q(c, low).alias(f"{c}_lo"), q(c, high).alias(f"{c}_hi"), F.min(c).alias(f"{c}_min"))])
+    if accuracy is not None:
+        return df.agg(*[x for c in columns for x in (F.percentile_approx(c, low, accuracy).alias(f"{c}_lo"), F.percentile_approx(c, high, accuracy).alias(f"{c}_hi"), F.min(c).alias(f"{c}_min"))])
+    q = order.percentiles(df, columns, [low, high, 0])[()]
+    names = [(c, p, f"{c}_{end}") for c in columns for p, end in ((low, "lo"), (high, "hi"), (0, "min"))]
+    return df.sparkSession.createDataFrame([tuple(q[c, p] for c, p, _ in names)], ", ".join(f"`{name}` double" for *_, name in names))
 
 
 def winsor_log(df: DataFrame, columns: list[str], skip: tuple[str, ...] = ("fto",), **bounds) -> DataFrame:

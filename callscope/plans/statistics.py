@@ -57,15 +57,17 @@ def ml_component_scores(spark, sf_dir):
     return multivariate.project(d, multivariate.pca(d, LINES), 2).select("l_orderkey", "l_linenumber", "PC1", "PC2")
 
 
-@query(None)
+@query(f"""WITH q AS (SELECT {', '.join(f'quantile_cont({c}::DOUBLE, {p}) AS {c}_{n}' for c in LINES[:2] for n, p in (('lo', 0.25), ('mid', 0.5), ('hi', 0.75)))} FROM lineitem)
+SELECT l_orderkey, l_linenumber, {', '.join(f'round(({c}::DOUBLE - {c}_mid) / ({c}_hi - {c}_lo), 6) AS {c}' for c in LINES[:2])} FROM lineitem, q""")
 def ml_robust_scale(spark, sf_dir):
-    return multivariate.robust_scale(_lines(spark, sf_dir), LINES[:2]).select("l_orderkey", "l_linenumber", F.transform("scaled", lambda x: F.round(x, 6)).alias("scaled"))
+    scaled = multivariate.robust_scale(_lines(spark, sf_dir), LINES[:2])
+    return scaled.select("l_orderkey", "l_linenumber", *[F.round(F.get("scaled", F.lit(i)), 6).alias(c) for i, c in enumerate(LINES[:2])])
 
 
-@query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * x)) / list_sum(list_transform(v, lambda x: x * x)), 6) AS norm, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first FROM e")
+@query("WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings) SELECT vec_id, round(list_sum(v) / n, 6) AS total, round(v[1] / n, 6) AS first, round(v[len(v)] / n, 6) AS last FROM e")
 def scl_l2_normalise(spark, sf_dir):
     e = multivariate.l2_normalise(corpus.table(spark, sf_dir, "embeddings"), "embedding")
-    return e.select("vec_id", F.round(F.aggregate("unit", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm"), F.round(F.get("unit", F.lit(0)), 6).alias("first"))
+    return e.select("vec_id", F.round(F.aggregate("unit", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.get("unit", F.lit(0)), 6).alias("first"), F.round(F.element_at("unit", -1), 6).alias("last"))
 
 
 @query(None)
