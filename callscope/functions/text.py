@@ -33,7 +33,7 @@ def is_bracket(word: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case words without whole-bracket tokens such as [noise]; i[t]- stays."""
-    return F.filter(words(F.lower(text)), lambda w: ~is_bracket(w))
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: (w != "") & ~is_bracket(w))
 
 
 def strip_brackets(text: Column) -> Column:
@@ -41,9 +41,13 @@ def strip_brackets(text: Column) -> Column:
 
 
 def is_backchannel(text: Column) -> Column:
-    """1 if there is a word and all words, punctuation stripped off their ends, are backchannel words; brackets are words."""
-    bare = F.filter(F.transform(words(F.lower(text)), lambda w: F.regexp_replace(w, _PUNCTUATION_ENDS, "")), lambda w: w != "")
-    return F.when((F.size(bare) > 0) & F.forall(bare, lambda w: w.isin(*BACKCHANNELS)), 1).otherwise(0)
+    """1 if there is a word and all words, punctuation stripped off their ends, are backchannel words; brackets are words.
+
+    The first word that is none ends the look at an utterance.
+    """
+    bare = lambda w: F.regexp_replace(w, _PUNCTUATION_ENDS, "")
+    own = words(F.lower(text))
+    return F.when(F.forall(own, lambda w: bare(w).isin(*BACKCHANNELS, "")) & F.exists(own, lambda w: bare(w) != ""), 1).otherwise(0)
 
 
 def token_count(text: Column) -> Column:
@@ -62,41 +66,83 @@ def vowel_groups(word: Column) -> Column:
 
 def syllables(text: Column) -> Column:
     """Vowel groups of all tokens; the fallback without a pronunciation table."""
-    return F.aggregate(tokens(text), F.lit(0), lambda a, w: a + vowel_groups(w))
+    return syllables_of(joined(tokens(text)))
+
+
+def joined(token_list: Column) -> Column:
+    """Tokens with a space between them, as the functions that count by a pattern take them."""
+    return F.array_join(token_list, " ")
+
+
+def syllables_of(line: Column) -> Column:
+    """vowel_groups summed over the tokens of a line: no group reaches over a space, and a token of other letters only counts once."""
+    return F.regexp_count(line, F.lit("[aeiouy]+")) + F.regexp_count(line, F.lit(r"(?<=^| )(?=[^ ]*[a-z])[^aeiouy ]+(?= |$)"))
 
 
 def filler_hits(text: Column) -> Column:
     """Greedy left-to-right count of fillers, two-word phrases first; no word counts twice."""
+    return filler_hits_of(joined(tokens(text)))
+
+
+def filler_hits_of(line: Column) -> Column:
     phrases = sorted(FILLERS, key=lambda f: -len(f.split()))
-    return F.regexp_count(F.array_join(tokens(text), " "), F.lit(r"(?<=^| )(" + "|".join(phrases) + r")(?= |$)"))
+    return F.regexp_count(line, F.lit(r"(?<=^| )(" + "|".join(phrases) + r")(?= |$)"))
+
+
+def repetitions(token_list: Column) -> Column:
+    """Struct of types, distinct tokens that occur at least twice, and pairs, the sum over distinct tokens of n * (n - 1) / 2.
+
+    One fold over the sorted tokens: the k-th token of a run makes k - 1 pairs. Without a repeated token there is nothing to fold.
+    """
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("types"), F.lit(0).cast("long").alias("pairs"))
+
+    def step(a: Column, w: Column) -> Column:
+        run = F.when(w == a["last"], a["run"] + 1).otherwise(1)
+        return F.struct(w.alias("last"), run.alias("run"), (a["types"] + (run == 2).cast("int")).alias("types"), (a["pairs"] + run - 1).alias("pairs"))
+
+    found = F.aggregate(F.sort_array(token_list), start, step)
+    none = F.struct(F.lit(0).alias("types"), F.lit(0).cast("long").alias("pairs"))
+    unique = F.size(F.array_distinct(token_list)) == F.size(token_list)
+    return F.when(token_list.isNull(), None).when(unique, none).otherwise(F.struct(found["types"].alias("types"), found["pairs"].alias("pairs")))
 
 
 def repeated_types(text: Column) -> Column:
     """Distinct tokens that occur at least twice."""
-    t = tokens(text)
-    return F.size(F.filter(F.array_distinct(t), lambda w: F.size(F.filter(t, lambda x: x == w)) >= 2))
+    return repetitions(tokens(text))["types"]
 
 
 def repeated_pairs(text: Column) -> Column:
     """Sum over distinct tokens of n * (n - 1) / 2, n its count."""
-    t = tokens(text)
-    n = lambda w: F.size(F.filter(t, lambda x: x == w))
-    return F.aggregate(F.array_distinct(t), F.lit(0), lambda a, w: a + (n(w) * (n(w) - 1) / 2).cast("int"))
+    return repetitions(tokens(text))["pairs"]
 
 
 def shared_pairs(text: Column, other: Column) -> Column:
-    """Sum over tokens of the product of their counts in both texts; null if the other is null."""
+    """Sum over tokens of the product of their counts in both texts; null if either is null.
+
+    Both token lists are sorted as one, a token's own ones first: each of the other's then makes as many pairs as there were own ones.
+    """
     t, o = tokens(text), tokens(other)
-    return F.aggregate(t, F.lit(0), lambda a, w: a + F.size(F.filter(o, lambda x: x == w)))
+    side = lambda xs, k: F.transform(xs, lambda w: F.struct(w.alias("w"), F.lit(k).alias("k")))
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("own"), F.lit(0).cast("long").alias("pairs"))
+
+    def step(a: Column, x: Column) -> Column:
+        own = F.when(x["w"] == a["last"], a["own"]).otherwise(0)
+        return F.struct(x["w"].alias("last"), (own + 1 - x["k"]).alias("own"), (a["pairs"] + own * x["k"]).alias("pairs"))
+
+    both = F.sort_array(F.concat(side(t, 0), side(o, 1)))
+    return F.when(F.arrays_overlap(t, o), F.aggregate(both, start, step)["pairs"]).when(t.isNotNull() & o.isNotNull(), F.lit(0).cast("long"))
 
 
 def bracket_events(text: Column) -> Column:
     """Struct of counts: laughter, laughed_words, noise, vocalized_noise, other; the first kind that fits a token counts."""
-    b = F.filter(words(text), is_bracket)
+    return bracket_events_of(F.filter(words(text), is_bracket))
+
+
+def bracket_events_of(brackets: Column) -> Column:
     laugh = lambda w: w == "[laughter]"
     laughed = lambda w: w.startswith("[laughter-")
     noise, vocal = (lambda w: w == "[noise]"), (lambda w: w == "[vocalized-noise]")
-    count = lambda f: F.size(F.filter(b, f))
+    count = lambda f: F.size(F.filter(brackets, f))
     return F.struct(count(laugh).alias("laughter"), count(laughed).alias("laughed_words"), count(noise).alias("noise"), count(vocal).alias("vocalized_noise"), count(lambda w: ~laugh(w) & ~laughed(w) & ~noise(w) & ~vocal(w)).alias("other"))
 
 
@@ -111,15 +157,22 @@ def opens_question(first: Column) -> Column:
 
 def question_flag(text: Column) -> Column:
     """1 if the first content word opens a question, else 0; null without one."""
-    first = F.get(content_words(text), F.lit(0))
+    return question_flag_of(content_words(text))
+
+
+def question_flag_of(content: Column) -> Column:
+    first = F.get(content, F.lit(0))
     return F.when(first.isNotNull(), opens_question(first).cast("int"))
 
 
 def question_flag_after_markers(text: Column) -> Column:
     """As question_flag with leading discourse markers skipped; 0 if nothing follows them, null without a content word."""
-    c = content_words(text)
-    rest = F.aggregate(c, F.lit("").cast("string"), lambda a, w: F.when((a == "") & ~w.isin(*MARKERS), w).otherwise(a))
-    return F.when(F.size(c) > 0, opens_question(rest).cast("int"))
+    return question_flag_after_markers_of(content_words(text))
+
+
+def question_flag_after_markers_of(content: Column) -> Column:
+    rest = F.get(F.filter(content, lambda w: ~w.isin(*MARKERS)), F.lit(0))
+    return F.when(F.size(content) > 0, F.coalesce(opens_question(rest), F.lit(False)).cast("int"))
 
 
 def echo_flag(question: Column, text: Column, earlier: Column) -> Column:

@@ -52,22 +52,26 @@ def mutual_revelation(utterances: DataFrame, anecdote: Column) -> DataFrame:
 
 
 def text_features(utterances: DataFrame) -> DataFrame:
-    """All row-local features of the text in one projection."""
+    """All row-local features of the text: split once, then one projection over the parts."""
     t, seconds = F.col("text"), F.col("end") - F.col("start")
-    b = X.bracket_events(t)
-    return utterances.select(
+    some = F.when(t.contains("["), F.filter(X.words(t), X.is_bracket)).when(t.isNotNull(), F.array().cast("array<string>"))
+    split = utterances.select(*KEY, seconds.alias("seconds_"), X.tokens(t).alias("tokens_"), some.alias("brackets_"), X.content_words(t).alias("content_"), X.is_backchannel(t).alias("backchannel"))
+    parts = split.select("*", X.joined(F.col("tokens_")).alias("line_"), X.repetitions(F.col("tokens_")).alias("repeated_"), X.bracket_events_of(F.col("brackets_")).alias("events_"))
+    line, again, seconds = F.col("line_"), F.col("repeated_"), F.col("seconds_")
+    hits, count = X.filler_hits_of(line), F.when(F.col("tokens_").isNotNull(), F.size("tokens_"))
+    return parts.select(
         *KEY,
-        X.token_count(t).alias("token_count"),
-        X.per_second(X.token_count(t), seconds).alias("word_rate"),
-        X.per_second(X.syllables(t), seconds).alias("syllable_rate"),
-        X.filler_hits(t).alias("filler_hits"),
-        X.per_second(X.filler_hits(t), seconds).alias("fillers_per_second"),
-        X.per_second(X.repeated_types(t), seconds).alias("repetitions_per_second"),
-        X.repeated_pairs(t).alias("repetitions_current"),
-        *[b[c].alias(c) for c in ("laughter", "laughed_words", "noise", "vocalized_noise", "other")],
-        X.question_flag(t).alias("question_flag"),
-        X.question_flag_after_markers(t).alias("question_after_markers"),
-        X.is_backchannel(t).alias("backchannel"),
+        count.alias("token_count"),
+        X.per_second(count, seconds).alias("word_rate"),
+        X.per_second(X.syllables_of(line), seconds).alias("syllable_rate"),
+        hits.alias("filler_hits"),
+        X.per_second(hits, seconds).alias("fillers_per_second"),
+        X.per_second(again["types"], seconds).alias("repetitions_per_second"),
+        again["pairs"].alias("repetitions_current"),
+        *[F.col("events_")[c].alias(c) for c in ("laughter", "laughed_words", "noise", "vocalized_noise", "other")],
+        X.question_flag_of(F.col("content_")).alias("question_flag"),
+        X.question_flag_after_markers_of(F.col("content_")).alias("question_after_markers"),
+        "backchannel",
     )
 
 

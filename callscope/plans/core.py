@@ -90,7 +90,7 @@ s AS (SELECT call_id, side, utt_num, sum(CASE WHEN regexp_matches(w, '[a-z]') TH
 SELECT call_id, side, utt_num, len(t)::INT AS token_count, round(len(t) / sec, 6) AS word_rate, round(coalesce(syl, 0) / sec, 6) AS syllable_rate,
   len(regexp_extract_all(' ' || array_to_string(t, '  ') || ' ', ' (you  know|i  mean|i  guess|um|uh|like|so|well|basically|er) '))::INT AS filler_hits,
   round(len(regexp_extract_all(' ' || array_to_string(t, '  ') || ' ', ' (you  know|i  mean|i  guess|um|uh|like|so|well|basically|er) ')) / sec, 6) AS fillers_per_second,
-  round(coalesce(types, 0) / sec, 6) AS repetitions_per_second, coalesce(pairs, 0)::INT AS repetitions_current,
+  round(coalesce(types, 0) / sec, 6) AS repetitions_per_second, coalesce(pairs, 0)::BIGINT AS repetitions_current,
   len(list_filter(b, lambda w: w = '[laughter]'))::INT AS laughter, len(list_filter(b, lambda w: starts_with(w, '[laughter-')))::INT AS laughed_words, len(list_filter(b, lambda w: w = '[noise]'))::INT AS noise,
   len(list_filter(b, lambda w: w = '[vocalized-noise]'))::INT AS vocalized_noise, len(list_filter(b, lambda w: w NOT IN ('[laughter]', '[noise]', '[vocalized-noise]') AND NOT starts_with(w, '[laughter-')))::INT AS other,
   CASE WHEN len(c) > 0 THEN (c[1] IN ({STARTERS}))::INT END AS question_flag,
@@ -152,7 +152,7 @@ p AS (SELECT call_id, side, utt_num, {_TOK} AS t, lag({_TOK}) OVER ({ORDER}) AS
 a AS (SELECT call_id, side, utt_num, w, count(*) AS n FROM (SELECT call_id, side, utt_num, unnest(t) AS w FROM p) GROUP BY ALL),
 b AS (SELECT call_id, side, utt_num, w, count(*) AS n FROM (SELECT call_id, side, utt_num, unnest(o) AS w FROM p) GROUP BY ALL),
 m AS (SELECT call_id, side, utt_num, sum(a.n * b.n) AS s FROM a JOIN b USING (call_id, side, utt_num, w) GROUP BY ALL)
-SELECT call_id, side, utt_num, CASE WHEN o IS NOT NULL THEN coalesce(s, 0)::INT END AS repetitions_previous FROM p LEFT JOIN m USING (call_id, side, utt_num)
+SELECT call_id, side, utt_num, CASE WHEN o IS NOT NULL THEN coalesce(s, 0)::BIGINT END AS repetitions_previous FROM p LEFT JOIN m USING (call_id, side, utt_num)
 """)
 def scl_repetitions_previous(spark, sf_dir):
     return C.repetitions_previous(corpus.utterances(spark, sf_dir))

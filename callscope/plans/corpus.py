@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from callscope.operators import order
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,9 +35,15 @@ def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("start_ms", F.greatest(F.lit(0), F.coalesce(F.sum(F.col("dur_ms") + gap).over(before), F.lit(0))).cast("long"))
 
 
-def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
+def calls(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """utterances and words of the same pieces, which are worked out once: for jobs with several inputs."""
+    p = order.settled(pieces(spark, sf_dir))
+    return {"utterances": order.settled(utterances(spark, sf_dir, p)), "words": order.settled(words(spark, sf_dir, p)), "pieces": p}
+
+
+def utterances(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> DataFrame:
     """(call_id, side, utt_num, start, end, text)."""
-    p = pieces(spark, sf_dir)
+    p = p if p is not None else pieces(spark, sf_dir)
     spoken = p.select("call_id", "side", (F.col("n") * 2).alias("utt_num"), (F.col("start_ms") / 1000.0).alias("start"), ((F.col("start_ms") + F.col("dur_ms")) / 1000.0).alias("end"), "text")
     heard_at = F.col("start_ms") + F.floor(F.col("dur_ms") / 2)
     other = F.when(F.col("side") == "A", "B").otherwise("A")
@@ -44,9 +52,9 @@ def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spoken.unionByName(heard)
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def words(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> DataFrame:
     """(call_id, side, utt_num, i, start, end, token) for the spoken sentences' words."""
-    p = pieces(spark, sf_dir)
+    p = p if p is not None else pieces(spark, sf_dir)
     w = p.select("call_id", "side", "n", "start_ms", F.posexplode(F.split("text", r"\s+")).alias("i", "token"))
     at = F.col("start_ms") + 60 + 120 * F.col("i") + 300 * F.floor((F.col("i") + F.col("n") % 8) / 8)
     return w.select("call_id", "side", (F.col("n") * 2).alias("utt_num"), "i", (at / 1000.0).alias("start"), ((at + 90 + (F.col("i") * 13 % 4) * 10) / 1000.0).alias("end"), "token")
@@ -83,9 +91,9 @@ def acts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("call_id", "side", (n * 2 + h).alias("act_id"), tag.alias("tag"), (start / 1000.0).alias("start"), ((start + half) / 1000.0).alias("end"))
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frames(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> DataFrame:
     """Frames every 40 ms of the spoken sentences: (call_id, side, utt_num, t, f0, rms); t from the utterance's start, f0 null where unvoiced."""
-    p = pieces(spark, sf_dir).where("n % 5 <> 4").select("*", F.explode(F.sequence(F.lit(0), F.floor(F.col("dur_ms") / 40).cast("int") - 1)).alias("f"))
+    p = (p if p is not None else pieces(spark, sf_dir)).where("n % 5 <> 4").select("*", F.explode(F.sequence(F.lit(0), F.floor(F.col("dur_ms") / 40).cast("int") - 1)).alias("f"))
     n, f = F.col("n"), F.col("f")
     voiced = (f * 7 + n) % 5 != 0
     f0 = 100 + (n * 13 % 60) + f * ((n % 7) - 3) * 0.5 + (f * 31 % 11) * 0.25

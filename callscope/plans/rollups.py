@@ -10,6 +10,7 @@ from callscope.operators import groups as S
 from callscope.operators import overlap as O
 from callscope.operators import quality as Q
 from callscope.operators import registry as R
+from callscope.operators import turns as T
 from callscope.operators import units as U
 from callscope.plans import annotated, core, corpus
 from callscope.plans.core import BC_SQL, CONTENT, ORDER, PAUSES_SQL, STARTERS, TURNS_SQL, _BARE, _TOK
@@ -85,10 +86,11 @@ def src_units_without_transcript(spark, sf_dir):
 
 @query(f"""{TURNS_SQL}, {PAUSES_SQL} SELECT u.call_id, u.side, u.utt_num, u.text, kind, fto, latching, pause_total, pause_count, len({_TOK})::INT AS token_count FROM u JOIN ev USING (call_id, side, utt_num) JOIN pz USING (call_id, side, utt_num)""")
 def src_canonical_table(spark, sf_dir):
-    u = corpus.utterances(spark, sf_dir)
+    c = corpus.calls(spark, sf_dir)
+    u, w = c["utterances"], c["words"]
     features = {
-        "turns": core.features(spark, sf_dir).select(*C.KEY, "kind", "fto", "latching"),
-        "pauses": O.pauses(u, corpus.words(spark, sf_dir)).select(*C.KEY, "pause_total", "pause_count"),
+        "turns": T.transfer_columns(T.turn_events(u, w)).select(*C.KEY, "kind", "fto", "latching"),
+        "pauses": O.pauses(u, w).select(*C.KEY, "pause_total", "pause_count"),
         "text": C.text_features(u).select(*C.KEY, "token_count"),
     }
     return B.build_table(u.select(*C.KEY, "text"), features)

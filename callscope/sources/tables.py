@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from callscope.operators import order
+
 KEY = ["call_id", "side", "utt_num"]
 FILE, TRANSCRIPT = "Utterance File Name", "Transcript"
 _FILE_RE = r"^\d{3,}/sw(\d{4,})([AB])-U(\d{4,})\.wav$"
@@ -59,11 +63,10 @@ def write_feature(manifest: DataFrame, feature: DataFrame, path: str, key: list[
 def build_table(manifest: DataFrame, features: dict[str, DataFrame], key: list[str] = KEY) -> DataFrame:
     """The manifest with all feature tables' columns. Each table must have each manifest key once, no other, and new columns.
 
-    The contract is checked in one aggregation per table before the joins; a breach names the table.
+    Manifest and tables are one union, dealt out and grouped by key once: the groups hold each input's columns and how many rows it
+    has, so that the contract is checked on the very rows that are returned and each table is worked out once. A breach names the table.
     """
     have = set(manifest.columns)
-    _check_keys("manifest", manifest, key)
-    out = manifest
     for name, df in features.items():
         missing = [k for k in key if k not in df.columns]
         if missing:
@@ -74,20 +77,26 @@ def build_table(manifest: DataFrame, features: dict[str, DataFrame], key: list[s
         if len(df.columns) == len(key):
             raise ValueError(f"{name}: no value column")
         have |= set(df.columns)
-        _check_keys(name, df, key, manifest)
-        out = out.join(df, key, "left")
-    return out
-
-
-def _check_keys(name: str, df: DataFrame, key: list[str], manifest: DataFrame | None = None) -> None:
-    sides = df.select(*key, F.lit(1).alias("f"), F.lit(0).alias("m"))
-    if manifest is not None:
-        sides = sides.unionByName(manifest.select(*key, F.lit(0).alias("f"), F.lit(1).alias("m")))
-    n = sides.groupBy(*key).agg(F.sum("f").alias("f"), F.sum("m").alias("m")).agg(F.count_if(F.col("f") > 1).alias("twice"), F.count_if((F.col("f") == 0)).alias("missing"), F.count_if((F.col("m") == 0)).alias("extra")).first()
-    if n["twice"]:
-        raise ValueError(f"{name}: {n['twice']} keys occur more than once")
-    if manifest is not None and (n["missing"] or n["extra"]):
-        raise ValueError(f"{name}: {n['missing']} manifest rows are missing, {n['extra']} rows are extra")
+    grouped, of = _united({"manifest": manifest, **features}, key)
+    n = grouped.agg(*[x for i in range(len(of)) for x in (F.count_if(F.col("n_")[i] > 1).alias(f"twice{i}"), F.count_if((F.col("n_")[i] == 0) & (F.col("n_")[0] > 0)).alias(f"lost{i}"), F.count_if((F.col("n_")[i] > 0) & (F.col("n_")[0] == 0)).alias(f"extra{i}"))]).first()
+    for i, name in enumerate(of):
+        if n[f"twice{i}"]:
+            raise ValueError(f"{name}: {n[f'twice{i}']} keys occur more than once")
+        if n[f"lost{i}"] or n[f"extra{i}"]:
+            raise ValueError(f"{name}: {n[f'lost{i}']} manifest rows are missing, {n[f'extra{i}']} rows are extra")
+    return grouped.select(*manifest.columns, *[f"`{c}`" for df in features.values() for c in df.columns if c not in key])
+
+
+def _united(tables: dict[str, DataFrame], key: list[str]) -> tuple[DataFrame, list[str]]:
+    """(a row for each key: n_, the rows of each table, and all tables' value columns; the tables' names), worked out once."""
+    values = {c: df.schema[c].dataType for df in tables.values() for c in df.columns if c not in key}
+    sides = []
+    for i, df in enumerate(tables.values()):
+        own = [F.col(f"`{c}`") if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in values.items()]
+        sides.append(df.select(*key, F.array(*[F.lit(int(i == j)) for j in range(len(tables))]).alias("of_"), *own))
+    all_rows = reduce(DataFrame.unionByName, sides)
+    n = F.array(*[F.sum(F.col("of_")[i]) for i in range(len(tables))])
+    return order.settled(all_rows.groupBy(*key).agg(n.alias("n_"), *[F.first(f"`{c}`", ignorenulls=True).alias(c) for c in values])), list(tables)
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:

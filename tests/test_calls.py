@@ -197,3 +197,25 @@ def test_speakers(spark):
         people.with_demographics(u, sides, c, strict=True).collect()
     assert people.unmapped_count(u, sides).first()[0] == 4 and people.mapped_rows(u, sides).count() == 4
     assert people.roles_to_sides(spark.createDataFrame([(5, 7, 8)], "call_id long, caller_from long, caller_to long")).count() == 2
+
+
+def test_repetitions_grow_with_the_utterance(spark):
+    """Against counts; a hundred thousand tokens take one fold, not a look at all pairs."""
+    import random
+    import time
+    from collections import Counter
+
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(["a", "b", "[noise]", "C", "c", "i[t]-", ""]) for _ in range(r.randrange(12))), " ".join(r.choice("abcx") for _ in range(r.randrange(9)))) for i in range(200)]
+    rows += [(200, None, "a"), (201, "a", None), (202, "", ""), (203, "a A", "a")]
+    df = spark.createDataFrame(rows, "id int, t string, o string")
+    got = {x["id"]: (x["n"], x["p"], x["s"]) for x in df.select("id", X.repeated_types(F.col("t")).alias("n"), X.repeated_pairs(F.col("t")).alias("p"), X.shared_pairs(F.col("t"), F.col("o")).alias("s")).collect()}
+    count = lambda t: None if t is None else Counter(w for w in t.lower().split() if not (w[0] == "[" and w[-1] == "]"))
+    for i, t, o in rows:
+        a, b = count(t), count(o)
+        assert got[i][:2] == ((None, None) if a is None else (sum(n > 1 for n in a.values()), sum(n * (n - 1) // 2 for n in a.values())))
+        assert got[i][2] == (None if a is None or b is None else sum(n * b[w] for w, n in a.items()))
+    long = spark.createDataFrame([(" ".join(f"w{i % 40_000}" for i in range(100_000)),), ("ha " * 100_000,)], "t string")
+    began = time.time()
+    assert {x[0] for x in long.select(X.repeated_pairs(F.col("t"))).collect()} == {80_000, 100_000 * 99_999 // 2}
+    assert time.time() - began < 20
