@@ -51,11 +51,12 @@ def mutual_revelation(utterances: DataFrame, anecdote: Column) -> DataFrame:
     return told.withColumn("mutual_revelation", F.when(first, None).when(F.lag("side").over(w) == F.col("side"), 0).otherwise(both.cast("int")))
 
 
-def text_features(utterances: DataFrame) -> DataFrame:
-    """All row-local features of the text: split once, then one projection over the parts."""
+def text_features(utterances: DataFrame, extra: list[Column] = ()) -> DataFrame:
+    """All row-local features of the text, and named columns of one's own: split once, then one projection over the parts."""
     t, seconds = F.col("text"), F.col("end") - F.col("start")
     some = F.when(t.contains("["), F.filter(X.words(t), X.is_bracket)).when(t.isNotNull(), F.array().cast("array<string>"))
-    split = utterances.select(*KEY, seconds.alias("seconds_"), X.tokens(t).alias("tokens_"), some.alias("brackets_"), X.content_words(t).alias("content_"), X.is_backchannel(t).alias("backchannel"))
+    split = utterances.select(*KEY, seconds.alias("seconds_"), X.tokens(t).alias("tokens_"), some.alias("brackets_"), X.content_words(t).alias("content_"), X.is_backchannel(t).alias("backchannel"), *extra)
+    own = split.columns[-len(extra) :] if extra else []
     parts = split.select("*", X.joined(F.col("tokens_")).alias("line_"), X.repetitions(F.col("tokens_")).alias("repeated_"), X.bracket_events_of(F.col("brackets_")).alias("events_"))
     line, again, seconds = F.col("line_"), F.col("repeated_"), F.col("seconds_")
     hits, count = X.filler_hits_of(line), F.when(F.col("tokens_").isNotNull(), F.size("tokens_"))
@@ -72,6 +73,7 @@ def text_features(utterances: DataFrame) -> DataFrame:
         X.question_flag_of(F.col("content_")).alias("question_flag"),
         X.question_flag_after_markers_of(F.col("content_")).alias("question_after_markers"),
         "backchannel",
+        *own,
     )
 
 

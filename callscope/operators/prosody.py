@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from callscope.operators import analysis
+
 KEY = ["call_id", "side", "utt_num"]
 WINDOW_SECONDS, MIN_FRAMES, RISE_SEMITONES = 0.3, 3, 3.07
 MAX_TOKENS, MAX_ONSET, HIGH_PITCH, MIN_PITCHED = 4, 0.5, 0.75, 10
@@ -26,23 +26,13 @@ def loudness(frames: DataFrame) -> DataFrame:
     return frames.groupBy(*KEY).agg(F.avg("rms").alias("loudness_mean"), F.stddev_pop("rms").alias("loudness_std"), (F.max("rms") - F.min("rms")).alias("loudness_range"))
 
 
-def frame_rms(audio: DataFrame, samples: str = "samples", size: int = 512, hop: int = 128) -> DataFrame:
-    """(key, t, rms) from sample arrays: the root mean square of each Hann-windowed frame by its spectrum; an utterance at a time."""
-    taper = np.hanning(size + 1)[:-1]
-
-    def rows(batches):
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                x = np.asarray(row[3], float)
-                x = np.pad(x, (0, max(0, size - len(x))))
-                n = 1 + (len(x) - size) // hop
-                cut = np.lib.stride_tricks.sliding_window_view(x, size)[::hop][:n] * taper
-                power = np.abs(np.fft.rfft(cut, axis=1)) ** 2
-                power[:, 1:-1] *= 2
-                rms = np.sqrt(power.sum(1) / size**2)
-                yield pd.DataFrame({"call_id": row[0], "side": row[1], "utt_num": row[2], "t": np.arange(n) * hop, "rms": rms})
+def frame_rms(audio: DataFrame, samples: str = "samples", size: int = 512, hop: int = 128, block: str | None = None) -> DataFrame:
+    """(key, t, rms) from sample arrays: the root mean square of each Hann-windowed frame, t its first sample.
 
-    return audio.select(*KEY, samples).mapInPandas(rows, "call_id long, side string, utt_num long, t long, rms double")
+    An utterance is one row, or several in the order of `block`; frames reach over them.
+    """
+    rows = audio.select(*KEY, F.col(samples).alias("samples"), (F.col(block) if block else F.lit(0)).alias("block"))
+    return analysis.analyse(rows, lambda: lambda: analysis.FrameRms(size, hop), "t long, rms double", ["samples"], ["block"])
 
 
 def speech_end(bounds: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callscope.functions import text as X
+from callscope.operators import analysis, prosody
 from callscope.operators import chronology as C
 from callscope.operators import groups as S
 from callscope.operators import overlap as O
@@ -468,3 +469,61 @@ def udf_run_feature(spark, sf_dir):
 def udf_tag_tokens(spark, sf_dir):
     words = corpus.words(spark, sf_dir)
     return R.tag_tokens(words, lambda: lambda tokens: ["odd" if len(t) % 2 else "even" for t in tokens]).select(*C.KEY, "i", "token", "tag")
+
+
+ALL_SQL = f"""{TURNS_SQL}, {PAUSES_SQL}, {core.OVERLAP_SQL}, {annotated.SLOPE_SQL}, {annotated.PITCH_SQL}, {annotated.PEOPLE_SQL}, {LEXICON_SQL.replace('count_if(', 'coalesce(count_if(').replace(')::BIGINT', '), 0)::BIGINT')},
+cv AS (SELECT DISTINCT conv_id AS call_id, (conv_id % 7)::INT AS topic_no FROM conversations), tp AS (SELECT r_regionkey AS topic_no, r_name AS topic FROM region),
+mb AS (SELECT call_id, side, utt_num, len({_TOK}) AS tc, CASE WHEN len({CONTENT}) > 0 THEN (({CONTENT})[1] IN ({STARTERS}))::INT END AS q FROM u),
+mj AS (SELECT mb.*, ev.backchannel, ev.onset_gap, sl.rising, pm.pitch_mean, bl.high_pitch FROM mb JOIN ev USING (call_id, side, utt_num) LEFT JOIN sl USING (call_id, side, utt_num) LEFT JOIN pm USING (call_id, side, utt_num) LEFT JOIN bl USING (call_id, side)),
+mg AS (SELECT *, CASE WHEN backchannel = 1 THEN NULL WHEN coalesce(q, 0) = 0 AND rising IS NULL THEN NULL WHEN coalesce(q, 0) = 0 AND rising = 0 THEN 0 ELSE 1 + (tc <= 4)::INT + coalesce((onset_gap <= 0.5)::INT, 0) + coalesce((round(pitch_mean, 9) >= round(high_pitch, 9))::INT, 0) END AS mgq_score FROM mj)
+"""
+#: Feature names of every kind of input, each family of the catalogue once at least.
+EACH_KIND = ["token_count", "word_rate", "floor_transfer", "latching", "overlap_split", "overlap", "pauses", "rising_terminal", "marked_question", "personal_focus", "demographics", "topic"]
+
+
+@query(f"""{ALL_SQL} SELECT u.call_id, u.side, u.utt_num, len({_TOK})::INT AS token_count, CASE WHEN "end" > start THEN round(len({_TOK}) / ("end" - start), 6) END AS word_rate,
+  ev.kind, ev.fto, ev.onset_gap, ev.turn_initial, ev.backchannel AS turn_backchannel, ev.interjection, ev.latching, ev.cooperative, ev.obstructive, overlap_sec, overlap_count, overlap_onset, pause_total, pause_count, pause_rate, pause_max,
+  slope_hz, slope_st, sl.rising, mgq_score, (mgq_score = 4)::INT AS mgq_flag, personal, impersonal, analyzed, CASE WHEN personal + impersonal >= 3 THEN round(personal / (personal + impersonal), 6) END AS score,
+  caller, gender, region, birth_year, generation, decade, education, coalesce(topic, 'UNK') AS topic
+FROM u LEFT JOIN ev USING (call_id, side, utt_num) LEFT JOIN ovl USING (call_id, side, utt_num) LEFT JOIN pz USING (call_id, side, utt_num) LEFT JOIN sl USING (call_id, side, utt_num) LEFT JOIN mg USING (call_id, side, utt_num)
+LEFT JOIN ph USING (call_id, side, utt_num) LEFT JOIN (sides JOIN ppl USING (caller)) pe USING (call_id, side) LEFT JOIN cv USING (call_id) LEFT JOIN tp ON cv.topic_no = tp.topic_no""")
+def udf_run_features(spark, sf_dir):
+    """Features of every kind of input by name, in one run."""
+    c = corpus.calls(spark, sf_dir)
+    inputs = {
+        "utterances": c["utterances"],
+        "words": c["words"],
+        "frames": corpus.frames(spark, sf_dir, c["pieces"]),
+        "lexicon": spark.createDataFrame(LEXICON, "term string, bucket string"),
+        "sides": corpus.sides(spark, sf_dir),
+        "callers": corpus.callers(spark, sf_dir),
+        "conversations": corpus.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("call_id"), (F.col("conv_id") % 7).cast("string").alias("topic_no")).distinct(),
+        "topics": corpus.table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("int").alias("topic_no"), F.col("r_name").alias("topic")),
+    }
+    return R.run_features(EACH_KIND, inputs)
+
+
+def _energy(frame):
+    """A user's analyser: mean power and number of an utterance's frames."""
+    return {"energy": [float((frame["rms"] ** 2).mean())], "n_frames": [len(frame["rms"])]}
+
+
+@query("SELECT call_id, side, utt_num, round(avg(rms * rms), 12) AS energy, count(*) AS n_frames FROM fr GROUP BY ALL")
+def udf_frame_energy(spark, sf_dir):
+    out = analysis.analyse(corpus.frames(spark, sf_dir), analysis.whole(_energy), "energy double, n_frames long", ["rms"])
+    return out.withColumn("energy", F.round("energy", 12))
+
+
+_TAPER = "(0.5 - 0.5 * cos(2 * pi() * j / 16))"
+
+
+@query(f"""sm AS (SELECT call_id, side, utt_num, list_transform(string_split(text, ''), lambda c: ascii(c)::DOUBLE) AS x FROM u WHERE length(text) > 0),
+sp2 AS (SELECT call_id, side, utt_num, x || list_transform(range(0, greatest(16 - len(x), 0)), lambda i: 0.0::DOUBLE) AS x FROM sm),
+k AS (SELECT call_id, side, utt_num, x, unnest(range(0, (len(x) - 16) // 8 + 1)) AS k FROM sp2)
+SELECT call_id, side, utt_num, k * 8 AS t, round(sqrt(list_sum(list_transform(range(0, 16), lambda j: (x[k * 8 + j + 1] * {_TAPER}) ** 2)) / 16), 6) AS rms FROM k""")
+def scl_frame_rms(spark, sf_dir):
+    """Characters of the text stand for samples, in rows of ten, so that frames reach over rows."""
+    u = corpus.utterances(spark, sf_dir).where("length(text) > 0")
+    at = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 10).cast("int"))).alias("block")
+    rows = u.select(*C.KEY, "text", at).select(*C.KEY, "block", F.transform(F.split(F.substring(F.col("text"), F.col("block") * 10 + 1, F.lit(10)), ""), lambda c: F.ascii(c).cast("double")).alias("samples"))
+    return prosody.frame_rms(rows, "samples", 16, 8, "block").withColumn("rms", F.round("rms", 6))

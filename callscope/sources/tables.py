@@ -87,7 +87,13 @@ def build_table(manifest: DataFrame, features: dict[str, DataFrame], key: list[s
     return grouped.select(*manifest.columns, *[f"`{c}`" for df in features.values() for c in df.columns if c not in key])
 
 
-def _united(tables: dict[str, DataFrame], key: list[str]) -> tuple[DataFrame, list[str]]:
+def union_rows(manifest: DataFrame, features: dict[str, DataFrame], key: list[str] = KEY) -> DataFrame:
+    """The manifest's keys with all tables' columns, null where a table has no row: one union and grouping; a key twice is one row."""
+    grouped, _ = _united({"manifest": manifest, **features}, key, settle=False)
+    return grouped.where("n_[0] > 0").drop("n_")
+
+
+def _united(tables: dict[str, DataFrame], key: list[str], settle: bool = True) -> tuple[DataFrame, list[str]]:
     """(a row for each key: n_, the rows of each table, and all tables' value columns; the tables' names), worked out once."""
     values = {c: df.schema[c].dataType for df in tables.values() for c in df.columns if c not in key}
     sides = []
@@ -96,7 +102,8 @@ def _united(tables: dict[str, DataFrame], key: list[str]) -> tuple[DataFrame, li
         sides.append(df.select(*key, F.array(*[F.lit(int(i == j)) for j in range(len(tables))]).alias("of_"), *own))
     all_rows = reduce(DataFrame.unionByName, sides)
     n = F.array(*[F.sum(F.col("of_")[i]) for i in range(len(tables))])
-    return order.settled(all_rows.groupBy(*key).agg(n.alias("n_"), *[F.first(f"`{c}`", ignorenulls=True).alias(c) for c in values])), list(tables)
+    grouped = all_rows.groupBy(*key).agg(n.alias("n_"), *[F.first(f"`{c}`", ignorenulls=True).alias(c) for c in values])
+    return order.settled(grouped) if settle else grouped, list(tables)
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
