@@ -314,32 +314,6 @@ def pairwise_distances(df: DataFrame, columns: list[str], bins: int = 512, max_r
     return (np.arange(bins) + 0.5) * top / bins, counts
 
 
-def hopkins(df: DataFrame, columns: list[str], probes: int = 50, seed: int = 0) -> float:
-    """Sum of uniform probes' nearest distances over that plus sampled rows' nearest other distances; 0.5 for uniform rows.
-
-    Probes are broadcast (a stated number); each row is scanned once.
-    """
-    stats = df.agg(*[x for c in columns for x in (F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi"))]).first()
-    r = np.random.default_rng(seed)
-    free = np.stack([r.uniform(stats[f"{c}_lo"], stats[f"{c}_hi"], probes) for c in columns], 1)
-    own = np.array([[float(x[c]) for c in columns] for x in df.select(*columns).orderBy(F.xxhash64(F.lit(seed), *columns)).limit(probes).collect()])
-
-    def nearest(batches):
-        best = np.full((2, probes), np.inf)
-        for pdf in batches:
-            x = pdf.to_numpy(float)
-            for k, p in enumerate((free, own)):
-                d = np.sqrt(np.clip((p**2).sum(1)[:, None] + (x**2).sum(1) - 2 * p @ x.T, 0, None))
-                if k:
-                    d[d < 1e-6] = np.inf
-                best[k, : len(p)] = np.minimum(best[k, : len(p)], d.min(1))
-        yield pd.DataFrame({"kind": np.repeat([0, 1], probes), "probe": np.tile(np.arange(probes), 2), "d": best.ravel()})
-
-    d = df.select(*columns).mapInPandas(nearest, "kind int, probe int, d double").where("d < double('infinity')").groupBy("kind", "probe").agg(F.min("d").alias("d")).groupBy("kind").agg(F.sum("d").alias("d")).collect()
-    total = {x["kind"]: x["d"] for x in d}
-    return total[0] / (total[0] + total.get(1, 0.0))
-
-
 def reference_dispersions(spark: SparkSession, widths: list[float], n: int, ks: list[int], replicates: int, seed: int = 0, steps: int = 30, slice_rows: int = 1 << 16) -> np.ndarray:
     """Within-cluster dispersions (replicate x k) of `replicates` uniform boxes of n rows, by k-means from k of the rows.
 

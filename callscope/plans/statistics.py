@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions import text as X
 from callscope.operators import chronology as C
+from callscope.operators import clusterability
 from callscope.operators import classify, curves, grid, modality, multivariate
 from callscope.operators import units as U
 from callscope.plans import annotated, corpus, rollups
@@ -148,7 +149,15 @@ def ml_distance_dip(spark, sf_dir):
 def ml_clusterability(spark, sf_dir):
     d = multivariate.standardise(_customers(spark, sf_dir), ["price", "top"])
     k, gaps = modality.gap_statistic(d, ["price", "top"], range(1, 4), 5)
-    return gaps.withColumn("chosen", F.col("k") == k).withColumn("hopkins", F.lit(modality.hopkins(d, ["price", "top"])))
+    return gaps.withColumn("chosen", F.col("k") == k).withColumn("hopkins", F.lit(clusterability.hopkins(d, ["price", "top"])))
+
+
+@query(None)
+def ml_hopkins_nulls(spark, sf_dir):
+    """Hopkins' statistic of the unit table against tables of its size with its covariance, and with its correlation and quantiles."""
+    d = multivariate.standardise(_customers(spark, sf_dir), ["price", "top", "noise"])
+    rows = [(null, *clusterability.hopkins_test(d, ["price", "top", "noise"], null, replicates=200)) for null in ("gaussian", "copula")]
+    return spark.createDataFrame(rows, "null_table string, statistic double, p double, null_mean double")
 
 
 _UNIT_SQL = "WITH c AS (SELECT o_custkey AS unit, count(*)::DOUBLE AS n, avg(o_totalprice::DOUBLE) AS price, max(o_totalprice::DOUBLE) AS top, avg((o_orderkey % 97)::DOUBLE) AS noise FROM orders GROUP BY 1)"

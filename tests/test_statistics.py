@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from callscope.operators import classify, curves, groups, modality, multivariate
+from callscope.operators import classify, clusterability, curves, groups, modality, multivariate
 
 
 def frame(spark, x, names):
@@ -108,8 +108,8 @@ def test_clusters(spark):
     r = np.random.default_rng(5)
     three = frame(spark, np.concatenate([r.normal(c, 0.3, (100, 2)) for c in ((0, 0), (5, 0), (0, 5))]), "xy").cache()
     k, _ = modality.gap_statistic(three, ["x", "y"], range(1, 6), 6)
-    assert k == 3 and modality.hopkins(three, ["x", "y"]) > 0.8
-    assert 0.35 < modality.hopkins(frame(spark, r.uniform(size=(400, 2)), "xy"), ["x", "y"]) < 0.65
+    assert k == 3 and clusterability.hopkins(three, ["x", "y"]) > 0.8
+    assert 0.35 < clusterability.hopkins(frame(spark, r.uniform(size=(400, 2)), "xy"), ["x", "y"]) < 0.65
     best = max(multivariate.silhouettes(three, ["x", "y"], range(2, 5)).collect(), key=lambda q: q["silhouette"])
     assert best["k"] == 3
     x, c = modality.pairwise_distances(three, ["x", "y"])
