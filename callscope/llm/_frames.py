@@ -110,7 +110,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates the large-star and small-star steps until nothing changes: each replaces a node's links by links to the least
     node of its neighbourhood. Both are a grouped minimum (combined before the shuffle) and a join, which Spark can split at a
-    hot node in the first step; in the second no node is hot, as links lead from larger nodes to few least ones. Nodes without an edge are not returned; self links are ignored.
+    hot node: the least of a star in the first step, in the second one whose id is the largest of its star. Nodes without an edge are not returned; self links are ignored.
     """
     now = kept(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     mark = _mark(now)
@@ -118,7 +118,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = splittable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = large.join(splittable(large.groupBy("u").agg(F.min("v").alias("m")), "u"), "u")
         nxt = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         now = kept(nxt.where("u <> v").distinct())
         new = _mark(now)

@@ -14,7 +14,8 @@ Only sub-keys that two classes share are combined, and buckets with the same mem
 4. Members of buckets that still hold several components are compared across components, exactly, in blocks of bounded
    size (counts of common shingles by matrix product). Buckets with the same members are taken once. Where the buckets of a
    connected region overlap so much that comparing bucket by bucket would make more comparisons than the region has pairs,
-   the region is compared as one. Pairs inside a component are skipped and no pair list is made.
+   the region is compared as one. Pairs inside a component are skipped, and a block pair returns a spanning forest of its links:
+   fewer links than it has components.
 
 Defined results: null or empty text or one without words has the empty set and is linked with nothing; a text of fewer than
 `size` words has its whole word sequence as its one shingle; a row with a null id is linked with nothing, has no component and
@@ -126,7 +127,7 @@ def _confirm_rows(percent: int):
 
 
 def _block_links(percent: int):
-    """Links between the left and right rows of one block pair; rows (block, other, side, id, component, shingles)."""
+    """A spanning forest of the links between the left and right rows of one block pair; rows (block, other, side, id, component, shingles)."""
 
     def links(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -159,11 +160,33 @@ def _block_links(percent: int):
             both += m[0, : len(left)] @ m[1, : len(right)].T
         total = size[left][:, None] + size[right][None, :] - both
         i, j = np.nonzero((100 * both >= percent * total) & (comp[left][:, None] != comp[right][None, :]))
+        tree = _forest(comp[left][i], comp[right][j])
+        i, j = i[tree], j[tree]
         return pa.table({"a": ids[left][i], "b": ids[right][j]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return links
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places of links that join the same components as all do, one fewer than the components at most."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    first = np.unique(np.minimum(a, b) * len(names) + np.maximum(a, b), return_index=True)[1] if len(a) else np.zeros(0, int)
+    root, keep = list(range(len(names))), []
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for k in first.tolist():
+        x, y = top(int(a[k])), top(int(b[k]))
+        if x != y:
+            root[x] = y
+            keep.append(k)
+    return keep
+
+
 #: What of a packed sub-key tells its set of members; the rest is its place.
 _MATES = -64
 

@@ -206,3 +206,34 @@ def test_pruned_search_is_exact():
         code, best, n = vector_codes.nearest(x, vector_codes.distances(x, pivots).astype(np.float32), entries, pivots)
         d = ((x[:, None] - entries[None]) ** 2).sum(2)
         assert (code == d.argmin(1)).all() and (best == d.min(1)).all() and n < d.size
+
+
+# 4, its shared steps
+
+
+def test_block_links_are_a_forest():
+    """256 rows that are all alike, each a component of its own: fewer links than rows, and all of them connected."""
+    import pyarrow as pa
+
+    from callscope.llm import near_dedup
+
+    raw = np.arange(100, dtype=np.uint64).tobytes()
+    table = pa.table({"side": pa.array([0] * 256, pa.int32()), "id": pa.array(range(256)), "component": pa.array(range(256)), "shingles": pa.array([raw] * 256, pa.binary())})
+    got = near_dedup._block_links(75)(table).to_pylist()
+    assert len(got) == 255
+    near = {i: i for i in range(256)}
+    for _ in range(256):
+        for r in got:
+            near[r["a"]] = near[r["b"]] = min(near[r["a"]], near[r["b"]])
+    assert set(near.values()) == {0}
+
+
+@pytest.mark.parametrize("hub", [0, 10**6])
+def test_components_of_a_star(spark, hub):
+    """A hub with the least or the largest id; the joins of both steps can be split at it."""
+    from callscope.llm._frames import components
+
+    links = spark.createDataFrame([*((i, hub) for i in range(1, 3001)), (5000, 5001), (7, 7)], "a long, b long")
+    got = {r["id"]: r["component"] for r in components(links).collect()}
+    least = min(hub, 1)
+    assert got == {**{i: least for i in [*range(1, 3001), hub]}, 5000: 5000, 5001: 5000}
