@@ -19,8 +19,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A null id or a text without words belongs to no group and stays; rows that repeat an id go or stay together.
     """
-    away = near_dedup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("away_id"))
-    return docs.join(away.hint("shuffle_hash"), docs["doc_id"] == F.col("away_id"), "left_anti")
+    away = near_dedup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("away_id")).distinct()
+    return docs.join(away, docs["doc_id"] == away["away_id"], "left_anti")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
