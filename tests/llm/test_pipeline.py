@@ -95,5 +95,5 @@ def test_run_matches_stages(spark, tmp_path):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
