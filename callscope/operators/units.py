@@ -42,20 +42,33 @@ def winsor_log(df: DataFrame, columns: list[str], skip: tuple[str, ...] = ("fto"
     return out.withColumns(new).select(*df.columns)
 
 
-def unit_table(df: DataFrame, unit: str | list[str], features: list[str], backchannel: str = "backchannel", min_utterances: int = 20, demographics: list[str] = ()) -> DataFrame:
+def exact_mean(value: Column, places: int = 6) -> Column:
+    """An aggregate: the mean of values of so many decimal places, rounded half up to as many.
+
+    Values are added up as whole numbers, so that neither the order of the rows nor binary fractions decide a tie.
+    """
+    whole = F.round(value * 10**places).cast("long")
+    n, twice = F.count(value), 2 * F.sum(whole) + F.count(value)
+    quotient = F.try_divide((twice - F.pmod(twice, F.nullif(2 * n, F.lit(0)))).cast("decimal(38,0)"), (2 * n).cast("decimal(38,0)"))
+    return quotient.cast("double") / 10**places
+
+
+def unit_table(df: DataFrame, unit: str | list[str], features: list[str], backchannel: str = "backchannel", min_utterances: int = 20, demographics: list[str] = (), places: int | None = None) -> DataFrame:
     """Means of features over substantive rows, n_sub, n_fto, bc_rate over all rows, first known demographics; small units go.
 
-    One grouping with conditional aggregates, combined before its only shuffle.
+    One grouping with conditional aggregates, combined before its only shuffle. With `places` values count to so many decimal places, and
+    means are exact to as many.
     """
+    mean = F.avg if places is None else (lambda x: exact_mean(x, places))
     units = [unit] if isinstance(unit, str) else list(unit)
     substantive = F.col(backchannel) == 0
     fto = in_window(F.col("fto"))
     value = {c: fto if c == "fto" else F.col(c) for c in features}
     return df.groupBy(*units).agg(
-        *[F.avg(F.when(substantive, value[c])).alias(c) for c in features],
+        *[mean(F.when(substantive, value[c])).alias(c) for c in features],
         F.count_if(substantive).alias("n_sub"),
         F.count(F.when(substantive, fto)).alias("n_fto"),
-        F.avg(F.col(backchannel).cast("double")).alias("bc_rate"),
+        mean(F.col(backchannel).cast("double")).alias("bc_rate"),
         *[F.min(c).alias(c) for c in demographics],
     ).where(F.col("n_sub") >= min_utterances)
 

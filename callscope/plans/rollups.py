@@ -176,33 +176,38 @@ fu AS (SELECT u.call_id, u.side, u.utt_num, caller, gender, region, generation,
 def _table(spark, sf_dir):
     from callscope.operators import people
 
-    u = corpus.utterances(spark, sf_dir)
-    text = C.text_features(u).select(*C.KEY, "token_count", F.round("word_rate", 6).alias("word_rate"), "laughter")
-    pauses = O.pauses(u, corpus.words(spark, sf_dir))
-    t = u.select(*C.KEY, "text").join(core.features(spark, sf_dir), C.KEY).join(text, C.KEY).join(pauses, C.KEY)
-    return people.with_demographics(t, corpus.sides(spark, sf_dir), corpus.callers(spark, sf_dir))
+    c = corpus.calls(spark, sf_dir)
+    u, w = c["utterances"], c["words"]
+    parts = {
+        "turns": T.transfer_columns(T.turn_events(u, w)),
+        "text": C.text_features(u).select(*C.KEY, "token_count", F.round("word_rate", 6).alias("word_rate"), "laughter"),
+        "pauses": O.pauses(u, w),
+    }
+    return people.with_demographics(B.union_rows(u.select(*C.KEY, "text"), parts), corpus.sides(spark, sf_dir), corpus.callers(spark, sf_dir))
 
 
 FEATURES = ["token_count", "word_rate", "fto", "pause_total", "obstructive"]
 
 
-def _means(df):
-    return df.withColumns({c: F.round(F.col(c) + 1e-10, 6) for c in (*FEATURES, "bc_rate")})
+def _mean_sql(x: str) -> str:
+    """Whole millionths added up, divided and rounded half up in whole numbers."""
+    s, n = f"(2 * sum(round({x} * 1000000)::BIGINT)::BIGINT + count({x}))", f"(2 * nullif(count({x}), 0))"
+    return f"(({s} - ({s} % {n} + {n}) % {n}) // {n}) / 1000000.0::DOUBLE"
 
 
-#: Six places; a mean that lies on a tie, as sums of whole milliseconds may, is rounded up alike by both engines, whose sums differ in the last bit.
-_MEANS = "round(avg(CASE WHEN backchannel = 0 THEN token_count END) + 1e-10, 6) AS token_count, round(avg(CASE WHEN backchannel = 0 THEN word_rate END) + 1e-10, 6) AS word_rate, round(avg(CASE WHEN backchannel = 0 AND fto BETWEEN -2 AND 2 THEN fto END) + 1e-10, 6) AS fto, round(avg(CASE WHEN backchannel = 0 THEN pause_total END) + 1e-10, 6) AS pause_total, round(avg(CASE WHEN backchannel = 0 THEN obstructive END) + 1e-10, 6) AS obstructive, count_if(backchannel = 0)::BIGINT AS n_sub, count(CASE WHEN backchannel = 0 AND fto BETWEEN -2 AND 2 THEN fto END) AS n_fto, round(avg(backchannel) + 1e-10, 6) AS bc_rate"
+_SUB = "CASE WHEN backchannel = 0 THEN {} END"
+_FTO = "CASE WHEN backchannel = 0 AND fto BETWEEN -2 AND 2 THEN fto END"
+_MEANS = ", ".join([f"{_mean_sql(_FTO if c == 'fto' else _SUB.format(c))} AS {c}" for c in FEATURES]) + f", count_if(backchannel = 0)::BIGINT AS n_sub, count({_FTO}) AS n_fto, {_mean_sql('backchannel')} AS bc_rate"
 
 
 @query(f"{UNIT_SQL} SELECT caller, {_MEANS}, min(gender) AS gender, min(region) AS region FROM fu WHERE caller IS NOT NULL GROUP BY caller HAVING count_if(backchannel = 0) >= 20")
 def agg_unit_table_caller(spark, sf_dir):
-    t = U.unit_table(_table(spark, sf_dir).where("caller IS NOT NULL"), "caller", FEATURES, demographics=["gender", "region"])
-    return _means(t)
+    return U.unit_table(_table(spark, sf_dir).where("caller IS NOT NULL"), "caller", FEATURES, demographics=["gender", "region"], places=6)
 
 
 @query(f"{UNIT_SQL} SELECT call_id, side, {_MEANS} FROM fu GROUP BY ALL HAVING count_if(backchannel = 0) >= 5")
 def agg_unit_table_side(spark, sf_dir):
-    return _means(U.unit_table(_table(spark, sf_dir), ["call_id", "side"], FEATURES, min_utterances=5))
+    return U.unit_table(_table(spark, sf_dir), ["call_id", "side"], FEATURES, min_utterances=5, places=6)
 
 
 @query(f"{TURNS_SQL} SELECT call_id, side, utt_num, CASE WHEN fto BETWEEN -2 AND 2 THEN fto END AS fto FROM ev")
