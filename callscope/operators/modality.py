@@ -268,11 +268,35 @@ def tail_diagnosis(df: DataFrame, column: str, h: float = 0.25, cut: float = 0.0
     return {"raw_modes": count_modes(df, column, h), "winsorised_modes": count_modes(clipped, column, h), "far_share": far}
 
 
-def pairwise_distances(df: DataFrame, columns: list[str], bins: int = 512, max_rows: int | None = None, block: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+#: Rows up to which distance_dip takes all pairs by itself; offsets of blocks and chance of error beyond.
+EXACT_ROWS, OFFSETS, RISK = 50_000, 8, 0.01
+
+
+def distance_dip(df: DataFrame, columns: list[str], exact: bool | None = None, bins: int = 512, block: int = 2048, offsets: int = OFFSETS, risk: float = RISK) -> tuple[int, float, float]:
+    """(number of pairs, dip of the distances of all pairs, bound of its error).
+
+    All pairs up to EXACT_ROWS rows, or with `exact`: error 0. Beyond, an incomplete U-statistic: points are dealt at random over
+    blocks, and block i meets i + 1, ..., i + `offsets` only, so that all blocks and points count alike and work grows as the rows.
+    The share of distances below any bin edge is then off by at most sqrt(log(2 * bins / risk) / n) but for a chance of `risk`
+    (a mean over matchings of n / 2 pairs each), and the dip by no more. n is the effective number of rows, where equal rows have weights.
+    """
+    rows = df.dropna(subset=columns)
+    n = rows.count()
+    if exact is None:
+        exact = n <= EXACT_ROWS
+    x, counts = pairwise_distances(rows, columns, bins, block=block, offsets=None if exact else offsets)
+    if not counts.any():
+        return n * (n - 1) // 2, 0.0, 0.0
+    weights = rows.groupBy(*columns).agg(F.count(F.lit(1)).cast("double").alias("w")).agg(F.sum(F.col("w") * F.col("w"))).first()[0]
+    return n * (n - 1) // 2, float(dip(x, counts)), 0.0 if exact else math.sqrt(math.log(2 * bins / risk) * weights / n**2)
+
+
+def pairwise_distances(df: DataFrame, columns: list[str], bins: int = 512, max_rows: int | None = None, block: int = 2048, offsets: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(centres, counts) of the distances of all pairs of complete rows; work grows with the square of the rows.
 
     Equal points become one with a weight. Points are dealt by hash over blocks of about `block`, each meets every block once,
-    and a task sees two blocks; only `bins` sums reach the driver. A caller that can't afford the square may state max_rows.
+    and a task sees two blocks; only `bins` sums reach the driver. A caller that can't afford the square may state max_rows, or
+    `offsets`, how many blocks after its own each block meets: counts are then scaled up to all pairs, those of equal rows being exact.
     """
     points = df.dropna(subset=columns).select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
     x = [f"x{i}" for i in range(len(columns))]
@@ -286,7 +310,11 @@ def pairwise_distances(df: DataFrame, columns: list[str], bins: int = 512, max_r
     top = 2 * math.sqrt(sized.agg(F.max(sum(((F.col(c) - F.lit(m)) ** 2 for c, m in zip(x, middle)), F.lit(0.0)))).first()[0]) + 1e-9
     blocks = -(-s["distinct"] // block)
     own = sized.select(*[(F.col(c) - F.lit(m)).alias(c) for c, m in zip(x, middle)], "w", F.pmod(F.xxhash64(*x), F.lit(blocks)).cast("int").alias("own"))
-    met = own.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")).select(*x, "w", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    if offsets is not None and 2 * offsets + 1 < blocks:  # a block, and those that have it among the blocks after them
+        other = F.explode(F.array(*[F.pmod(F.col("own") + F.lit(d), F.lit(blocks)).cast("int") for d in range(-offsets, offsets + 1) if d])).alias("other")
+    else:
+        offsets, other = None, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    met = own.select("*", other).select(*x, "w", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         at, w, inside = pdf[x].to_numpy(float), pdf["w"].to_numpy(float), (pdf["own"] == pdf["p"]).to_numpy()
@@ -306,11 +334,15 @@ def pairwise_distances(df: DataFrame, columns: list[str], bins: int = 512, max_r
         seen = np.flatnonzero(total)
         return pd.DataFrame({"b": seen.astype("int32"), "n": np.rint(total[seen]).astype("int64")})
 
-    met = met.repartition(min(blocks * (blocks + 1) // 2, 10_000), "p", "q")  # few bytes, much work: not to be coalesced
+    met = met.repartition(min(blocks * (blocks + 1) // 2 if offsets is None else blocks * offsets, 10_000), "p", "q")  # few bytes, much work: not to be coalesced
     rows = met.groupBy("p", "q").applyInPandas(count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(bins)
     for r in rows:
         counts[r["b"]] = r["n"]
+    if offsets is not None:
+        equal = sized.agg(F.sum(F.col("w") * (F.col("w") - 1) / 2)).first()[0]
+        counts *= (s["n"] * (s["n"] - 1) / 2 - equal) / counts.sum()
+        counts[0] += equal
     return (np.arange(bins) + 0.5) * top / bins, counts
 
 

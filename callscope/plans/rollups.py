@@ -150,11 +150,9 @@ def set_registry_differences(spark, sf_dir):
 l AS (SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'buy' END AS x FROM events)
 SELECT section, count(*) AS n FROM (SELECT last_value(CASE WHEN event_id % 50 = 0 THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS section FROM events) GROUP BY section""")
 def win_section_fill(spark, sf_dir):
-    from pyspark.sql import Window
-
     e = corpus.table(spark, sf_dir, "events")
-    fill = F.last(F.when(F.col("event_id") % 50 == 0, F.col("event_id")), ignorenulls=True).over(Window.partitionBy("user_id").orderBy("event_id"))
-    return e.select(fill.alias("section")).groupBy("section").agg(F.count(F.lit(1)).alias("n"))
+    marked = B.filled(e, F.when(F.col("event_id") % 50 == 0, F.col("event_id")), "section", "event_id", "user_id")
+    return marked.groupBy("section").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""{TURNS_SQL} SELECT call_id, side, utt_num, fto, 'v2' AS version FROM ev""")

@@ -52,6 +52,28 @@ def ml_pca(spark, sf_dir):
     return multivariate.loadings_table(spark, m).withColumn("share", F.element_at(F.array(*[F.lit(float(s)) for s in m["shares"]]), F.col("component")))
 
 
+_PAIRS = [(a, b) for i, a in enumerate(LINES) for b in LINES[i:]]
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}::DOUBLE, {b}::DOUBLE), 6) AS r FROM lineitem" for a, b in _PAIRS))
+def ml_pca_correlations(spark, sf_dir):
+    """Correlations put together again from all components: loadings and eigenvalues have to be right together."""
+    m = multivariate.pca(_lines(spark, sf_dir), LINES)
+    r = m["loadings"] @ m["loadings"].T * (m["n"] - 1) / m["n"]
+    return spark.createDataFrame([(a, b, float(r[LINES.index(a), LINES.index(b)])) for a, b in _PAIRS], "a string, b string, r double").withColumn("r", F.round("r", 6))
+
+
+@query("SELECT 0.0::DOUBLE AS mean, round(sum(v), 6) AS total, 0.0::DOUBLE AS covariance FROM (" + " UNION ALL ".join(f"SELECT var_samp({c}::DOUBLE) / var_pop({c}::DOUBLE) AS v FROM lineitem" for c in LINES) + ")")
+def ml_component_score_moments(spark, sf_dir):
+    """Scores on all components: mean 0, no covariance, and the columns' whole variance."""
+    d = _lines(spark, sf_dir)
+    scored = multivariate.project(d, multivariate.pca(d, LINES), len(LINES))
+    pcs = [f"PC{j + 1}" for j in range(len(LINES))]
+    total = lambda xs: sum(xs[1:], xs[0])
+    zero = lambda x: F.abs(F.round(x, 6))
+    return scored.agg(zero(total([F.avg(c) for c in pcs])).alias("mean"), F.round(total([F.var_samp(c) for c in pcs]), 6).alias("total"), zero(total([F.abs(F.covar_samp(a, b)) for i, a in enumerate(pcs) for b in pcs[i + 1 :]])).alias("covariance"))
+
+
 @query(None)
 def ml_component_scores(spark, sf_dir):
     d = _lines(spark, sf_dir)
@@ -141,8 +163,7 @@ def ml_tail_diagnosis(spark, sf_dir):
 @query(None)
 def ml_distance_dip(spark, sf_dir):
     d = multivariate.standardise(_customers(spark, sf_dir), ["price", "top"])
-    x, counts = modality.pairwise_distances(d, ["price", "top"])
-    return spark.createDataFrame([(int(counts.sum()), float(modality.dip(x, counts)))], "n_pairs long, dip double")
+    return spark.createDataFrame([modality.distance_dip(d, ["price", "top"])], "n_pairs long, dip double, error double")
 
 
 @query(None)
@@ -177,6 +198,16 @@ def win_maxeig(spark, sf_dir):
     return curves.maxeig(d, "unit", ["n", "price", "top", "noise"], 20)
 
 
+@query(f"""{_UNIT_SQL}, l AS (SELECT unit, 'price' AS name, price AS v, top AS a, noise AS b FROM c UNION ALL SELECT unit, 'top', top, price, noise FROM c UNION ALL SELECT unit, 'noise', noise, price, top FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY v, unit) - 1 AS r FROM l), s AS (SELECT count(*) AS n, floor(count(*) / (1 + 19 * (1 - 0.9::DOUBLE)))::BIGINT AS size FROM c),
+w AS (SELECT t AS "window", round_even(t * ((n - size) / 19.0::DOUBLE), 0)::BIGINT AS lo, size FROM s, (SELECT unnest(range(0, 20)) AS t)),
+e AS (SELECT name, "window", abs(covar_samp(a, b)) AS v FROM r JOIN w ON r >= lo AND r < lo + size GROUP BY ALL)
+SELECT "window"::INT AS "window", round(avg(v), 2) AS value FROM e GROUP BY 1""")
+def win_maxeig_three(spark, sf_dir):
+    """With three indicators the eigenvalue is the size of the other two's covariance."""
+    return curves.maxeig(_customers(spark, sf_dir), "unit", ["price", "top", "noise"], 20).withColumn("value", F.round("value", 2))
+
+
 @query(None)
 def ml_lmode(spark, sf_dir):
     return curves.lmode(_customers(spark, sf_dir), ["n", "price", "top", "noise"])
@@ -215,19 +246,21 @@ def srt_specification_enrichment(spark, sf_dir):
     return grid.enrichment(_specs(spark, sf_dir), ~F.coalesce("unimodal", F.lit(True)), "unit")
 
 
-@query("WITH x AS (SELECT 'a' AS g) SELECT component, feature, place FROM (SELECT c_nationkey AS component, c_mktsegment AS feature, row_number() OVER (PARTITION BY c_nationkey ORDER BY sum(abs(c_acctbal)) DESC, c_mktsegment)::INT AS place FROM customer GROUP BY 1, 2)")
-def srt_loading_order(spark, sf_dir):
-    from pyspark.sql import Window
-
-    c = corpus.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("component"), F.col("c_mktsegment").alias("feature")).agg(F.sum(F.abs("c_acctbal")).alias("s"))
-    return c.select("component", "feature", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("s"), "feature")).alias("place"))
+_UNITS = ["n", "price", "top", "noise"]
+_N = range(len(_UNITS))
+_STEP = ", ".join(f"{' + '.join(f'c{min(i, j)}_{max(i, j)} * v{j}' for j in _N)} AS w{i}" for i in _N)
 
 
-def _labelled(spark, sf_dir):
-    u = corpus.utterances(spark, sf_dir).withColumn("seconds", F.col("end") - F.col("start"))
-    f = U.in_window(F.col("fto"))
-    t = rollups._table(spark, sf_dir).select(*C.KEY, "token_count", "word_rate", f.alias("fto"))
-    return classify.prepare(u.select(*C.KEY, "text").join(t, C.KEY), "text", ["token_count", "word_rate", "fto"], X.is_backchannel(F.col("text")))
+@query(f"""{_UNIT_SQL.replace('WITH c AS', 'WITH RECURSIVE un AS')}, c AS (SELECT {', '.join(f'corr({_UNITS[i]}, {_UNITS[j]}) AS c{i}_{j}' for i in _N for j in _N if i <= j)} FROM un),
+it AS (SELECT 0 AS i, {', '.join(f'{1.0 / (i + 1)}::DOUBLE AS v{i}' for i in _N)} UNION ALL SELECT i + 1, {', '.join(f'w{i} / sqrt({" + ".join(f"w{j} * w{j}" for j in _N)})' for i in _N)} FROM (SELECT i, {_STEP} FROM it, c WHERE i < 500)),
+l AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, abs(v{i}) AS v FROM it WHERE i = 500" for i, c in enumerate(_UNITS))})
+SELECT 1 AS component, feature, round(v, 5) AS weight, row_number() OVER (ORDER BY v DESC)::INT AS place FROM l""")
+def srt_loading_order(spark, sf_dir):
+    """Features by the size of their loading on the first component, with that component's weights; the SQL finds it by repeated multiplication."""
+    m = multivariate.pca(_customers(spark, sf_dir), _UNITS)
+    scale = F.lit(float(m["values"][0]) ** 0.5)
+    first = multivariate.loadings_table(spark, m).where("component = 1")
+    return first.select("component", "feature", F.round(F.abs(F.col("loading")) / scale, 5).alias("weight"), "place")
 
 
 @query(None)

@@ -109,13 +109,18 @@ def _united(tables: dict[str, DataFrame], key: list[str], settle: bool = True) -
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """(position, column, extractor, family, status, note) from a document whose sections are tables; status is the section."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("position", "line"))
-    section = F.last(F.when(F.col("line").startswith("## "), F.trim(F.substring("line", 4, 1000))), ignorenulls=True).over(Window.partitionBy(F.lit(1)).orderBy("position"))  # a document
+    heading = F.when(F.col("line").startswith("## "), F.trim(F.substring("line", 4, 1000)))
     cells = F.transform(F.split("line", r"\|"), lambda x: F.trim(x))
-    rows = lines.withColumn("status", section).where(F.col("line").startswith("|")).withColumn("c", cells).where((F.size("c") >= 6) & ~F.get("c", F.lit(1)).rlike(r"^(-+|:?-+:?|Column)$"))
+    rows = filled(lines, heading, "status", "position").where(F.col("line").startswith("|")).withColumn("c", cells).where((F.size("c") >= 6) & ~F.get("c", F.lit(1)).rlike(r"^(-+|:?-+:?|Column)$"))
     clean = lambda i: F.replace(F.get("c", F.lit(i)), F.lit("`"), F.lit(""))
     return rows.select("position", clean(1).alias("column"), clean(2).alias("extractor"), clean(3).alias("family"), F.regexp_extract("status", r"^(\w+)", 1).alias("status"), F.get("c", F.lit(4)).alias("note"))
 
 
+def filled(rows: DataFrame, value: Column, name: str, at: str, *by: str) -> DataFrame:
+    """Adds name: the last value that isn't null up to each row, in each group; without groups the rows are those of one document."""
+    return rows.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(*(by or [F.lit(1)])).orderBy(at)))
+
+
 def check_registry(registry: DataFrame) -> DataFrame:
     """The registry itself; an empty one, an unknown family or a column twice is an error."""
     n = registry.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("family").isin(*FAMILIES)).alias("bad")).agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("n") > 1).alias("twice"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).first()

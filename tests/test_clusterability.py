@@ -68,3 +68,20 @@ def test_edges(spark):
     assert 0 < H.hopkins(odd, ["x", "y"]) < 1
     with pytest.raises(ValueError):
         H.hopkins_test(odd, ["x", "y"], "uniform")
+
+
+def test_distances_of_some_blocks_are_within_their_bound(spark):
+    """An incomplete sum over few block pairs against all pairs, with copies; its work grows as the rows."""
+    from callscope.operators import modality
+
+    r = np.random.default_rng(6)
+    x = np.concatenate([r.normal(0, 1, (2500, 2)), r.normal(5, 1, (1500, 2)), np.repeat(r.normal(2, 1, (50, 2)), 8, axis=0)])
+    df = frame(spark, x)
+    n, whole, none = modality.distance_dip(df, ["x", "y"], exact=True, block=128)
+    m, some, error = modality.distance_dip(df, ["x", "y"], exact=False, block=128, offsets=2)
+    assert n == m == 4400 * 4399 // 2 and none == 0.0 and 0 < error < 0.07 and abs(some - whole) <= error
+    at, all_counts = modality.pairwise_distances(df, ["x", "y"], block=128)
+    _, few = modality.pairwise_distances(df, ["x", "y"], block=128, offsets=2)
+    assert few.sum() == pytest.approx(all_counts.sum())
+    assert np.abs(np.cumsum(few) - np.cumsum(all_counts)).max() / n <= error
+    assert modality.distance_dip(frame(spark, x[:10]), ["x", "y"])[2] == 0.0 and modality.distance_dip(spark.createDataFrame([], "x double, y double"), ["x", "y"])[1] == 0.0
