@@ -136,52 +136,56 @@ def to_arc(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(write, "path string, content binary")
 
 
-_RECORD = "page_id long, record_id string, target string, date string, ip string, mime string, head binary, payload binary, digest string"
+_RECORD = "page_id long, record_id string, target string, date string, ip string, mime string, head binary, payload binary, digest string, reason string"
 
 
-def _page_id(head: bytes) -> int | None:
-    return next((int(x[10:]) for x in head.split(b"\r\n") if x[:10].lower() == b"x-page-id:"), None)
-
-
-def malformed(archives: DataFrame) -> DataFrame:
-    """(path, offset, line, reason) of the records of ARC files that convert() leaves out."""
+_NUMBER = re.compile(rb"\s*([+-]?[0-9]{1,19})\s*")
 
-    def rows(batches):
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                bad: list = []
-                for _ in parse_arc(content.as_py(), bad):
-                    pass
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(bad), pa.string()), pa.array([x[0] for x in bad], pa.int64()), pa.array([x[1] for x in bad], pa.string()), pa.array([x[2] for x in bad], pa.string())], ["path", "offset", "line", "reason"])
 
-    return archives.select("path", "content").mapInArrow(rows, "path string, offset long, line string, reason string")
+def _page_id(head: bytes) -> int | None:
+    """The number in the X-Page-Id field; null where a foreign record has none, or something else there."""
+    found = (_NUMBER.fullmatch(x[10:]) for x in head.split(b"\r\n") if x[:10].lower() == b"x-page-id:")
+    return next((int(m[1]) for m in found if m and -(2**63) <= int(m[1]) < 2**63), None)
 
 
-def convert(archives: DataFrame) -> DataFrame:
-    """ARC files (path, content) -> one row per well-formed record with the synthesised WARC fields; malformed() has the others."""
+def parsed(archives: DataFrame) -> DataFrame:
+    """ARC files (path, content) -> a row per record with the synthesised WARC fields; of one that can't be read only
+    target (its header line), record_id (path and offset) and reason are set."""
 
     def parse(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = []
-                for url, ip, date, mime, offset, block in parse_arc(content.as_py(), bad=[]):
+                rows, bad = [], []
+                for url, ip, date, mime, offset, block in parse_arc(content.as_py(), bad):
                     head, sep, payload = block.partition(b"\r\n\r\n") if block[:5] == b"HTTP/" else (b"", b"", block)
                     page = _page_id(head)
                     digest = hashlib.sha256(payload).hexdigest()
                     when = f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
-                    rows.append((page, f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{path} {offset} {url} {date} {page} {digest}')}", url, when, ip, mime, head + sep, payload, digest))
+                    rows.append((page, f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{path} {offset} {url} {date} {page} {digest}')}", url, when, ip, mime, head + sep, payload, digest, None))
                     if len(rows) == 256:
                         yield _records(rows)
                         rows = []
+                rows += [(None, f"{path} {offset}", line, *[None] * 6, reason) for offset, line, reason in bad]
                 if rows:
                     yield _records(rows)
 
     return archives.select("path", "content").mapInArrow(parse, _RECORD)
 
 
+def malformed(archives: DataFrame) -> DataFrame:
+    """(path, offset, line, reason) of the records of ARC files that convert() leaves out."""
+    bad = parsed(archives).where("reason is not null")
+    return bad.select(F.regexp_extract("record_id", "^(.*) ([0-9]+)$", 1).alias("path"), F.regexp_extract("record_id", "([0-9]+)$", 1).cast("long").alias("offset"), F.col("target").alias("line"), "reason")
+
+
+def convert(archives: DataFrame) -> DataFrame:
+    """The well-formed records of ARC files; malformed() has the others, and write_warc counts them where it is given parsed() as a whole."""
+    return parsed(archives).where("reason is null").drop("reason")
+
+
 def _records(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64()] + [pa.string()] * 5 + [pa.binary()] * 2 + [pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], ["page_id", "record_id", "target", "date", "ip", "mime", "head", "payload", "digest"])
+    types = [pa.int64()] + [pa.string()] * 5 + [pa.binary()] * 2 + [pa.string()] * 2
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], ["page_id", "record_id", "target", "date", "ip", "mime", "head", "payload", "digest", "reason"])
 
 
 def mark_revisits(records: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
@@ -201,8 +205,11 @@ def _warc_record(r: dict) -> bytes:
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
-def write_warc(records: DataFrame, folder: str) -> int:
-    """Writes gzipped WARC files, each record a member of its own, under `folder` (any pyarrow file system URI); returns the number of files."""
+def write_warc(records: DataFrame, folder: str) -> tuple[int, int]:
+    """Writes gzipped WARC files, each record a member of its own, under `folder` (any pyarrow file system URI).
+
+    Returns the number of files, and of rows with a reason (malformed records), which are counted in the same pass and not written.
+    """
 
     def write(batches):
         from pyarrow import fs
@@ -211,7 +218,7 @@ def write_warc(records: DataFrame, folder: str) -> int:
         task = TaskContext.get()
         system, base = fs.FileSystem.from_uri(folder)
         system.create_dir(base, recursive=True)
-        count, buffer, names = 0, io.BytesIO(), []
+        count, buffer, names, lost = 0, io.BytesIO(), [], 0
 
         def flush():
             nonlocal count, buffer
@@ -223,17 +230,22 @@ def write_warc(records: DataFrame, folder: str) -> int:
             count, buffer = count + 1, io.BytesIO()
 
         for batch in batches:
+            bad = batch.schema.get_field_index("reason")
             for i in range(batch.num_rows):
+                if bad >= 0 and batch.column(bad)[i].is_valid:
+                    lost += 1
+                    continue
                 packer = zlib.compressobj(1, zlib.DEFLATED, 31)
                 buffer.write(packer.compress(_warc_record({c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)})) + packer.flush())
                 if buffer.tell() >= WARC_BYTES:
                     flush()
         if buffer.tell():
             flush()
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
+        yield pa.RecordBatch.from_arrays([pa.array([len(names)]), pa.array([lost])], ["files", "malformed"])
 
     # sorted, so that a retried task cuts its files at the same records and replaces them
-    return records.sortWithinPartitions("record_id").mapInArrow(write, "name string").count()
+    made = records.sortWithinPartitions("record_id").mapInArrow(write, "files long, malformed long").agg(F.sum("files"), F.sum("malformed")).first()
+    return made[0] or 0, made[1] or 0
 
 
 def parse_warc(content: bytes):
@@ -282,6 +294,9 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Pages -> ARC -> WARC files in `folder` (by default a new one in the shared folder) -> the records read back."""
     spark = pages.sparkSession
     folder = folder or scratch(spark, "warc")
-    if not write_warc(mark_revisits(convert(to_arc(pages))), folder):
+    files, lost = write_warc(mark_revisits(parsed(to_arc(pages))), folder)
+    if lost:
+        raise ValueError(f"{lost} records could not be read back from their archives")
+    if not files:
         return spark.createDataFrame([], _EMPTY)
     return read_warc(spark, folder)
