@@ -155,15 +155,19 @@ def counterfactual_gap(docs: DataFrame, model: tuple[float, np.ndarray], text_co
     return both.select(F.abs(score(F.col("a")) - score(F.col("b"))).alias("gap")).agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("max_gap"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, swaps: dict[str, str] = SWAPS, penalty: float = PENALTY) -> DataFrame:
-    """(id, held_out, score, predicted) per row."""
-    model = train(docs, labels, id_col, text_col, swaps=swaps, penalty=penalty)
-    out = docs.select(id_col, (F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2).alias("held_out"), score_column(model)(F.col(text_col)).alias("score"))
-    return out.select("*", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, swaps: dict[str, str] = SWAPS, penalty: float = PENALTY, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """(id, held_out, score, predicted, swap_gap) per row; swap_gap is how far the score moves when the text's identity terms are swapped, null without one."""
+    model = train(docs, labels, id_col, text_col, swaps=swaps, penalty=penalty, sample_chars=sample_chars)
+    score, partner = score_column(model), partners(swaps)
+    other = F.arrow_udf(lambda col: pa.array([swapped(x, partner) for x in col.to_pylist()], pa.string()), "string")
+    rows = docs.select(id_col, (F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2).alias("held_out"), F.col(text_col).alias("text_"), other(F.col(text_col)).alias("other_"))
+    both = rows.select(id_col, "held_out", score(F.col("text_")).alias("score"), F.col("other_").isNotNull().alias("swaps_"), score(F.coalesce("other_", F.lit(""))).alias("moved_"))
+    gap = F.when(F.col("swaps_"), F.abs(F.col("score") - F.col("moved_")))
+    return both.select(id_col, "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), gap.alias("swap_gap"))
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, swaps: dict[str, str] = SWAPS) -> DataFrame:
+def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, swaps: dict[str, str] = SWAPS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """The input rows that score below `threshold`."""
-    model = train(docs, labels, id_col, text_col, swaps=swaps)
+    model = train(docs, labels, id_col, text_col, swaps=swaps, sample_chars=sample_chars)
     row = docs.select(F.struct("*").alias("row"), score_column(model)(F.col(text_col)).alias("score"))
     return row.where(F.col("score") < threshold).select("row.*")
