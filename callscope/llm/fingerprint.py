@@ -287,7 +287,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centre = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("key", "a")
     members = keys.join(centre, "key")
     pairs = kept(members.where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    confirm = F.udf(lambda x, y: _close(x, y, similarity), "boolean")
+    confirm = F.arrow_udf(lambda x, y: pa.array([_close(a, b, similarity) for a, b in zip(x.to_pylist(), y.to_pylist())], pa.bool_()), "boolean")
     left, right = reps.select(F.col("id").alias("a"), F.col("text").alias("x")), reps.select(F.col("id").alias("b"), F.col("text").alias("y"))
     links = kept(pairs.join(left, "a").join(right, "b").where(confirm("x", "y")).select("a", "b"))
     found = kept(components(links))

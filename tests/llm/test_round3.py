@@ -12,7 +12,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from callscope.llm import pair_alignment, piece_codec, vector_codes
+from callscope.llm import pair_alignment, piece_codec, toxicity, vector_codes, warc
 from callscope.llm.token_counts import model_path
 
 ODD = ["", None, " ", "  two  spaces ", "▁mark ▁", "<s></s><unk><0x41>", "<|endoftext|> x", "é́ 中文 😀\x00\x01", "aaaa" * 50, " " * 300, "\n\n\t x", "Ω≈ç√∫˜µ≤", "tie tie", "tie tie"]
@@ -237,3 +237,45 @@ def test_components_of_a_star(spark, hub):
     got = {r["id"]: r["component"] for r in components(links).collect()}
     least = min(hub, 1)
     assert got == {**{i: least for i in [*range(1, 3001), hub]}, 5000: 5000, 5001: 5000}
+
+
+# 7: archives of others
+
+
+def test_foreign_page_ids_and_malformed_records(spark, tmp_path):
+    """A page id that is no number is none; malformed records are counted where the files are written."""
+    record = lambda field: warc.arc_record("http://x/", 1, "a", 0, b"HTTP/1.1 200 OK\r\n" + field + b"\r\n\r\nbody")
+    fields = [b"X-Page-Id: abc", b"X-Page-Id: 12", b"x-page-id: -3 ", b"X-Page-Id: 99999999999999999999999", b"Other: 1", b"X-Page-Id:"]
+    content = warc.arc_version_block("a", 1) + b"".join(map(record, fields)) + b"no header line\nrest\n"
+    archives = spark.createDataFrame([("a.arc", bytearray(content))], "path string, content binary")
+    got = warc.convert(archives).collect()
+    assert sorted((r["page_id"] is None, r["page_id"] or 0) for r in got) == [(False, -3), (False, 12), (True, 0), (True, 0), (True, 0), (True, 0)]
+    files, lost = warc.write_warc(warc.mark_revisits(warc.parsed(archives)), f"file://{tmp_path}/w")
+    assert files == 1 and lost == warc.malformed(archives).count() >= 1
+    assert warc.read_warc(spark, f"file://{tmp_path}/w").count() == 6
+
+
+# 8: what the penalty does where terms occur
+
+
+def test_penalty_lowers_the_gap_of_swapped_terms(spark):
+    """Toxic texts name one group more often; with the penalty, held-out neutral mentions move less and are rejected less often."""
+    r = random.Random(7)
+    groups, plain, rude = ["women", "men"], [f"word{i}" for i in range(60)], ["vile", "scum", "idiots"]
+    rows = []
+    for i in range(1200):
+        toxic = i % 4 == 0
+        who = r.choice(["women"] * 5 + ["men"]) if toxic else r.choice(["men"] * 5 + ["women"])
+        rows.append((i, " ".join(r.sample(plain, 12) + [who] + (r.sample(rude, 1) if toxic and r.random() < 0.8 else [])), int(toxic)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    neutral = spark.createDataFrame([(10_000 + i, " ".join(r.sample(plain, 12) + [groups[i % 2]])) for i in range(200)], "doc_id long, text string")
+    gap, wrong = {}, {}
+    for penalty in (0.0, 5.0):
+        model = toxicity.train(docs, labels, penalty=penalty)
+        gap[penalty] = toxicity.counterfactual_gap(neutral, model).first()["mean_gap"]
+        wrong[penalty] = neutral.select(toxicity.score_column(model)(F.col("text")).alias("s")).where("s >= 0.3").count()
+    assert gap[5.0] < 0.5 * gap[0.0] and wrong[5.0] <= wrong[0.0]
+    out = toxicity.classify(docs.unionByName(spark.createDataFrame([(-1, "no term"), (-2, None)], "doc_id long, text string")), labels)
+    assert {x["doc_id"]: x["swap_gap"] for x in out.where("doc_id < 0").collect()} == {-1: None, -2: None}
+    assert out.where("swap_gap is not null").count() == 1200
