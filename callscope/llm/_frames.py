@@ -98,13 +98,21 @@ def sieved(df: DataFrame, ids: DataFrame, key: str = "id") -> tuple[DataFrame, D
     n / SIEVE_BITS of the other rows is in the first part, too; with far more ids than bits nearly all are. Null keys are in the second part.
     """
     at = F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS))
-    place = ids.select(F.shiftright(at, 6).alias("sieve_word"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
-    words = F.broadcast(kept(place.groupBy("sieve_word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("sieve_bits"))))
-    met = df.withColumns({"sieve_word": F.when(F.col(key).isNotNull(), F.shiftright(at, 6)), "sieve_bit": at.bitwiseAND(F.lit(63)).cast("int")}).join(words, "sieve_word", "left")
-    may = F.coalesce(F.expr("(shiftrightunsigned(sieve_bits, sieve_bit) & 1L) = 1L"), F.lit(False))
+    word, bits, bit = (_free(name, df.columns) for name in ("sieve_word", "sieve_bits", "sieve_bit"))
+    place = ids.select(F.shiftright(at, 6).alias(word), at.bitwiseAND(F.lit(63)).cast("int").alias(bit))
+    words = F.broadcast(kept(place.groupBy(word).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias(bits))))
+    met = df.withColumns({word: F.when(F.col(key).isNotNull(), F.shiftright(at, 6)), bit: at.bitwiseAND(F.lit(63)).cast("int")}).join(words, word, "left")
+    may = F.coalesce(F.expr(f"(shiftrightunsigned({bits}, {bit}) & 1L) = 1L"), F.lit(False))
     return met.where(may).select(df.columns), met.where(~may).select(df.columns)
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """The name, or the first longer one that no column has."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list with long ids: (id, component), component being the smallest id.
 

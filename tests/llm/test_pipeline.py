@@ -5,6 +5,8 @@ import re
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 from test_operators import brute_near, brute_substrings, words
 
 from tokenizers import Tokenizer
@@ -97,3 +99,24 @@ def test_every_operator_has_one_query():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.queries())
     assert numbers == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_keep_columns_whose_names_they_use(spark, tmp_path, name, stage):
+    """Extra columns named as the stages' own: kept with their values (all but the last stage), and no error."""
+    words = [f"word{i % 37} other{i}" for i in range(40)]
+    docs = [(i, " ".join(words[i : i + 20]), "en", "s", 1) for i in range(12)] + [(12, " ".join(words[:20]), "en", "s", 1), (None, "no id", "en", "s", 1), (13, None, "en", "s", 1), (14, "", "en", "s", 1)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    own = ["away_id", "sieve_word", "sieve_bit", "sieve_bits", "row", "id", "score", "y", "kept", "component_id", "sig", "n", "hit", "ids", "part", "offset", "other", "sequence_id"]
+    wide = docs.withColumns({c: F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in own})
+    spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int").withColumn("quality", F.lit(1)).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("b1", " ".join(words[30:38]))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = stage(spark, wide, str(tmp_path))
+    if name == corpus_pipeline.STAGES[-1][0]:
+        assert got.count() == stage(spark, docs, str(tmp_path)).count() >= 16
+        return
+    rows = got.collect()
+    assert set(got.columns) == set(wide.columns) and rows
+    for r in rows:
+        assert all(r[c] == f"{c}-{'none' if r['doc_id'] is None else r['doc_id']}" for c in own)
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in rows) == sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in stage(spark, docs, str(tmp_path)).collect())
