@@ -109,7 +109,7 @@ def test_stages_keep_columns_whose_names_they_use(spark, tmp_path, name, stage):
     docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
     own = ["away_id", "sieve_word", "sieve_bit", "sieve_bits", "row", "id", "score", "y", "kept", "component_id", "sig", "n", "hit", "ids", "part", "offset", "other", "sequence_id"]
     wide = docs.withColumns({c: F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))) for c in own})
-    spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int").withColumn("quality", F.lit(1)).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(i, int(i == 3)) for i in range(12)], "doc_id long, toxic int").withColumn("quality", F.lit(1)).write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([("b1", " ".join(words[30:38]))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = stage(spark, wide, str(tmp_path))
     if name == corpus_pipeline.STAGES[-1][0]:
