@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from callscope.functions import text as X
 from callscope.operators import chronology as C
 from callscope.operators import clusterability
-from callscope.operators import classify, curves, grid, modality, multivariate
+from callscope.operators import classify, curves, grid, modality, multivariate, order
 from callscope.operators import units as U
 from callscope.plans import annotated, corpus, rollups
 
@@ -263,6 +263,13 @@ def srt_loading_order(spark, sf_dir):
     return first.select("component", "feature", F.round(F.abs(F.col("loading")) / scale, 5).alias("weight"), "place")
 
 
+def _labelled(spark, sf_dir):
+    """Utterances ready for the classifier, worked out once: its stages read them many times over."""
+    u = corpus.utterances(spark, sf_dir).select(*C.KEY, "text")
+    t = rollups._table(spark, sf_dir).select(*C.KEY, "token_count", "word_rate", U.in_window(F.col("fto")).alias("fto"))
+    return order.settled(classify.prepare(u.join(t, C.KEY), "text", ["token_count", "word_rate", "fto"], X.is_backchannel(F.col("text"))))
+
+
 @query(None)
 def ml_classifier(spark, sf_dir):
     d = _labelled(spark, sf_dir)

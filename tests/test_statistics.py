@@ -142,6 +142,18 @@ def test_bootstrap_and_theory(spark):
     assert len(b) == 30 and b["agreement"].min() > 0.95 and b["captured"].min() > 0.9
 
 
+def test_classifier_queries(spark):
+    """Both run on a table, give each utterance a score, and agree with the labels that they learn from."""
+    from callscope.plans import statistics
+
+    d = "/root/testdata/sf0.001"
+    rows = statistics.ml_classifier(spark, d).collect()
+    assert len(rows) == len({(r["call_id"], r["side"], r["utt_num"]) for r in rows}) > 100
+    assert {r["label"] for r in rows} == {0.0, 1.0} and all(0 <= r["score"] <= 1 and r["predicted"] in (0, 1) for r in rows)
+    a = statistics.ml_out_of_fold(spark, d).first()
+    assert a["tp"] + a["fn"] == sum(r["label"] == 1 for r in rows) and a["admitted"]
+
+
 def test_classifier(spark):
     rows = [(i, i % 12, "yeah right" if i % 3 == 0 else f"we went to town {i % 7} times", float(i % 5) if i % 4 else None) for i in range(240)]
     df = spark.createDataFrame(rows, "k long, call long, text string, x double")
