@@ -32,15 +32,16 @@ def kept(df: DataFrame, release: bool = False) -> DataFrame:
     spark = df.sparkSession
     shared_dir(spark)
     if release:
-        _let_go(spark)  # of the step before, whose plan was still in use by Spark's listeners when it ended
+        let_go(spark)  # of the step before, whose plan was still in use by Spark's listeners when it ended
     out = df.checkpoint(eager=True)
     if release:
         del df  # its plan holds the shuffles
-        _let_go(spark)
+        let_go(spark)
     return out
 
 
-def _let_go(spark: SparkSession) -> None:
+def let_go(spark: SparkSession) -> None:
+    """Collects the garbage of the driver's Python and JVM: plans of finished steps, their generated classes and shuffled files."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -129,6 +130,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(splittable(large.groupBy("u").agg(F.min("v").alias("m")), "u"), "u")
         nxt = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         now = kept(nxt.where("u <> v").distinct())
+        del both, least, large, small, nxt
+        let_go(now.sparkSession)  # a few plans a step, which would add up on the driver
         new = _mark(now)
         if new == mark:
             break

@@ -72,10 +72,25 @@ def _sample_rows(partner: dict[str, str]):
     return rows
 
 
+#: Texts whose features are unpacked at once.
+_STEP = 256
+
+
+def _unpacked(lists: list):
+    """(row, bucket) of every feature, some texts at a time."""
+    for lo in range(0, len(lists), _STEP):
+        part = lists[lo : lo + _STEP]
+        yield np.repeat(np.arange(lo, lo + len(part)), [len(v) for v in part]), np.concatenate([np.asarray(v, np.int64) for v in part])
+
+
 def _sparse(lists: list, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    col = place[np.concatenate([np.asarray(x, np.int64) for x in lists])] if len(row) else np.zeros(0, np.int64)
-    return row[col >= 0], col[col >= 0]
+    """(row, place of the bucket) of the features whose bucket has a place."""
+    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for row, bucket in _unpacked(lists):
+        col = place[bucket]
+        rows.append(row[col >= 0])
+        cols.append(col[col >= 0])
+    return np.concatenate(rows), np.concatenate(cols)
 
 
 def fit(y: np.ndarray, x: list, swap: list, penalty: float = PENALTY, min_z: float = MIN_Z, steps: int = 400) -> tuple[float, np.ndarray]:
@@ -84,16 +99,18 @@ def fit(y: np.ndarray, x: list, swap: list, penalty: float = PENALTY, min_z: flo
     n, share = len(y), float(y.mean()) if len(y) else 0.0
     if share in (0.0, 1.0):
         return (-20.0 if share == 0 else 20.0), weights
-    lengths = [len(v) for v in x]
-    flat = np.concatenate([np.asarray(v, np.int64) for v in x])
-    seen = np.bincount(flat, minlength=1 << BITS)
-    bad = np.bincount(flat, np.repeat(y, lengths), minlength=1 << BITS)
+    seen, bad = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS)
+    for row, bucket in _unpacked(x):
+        seen += np.bincount(bucket, minlength=1 << BITS)
+        bad += np.bincount(bucket, y[row], minlength=1 << BITS)
     # expected count given text lengths: long texts hold more of everything
-    expect = np.bincount(flat, np.repeat(np.full(n, share), lengths), minlength=1 << BITS)
+    expect = np.cumsum(np.append(0.0, np.full(int(seen.max()), share)))[seen]
     z = (bad - expect) / np.sqrt(expect * (1 - share) + 1.0)
-    known = {b for v, w in zip(x, swap) if len(w) for b in set(map(int, v)) ^ set(map(int, w))}
-    chosen = np.flatnonzero((z >= min_z) & (seen >= 4))
-    chosen = np.union1d(chosen, np.array(sorted(known), np.int64)) if known else chosen
+    known = np.zeros(1 << BITS, bool)
+    for v, w in zip(x, swap):
+        if len(w):
+            known[np.setxor1d(v, w).astype(np.int64)] = True
+    chosen = np.flatnonzero(((z >= min_z) & (seen >= 4)) | known)
     place = np.full(1 << BITS, -1)
     place[chosen] = np.arange(len(chosen))
     row, col = _sparse(x, place)

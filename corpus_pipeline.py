@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callscope.llm import decontaminate, near_dedup, packing, substring_dedup, toxicity
-from callscope.llm._frames import read, remove, scratch
+from callscope.llm._frames import let_go, read, remove, scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,4 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = spark.read.parquet(path)
         if last:
             remove(spark, last)
+        let_go(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -279,3 +279,22 @@ def test_penalty_lowers_the_gap_of_swapped_terms(spark):
     out = toxicity.classify(docs.unionByName(spark.createDataFrame([(-1, "no term"), (-2, None)], "doc_id long, text string")), labels)
     assert {x["doc_id"]: x["swap_gap"] for x in out.where("doc_id < 0").collect()} == {-1: None, -2: None}
     assert out.where("swap_gap is not null").count() == 1200
+
+
+def test_toxicity_fit_unpacks_a_few_texts_at_a_time():
+    """The driver's memory is a small part of what all features of the sample would take as whole numbers."""
+    import tracemalloc
+
+    import numpy as np
+
+    from callscope.llm import toxicity
+
+    r = np.random.default_rng(5)
+    x = [np.unique(r.integers(0, 1 << toxicity.BITS, 1000)).astype(np.int32) for _ in range(4000)]
+    y = (np.arange(4000) % 2).astype(float)
+    tracemalloc.start()
+    bias, weights = toxicity.fit(y, x, [v[:0] for v in x], steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert weights.shape == (1 << toxicity.BITS,) and np.isfinite(bias)
+    assert peak < sum(map(len, x)) * 8
