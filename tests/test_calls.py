@@ -219,3 +219,15 @@ def test_repetitions_grow_with_the_utterance(spark):
     began = time.time()
     assert {x[0] for x in long.select(X.repeated_pairs(F.col("t"))).collect()} == {80_000, 100_000 * 99_999 // 2}
     assert time.time() - began < 20
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_utterances_read_their_pieces_once(spark):
+    from callscope.plans import corpus, core, rollups
+
+    d = "/root/testdata/sf0.001"
+    assert "Union" not in _plan(corpus.utterances(spark, d))
+    assert _plan(rollups.set_union_sides(spark, d)).count("Scan parquet") == 2 and _plan(core.src_feature_per_manifest_row(spark, d)).count("Scan parquet") <= 4
