@@ -45,7 +45,8 @@ def at_midpoint(terminals: DataFrame, utterances: DataFrame) -> DataFrame:
     t = terminals.select("call_id", "side", "terminal_id", mid.alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("struct<end: double, utt_num: bigint>").alias("u"))
     u = utterances.select("call_id", "side", F.lit(None).cast(dict(terminals.dtypes)["terminal_id"]).alias("terminal_id"), F.col("start").alias("at"), F.lit(0).alias("kind"), F.struct(F.col("end").cast("double").alias("end"), F.col("utt_num").cast("bigint").alias("utt_num")).alias("u"))
     w = Window.partitionBy("call_id", "side").orderBy("at", "kind", F.col("u.utt_num")).rowsBetween(Window.unboundedPreceding, 0)
-    seen = t.unionByName(u).withColumn("u", F.last("u", ignorenulls=True).over(w)).where("kind = 1")
+    dealt = t.unionByName(u).repartition("call_id", "side")  # by the size of these rows, not of the calls they were made from
+    seen = dealt.withColumn("u", F.last("u", ignorenulls=True).over(w)).where("kind = 1")
     return seen.select("call_id", "side", "terminal_id", F.when(F.col("at") <= F.col("u.end"), F.col("u.utt_num")).alias("utt_num"))
 
 

@@ -231,3 +231,10 @@ def test_utterances_read_their_pieces_once(spark):
     d = "/root/testdata/sf0.001"
     assert "Union" not in _plan(corpus.utterances(spark, d))
     assert _plan(rollups.set_union_sides(spark, d)).count("Scan parquet") == 2 and _plan(core.src_feature_per_manifest_row(spark, d)).count("Scan parquet") <= 4
+
+
+def test_midpoints_are_dealt_by_the_rows_that_are_sorted(spark):
+    from callscope.plans import annotated
+
+    plan = annotated.jn_midpoint_asof(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan
