@@ -238,3 +238,12 @@ def test_midpoints_are_dealt_by_the_rows_that_are_sorted(spark):
 
     plan = annotated.jn_midpoint_asof(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_COL" in plan
+
+
+def test_syllables_are_not_grouped_by_token(spark):
+    from callscope.operators import chronology
+
+    u = spark.createDataFrame([(1, "A", 2, "the the banana"), (1, "B", 4, ""), (2, "A", 2, None)], "call_id long, side string, utt_num long, text string")
+    out = chronology.syllables(u, spark.createDataFrame([("the", 7)], "word string, syllables int"))
+    assert {(r["call_id"], r["side"]): r["syllables"] for r in out.collect()} == {(1, "A"): 17, (1, "B"): 0, (2, "A"): 0}
+    assert "count(t" not in out._jdf.queryExecution().optimizedPlan().toString()
