@@ -22,13 +22,19 @@ GRID, SLICE = 257, 1 << 16
 def _near(probes: np.ndarray, x: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray]:
     """(each probe's least distance to rows of x, how many rows equal it); equal rows are left out of the distance if `own`."""
     best, same = np.full(len(probes), np.inf), np.zeros(len(probes), np.int64)
+    columns = [np.ascontiguousarray(c) for c in x.T]  # a row at a time would cost several times as much
     for i, p in enumerate(probes):
-        d = ((x - p) ** 2).sum(1)
+        d = np.zeros(len(x))
+        for c, v in zip(columns, p):
+            gap = c - v
+            gap *= gap
+            d += gap
         if own:
-            equal = (x == p).all(1)
-            same[i] = equal.sum()
-            d = d[~equal]
-        if len(d):
+            equal = np.flatnonzero(~(d > 0))
+            equal = equal[(x[equal] == p).all(1)]
+            same[i] = len(equal)
+            d[equal] = np.inf
+        if len(x) > same[i]:
             best[i] = np.sqrt(d.min())
     return best, same
 

@@ -85,3 +85,23 @@ def test_distances_of_some_blocks_are_within_their_bound(spark):
     assert few.sum() == pytest.approx(all_counts.sum())
     assert np.abs(np.cumsum(few) - np.cumsum(all_counts)).max() / n <= error
     assert modality.distance_dip(frame(spark, x[:10]), ["x", "y"])[2] == 0.0 and modality.distance_dip(spark.createDataFrame([], "x double, y double"), ["x", "y"])[1] == 0.0
+
+
+def test_nearest_rows_are_found_by_columns():
+    """Copies of a probe are counted and left out; a table of copies alone has no nearest row; each column is read as a whole."""
+    import inspect
+
+    import numpy as np
+
+    from callscope.operators import clusterability
+
+    r = np.random.default_rng(3)
+    x = np.concatenate([r.normal(size=(500, 3)), np.zeros((2, 3))])
+    probes = np.concatenate([x[:4], np.zeros((1, 3)), r.normal(size=(5, 3))])
+    each = np.sqrt(((x[None] - probes[:, None]) ** 2).sum(2))
+    d, same = clusterability._near(probes, x, True)
+    assert same.tolist() == [1] * 4 + [2] + [0] * 5
+    assert np.allclose(d, np.where((x[None] == probes[:, None]).all(2), np.inf, each).min(1), rtol=1e-12)
+    assert np.allclose(clusterability._near(probes, x, False)[0], each.min(1), rtol=1e-12)
+    assert np.isinf(clusterability._near(np.zeros((1, 3)), np.zeros((2, 3)), True)[0]).all()
+    assert "sum(1)" not in inspect.getsource(clusterability._near)
