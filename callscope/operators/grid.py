@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callscope.operators import modality, units
+from callscope.operators import modality, order, units
 
 
 def unit_tables(df: DataFrame, rules: dict[str, Column], transforms: dict, unit_keys: dict[str, Column], features: list[str]) -> DataFrame:
@@ -38,6 +38,7 @@ def specifications(tables: DataFrame, minimums: list[int], feature_sets: dict[st
     names = ["rule", "transform", "unit", "min_utt", "feature_set"]
     features = list(dict.fromkeys(c for cols in feature_sets.values() for c in cols))
     f = [f"f{i}" for i in range(len(features))]
+    tables = order.settled(tables)  # moments, ranges and bins are three passes
     rows = None
     for name, cols in feature_sets.items():
         full = F.lit(True)
@@ -88,11 +89,12 @@ def specifications(tables: DataFrame, minimums: list[int], feature_sets: dict[st
         bic = lambda k: (3 * k - 1) * np.log(n) - 2 * modality.em(at, counts, k)[0]
         return pd.DataFrame([(*key, n, stat, p, modes, bic(2) - bic(1), float(pdf["skewness"].iat[0]), bool(p > 0.05 and modes == 1))], columns=columns)
 
-    return bins.repartition(len(models), *names).groupBy(*names).applyInPandas(one, schema).unionByName(rest)
+    return bins.repartition(4 * len(models), *names).groupBy(*names).applyInPandas(one, schema).unionByName(rest)
 
 
 def ranked(specs: DataFrame) -> DataFrame:
     """Specifications by rising dip p."""
+    specs = order.settled(specs)  # a sort samples its input first, which would draw all replicates twice
     return specs.orderBy(F.asc_nulls_last("dip_p"), "rule", "transform", "unit", "min_utt", "feature_set")
 
 

@@ -224,10 +224,11 @@ def ml_curve_fit_index(spark, sf_dir):
 
 
 def _specs(spark, sf_dir):
-    t = rollups._table(spark, sf_dir).withColumn("fto", U.in_window(F.col("fto")))
+    features = ["token_count", "word_rate", "pause_total"]
+    t = order.settled(rollups._table(spark, sf_dir).select("call_id", "side", "caller", "backchannel", *features))  # quantiles and both transforms read it
     rules = {"listed": F.col("backchannel"), "short": (F.col("token_count") <= 2).cast("int"), "none": F.lit(0)}
     units = {"caller": F.col("caller"), "side": F.concat(F.col("call_id").cast("string"), "side")}
-    tables = grid.unit_tables(t, rules, {"none": None, "winsor": grid.winsorised}, units, ["token_count", "word_rate", "pause_total"])
+    tables = grid.unit_tables(t, rules, {"none": None, "winsor": grid.winsorised}, units, features)
     return grid.specifications(tables, [3, 10], {"volume": ["token_count", "word_rate"], "all": ["token_count", "word_rate", "pause_total"]})
 
 

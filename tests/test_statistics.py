@@ -221,3 +221,19 @@ def test_grid_takes_the_most_modes_of_three_bandwidths(spark):
     assert modality.prominent_modes(modality.smooth(at, c, 0.4)) == 1  # the single bandwidth of before
     assert got["one"]["dip_p"] * 20 == pytest.approx(round(got["one"]["dip_p"] * 20))
     assert grid.specifications(df.limit(4), [3], {"one": ["a"]}).first()["dip"] is None
+
+
+def test_ranking_works_out_the_grid_once(spark):
+    from callscope.operators import grid
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for batch in rows:
+            seen.add(batch.num_rows)
+            yield batch
+
+    names = "rule string, transform string, unit string, min_utt int, feature_set string, dip_p double"
+    specs = spark.createDataFrame([("r", "t", "u", m, "f", p) for m, p in ((1, 0.5), (2, None), (3, 0.1))], names).mapInArrow(count, names)
+    assert [q["min_utt"] for q in grid.ranked(specs).collect()] == [3, 1, 2]
+    assert seen.value == 3
