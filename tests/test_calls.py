@@ -247,3 +247,10 @@ def test_syllables_are_not_grouped_by_token(spark):
     out = chronology.syllables(u, spark.createDataFrame([("the", 7)], "word string, syllables int"))
     assert {(r["call_id"], r["side"]): r["syllables"] for r in out.collect()} == {(1, "A"): 17, (1, "B"): 0, (2, "A"): 0}
     assert "count(t" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_of_pauses_are_dealt_over_all_partitions(spark):
+    w = spark.createDataFrame([(1, "A", n, i, i + 0.0, i + 0.5, "a") for n in range(40) for i in range(3)], "call_id long, side string, utt_num long, i int, start double, end double, token string")
+    out = O.pauses(w.select(*O.KEY).distinct(), w)
+    assert {tuple(r)[3:] for r in out.collect()} == {(1.0, 2, 0.4, 0.5)}
+    assert "REPARTITION_BY_NUM" in _plan(out)
