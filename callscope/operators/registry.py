@@ -25,11 +25,11 @@ KEYS = {"utterances": KEY, "words": KEY, "frames": KEY, "tagged": KEY, "sides":
 
 
 class Part(NamedTuple):
-    """needs: columns of each input; after: the parts it reads; make: the table, from inputs and parts by name."""
+    """needs: columns of each input; after: the parts it reads and which of their columns; make: the table, from inputs and parts by name."""
 
     needs: dict[str, tuple[str, ...]]
     make: Callable[[dict[str, DataFrame]], DataFrame]
-    after: tuple[str, ...] = ()
+    after: dict[str, tuple[str, ...]] = {}
 
 
 class Feature(NamedTuple):
@@ -88,7 +88,7 @@ PARTS: dict[str, Part] = {
     "pitch": Part({"frames": ("f0",)}, lambda t: prosody.pitch(t["frames"])),
     "loudness": Part({"frames": ("rms",)}, lambda t: prosody.loudness(t["frames"])),
     "rising": Part({"frames": ("t", "f0"), "utterances": ("start", "end"), "words": ("start", "end")}, _rising),
-    "marked": Part({"utterances": ()}, _marked, ("text", "rising", "turns", "pitch")),
+    "marked": Part({"utterances": ()}, _marked, {"text": ("question_flag", "token_count"), "rising": ("rising",), "turns": ("onset_gap", "backchannel"), "pitch": ("pitch_mean",)}),
     "focus": Part({"utterances": ("text",), "lexicon": ("term", "bucket")}, _focus),
     "pronouns": Part({"utterances": ("start", "end"), "tagged": ("pos",)}, lambda t: units.tagged_rate(t["tagged"], t["utterances"], KEY)),
     "revelation": Part({"utterances": ("start", "end", "text"), "tagged": ("pos",)}, _revelation),
@@ -181,8 +181,9 @@ def run_features(names: list[str], inputs: dict[str, DataFrame] | DataFrame) ->
         wanted.setdefault(FEATURES[n].part, []).extend(FEATURES[n].makes)
     for part in parts:
         made = PARTS[part].make(table)
-        read_by = sum(part in PARTS[p].after for p in parts) + (part in wanted)
-        table[part] = order.settled(made) if read_by > 1 else made
+        reads = [PARTS[p].after[part] for p in parts if part in PARTS[p].after] + [tuple(wanted[p]) for p in wanted if p == part]
+        made = made.select(*dict.fromkeys((*KEY, *(c for columns in reads for c in columns))))  # no column is worked out that nothing reads
+        table[part] = order.settled(made) if len(reads) > 1 else made
     own = {p: table[p].select(*KEY, *columns) for p, columns in wanted.items()}
     if len(own) == 1 and next(iter(own)) == "text":
         return own["text"]

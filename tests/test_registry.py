@@ -134,3 +134,19 @@ def test_analyser_sees_an_utterance_over_many_batches(spark, tmp_path):
     a, b = ({(r["utt_num"], r["t"]): r["rms"] for r in d.collect()} for d in (prosody.frame_rms(parts, block="b"), prosody.frame_rms(one)))
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a) and len(a) == 1 + (5000 - 512) // 128 + 1
     assert a[1, 128] == pytest.approx(float(np.sqrt((np.abs(np.fft.fft(x[128:640] * np.hanning(513)[:-1])) ** 2).sum() / 512**2)))
+
+
+def test_parts_make_only_what_is_read(spark, monkeypatch):
+    """A settled part has its wanted columns and those that another part reads; tables are dealt out before they are grouped, tokens meet a small lexicon unshuffled."""
+    from callscope.operators import order, registry
+    from callscope.plans import rollups
+    from callscope.sources import tables
+
+    kept, settled = [], order.settled
+    monkeypatch.setattr(order, "settled", lambda df: kept.append(set(df.columns)) or settled(df))
+    rollups.udf_run_features(spark, "/root/testdata/sf0.001")
+    assert {*registry.KEY, "token_count", "word_rate", "question_flag"} in kept and not any("stripped_text" in columns for columns in kept)
+    a = spark.range(5).select("id", F.lit("x").alias("a"))
+    plan = tables.union_rows(a.select("id"), {"a": a}, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("SortAggregate") < plan.index("Exchange") and "Aggregate" not in plan[plan.index("Exchange") :]
+    assert "BroadcastHashJoin" in rollups._hits(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
