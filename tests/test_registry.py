@@ -150,3 +150,10 @@ def test_parts_make_only_what_is_read(spark, monkeypatch):
     plan = tables.union_rows(a.select("id"), {"a": a}, ["id"])._jdf.queryExecution().executedPlan().toString()
     assert plan.index("SortAggregate") < plan.index("Exchange") and "Aggregate" not in plan[plan.index("Exchange") :]
     assert "BroadcastHashJoin" in rollups._hits(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_tables_columns_are_grouped_as_one(spark):
+    a = spark.createDataFrame([(1, "x", None), (2, None, 5)], "id int, s string, v int")
+    out = tables.union_rows(spark.range(1, 4).select(F.col("id").cast("int")), {"a": a}, ["id"])
+    assert sorted(map(tuple, out.collect())) == [(1, "x", None), (2, None, 5), (3, None, None)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("first(") == 1
