@@ -7,7 +7,7 @@ import gc
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -88,6 +88,14 @@ def splittable(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(F.xxhash64(key))
 
 
+def grouped(df: DataFrame, key: str) -> GroupedData:
+    """groupBy(key) for the side of a join on the key that the other side's hot keys must be split from, as by splittable() but with a shuffle less.
+
+    The key's hash is grouped by, too, so the rows are dealt by both, and a join on the key shuffles the groups (not the rows) once more.
+    """
+    return df.groupBy(key, F.xxhash64(key).alias(_free("dealt", df.columns)))
+
+
 #: Bits of a sieve; its bitmap has a row for each 64 of them, 262,144 rows at most.
 SIEVE_BITS = 1 << 24
 
@@ -117,28 +125,26 @@ def _free(name: str, taken: list[str]) -> str:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list with long ids: (id, component), component being the smallest id.
 
-    Alternates the large-star and small-star steps until nothing changes: each replaces a node's links by links to the least
+    Alternates the large-star and small-star steps until only stars are left: each replaces a node's links by links to the least
     node of its neighbourhood. Both are a grouped minimum (combined before the shuffle) and a join, which Spark can split at a
     hot node: the least of a star in the first step, in the second one whose id is the largest of its star. Nodes without an edge are not returned; self links are ignored.
     """
     now = kept(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    mark = _mark(now)
-    while mark[0]:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = splittable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.join(splittable(large.groupBy("u").agg(F.min("v").alias("m")), "u"), "u")
-        nxt = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+    while not _only_stars(now):
+        # links go from the larger to the smaller node, so a node's least neighbour is among its own links or the node itself
+        least = grouped(now, "u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), "m")
+        large = now.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v"))  # as many rows as links; repeats go below
+        small = large.join(grouped(large, "u").agg(F.min("v").alias("m")).select("u", "m"), "u")
+        nxt = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         now = kept(nxt.where("u <> v").distinct())
-        del both, least, large, small, nxt
+        del least, large, small, nxt
         let_go(now.sparkSession)  # a few plans a step, which would add up on the driver
-        new = _mark(now)
-        if new == mark:
-            break
-        mark = new
-    nodes = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return nodes.unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    ends = F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("component")), F.struct(F.col("v").alias("id"), F.col("v").alias("component")))
+    return now.select(F.explode(ends).alias("e")).select("e.*").distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _only_stars(links: DataFrame) -> bool:
+    """Whether each larger end of these different links is in one link only, and no smaller end is another link's larger one."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up")), F.struct(F.col("v").alias("id"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    odd = ends.groupBy("id").agg(F.sum("up").alias("ups"), F.min("up").alias("least")).where("ups > 1 or ups > 0 and least = 0")
+    return odd.agg(F.count(F.lit(1))).first()[0] == 0

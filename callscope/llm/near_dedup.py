@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callscope.llm import _text as T
-from callscope.llm._frames import components, kept, splittable
+from callscope.llm._frames import components, grouped, kept, splittable
 
 SIZE, PERCENT = 5, 75
 TABLES, ROWS, WIDTH = 22, 4, 9
@@ -245,8 +245,8 @@ def _sizes_allow(n: str, m: str, percent: int):
 def _shared_keys(reps: DataFrame) -> DataFrame:
     """(id, n, keys): the sub-keys that another representative has, too; each as what tells its set of members, with its place."""
     sub = reps.select("id", F.posexplode("keys").alias("slot", "key"))  # a key is of one slot
-    alike = sub.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x")).where("lo <> hi").select("key", F.xxhash64("lo", "hi", "c", "x").alias("mates"))
-    own = sub.join(splittable(alike, "key"), "key").select("id", F.col("mates").bitwiseAND(F.lit(_MATES)).bitwiseOR(F.col("slot").cast("long")).alias("k"))
+    alike = grouped(sub, "key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x")).where("lo <> hi").select("key", F.xxhash64("lo", "hi", "c", "x").alias("mates"))
+    own = sub.join(alike, "key").select("id", F.col("mates").bitwiseAND(F.lit(_MATES)).bitwiseOR(F.col("slot").cast("long")).alias("k"))
     sizes = reps.groupBy("id").agg(F.when(F.count(F.lit(1)) == 1, F.min("n")).otherwise(0).alias("n"))
     return own.groupBy("id").agg(F.collect_list("k").alias("keys")).join(sizes, "id").select("id", "n", "keys")
 
@@ -254,15 +254,15 @@ def _shared_keys(reps: DataFrame) -> DataFrame:
 def _mixed_keys(shared: DataFrame, found: DataFrame) -> DataFrame:
     """(id, n, component, keys): the sub-keys that members of several components share."""
     flat = shared.join(found, "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"), F.explode("keys").alias("k"))
-    mixed = flat.groupBy("k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k")
-    return flat.join(splittable(mixed, "k"), "k").groupBy("id", "n", "component").agg(F.collect_list("k").alias("keys"))
+    mixed = grouped(flat, "k").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("k")
+    return flat.join(mixed, "k").groupBy("id", "n", "component").agg(F.collect_list("k").alias("keys"))
 
 
 def _members(table_keys: DataFrame) -> DataFrame:
     """The table keys of buckets with several components, with the bucket's smallest member a, its number and what tells its members."""
-    buckets = table_keys.groupBy("t").agg(F.min(F.struct("id", "n", "component")).alias("h"), F.max("id").alias("z"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x")).where("lo <> hi")
+    buckets = grouped(table_keys, "t").agg(F.min(F.struct("id", "n", "component")).alias("h"), F.max("id").alias("z"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x")).where("lo <> hi")
     named = buckets.select("t", F.col("h.id").alias("a"), F.col("h.n").alias("an"), F.col("h.component").alias("ac"), "c", F.xxhash64("h.id", "z", "c", "x").alias("mates"))
-    return table_keys.join(splittable(named, "t"), "t")
+    return table_keys.join(named, "t")
 
 
 def _stars(members: DataFrame, percent: int) -> DataFrame:

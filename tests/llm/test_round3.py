@@ -298,3 +298,28 @@ def test_toxicity_fit_unpacks_a_few_texts_at_a_time():
     tracemalloc.stop()
     assert weights.shape == (1 << toxicity.BITS,) and np.isfinite(bias)
     assert peak < sum(map(len, x)) * 8
+
+
+def test_components_end_at_stars_and_take_few_tasks(spark):
+    """The driver keeps a record of every task: a path of five nodes, a hub of 40 and a pair take fewer than 130 of 4 partitions each."""
+    from callscope.llm._frames import components
+
+    links = [(1, 2), (2, 3), (3, 4), (4, 5), (101, 100)] + [(200 + k, 240) for k in range(40)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(4).persist()
+    assert df.count() == len(links)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.sparkContext.setJobGroup("few tasks", "few tasks")
+    try:
+        got = {r["id"]: r["component"] for r in components(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        df.unpersist()
+    assert got == {k: 1 for k in range(1, 6)} | {100: 100, 101: 100} | {k: 200 for k in range(200, 241)}
+    told = spark.sparkContext.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup("few tasks") for s in told.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := told.getStageInfo(s)))
+    print("tasks", tasks)
+    assert 0 < tasks < 130
