@@ -2,51 +2,108 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, Imputer, NGram, StandardScaler, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, Imputer, NGram, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions import text as X
-from callscope.operators import gold
+from callscope.operators import gold, order
 
 VOCABULARY = 1 << 18
+#: Rows of a task of a fit; a task returns a gradient of the vocabulary's length at each step, so there are no more than these and the cores ask for.
+ROWS = 500_000
 
 
 def prepare(df: DataFrame, text: str, numeric: list[str], label: Column | None = None) -> DataFrame:
-    """Adds marked tokens, missing indicators and, with a label, balancing weights."""
+    """Adds marked tokens, missing indicators and, with a label, balancing weights; labelled rows are worked out once."""
     out = df.withColumn("marked", F.concat(F.array(F.lit("<s>")), X.tokens(F.coalesce(F.col(text), F.lit("")))))
     out = out.withColumns({f"{c}_missing": F.col(c).isNull().cast("double") for c in numeric}).withColumns({c: F.col(c).cast("double") for c in numeric})
     if label is None:
         return out
-    out = out.withColumn("label", label.cast("double"))
-    share = out.agg(F.avg("label").alias("share"))
-    return out.crossJoin(F.broadcast(share)).withColumn("weight", F.when(F.col("share").isin(0.0, 1.0), 1.0).when(F.col("label") == 1, 0.5 / F.col("share")).otherwise(0.5 / (1 - F.col("share")))).drop("share")
+    out = order.settled(out.withColumn("label", label.cast("double")))
+    share = out.agg(F.avg("label")).first()[0]
+    return out.withColumn("weight", F.lit(1.0) if share in (None, 0.0, 1.0) else F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
+
+
+def _vocabularies(rows: DataFrame, column: str, min_df: int, held_out: list[int | None]) -> list[list[str]]:
+    """For each fold to hold out (None: none) the terms in at least min_df of the other rows, the most frequent ones up to VOCABULARY; one counting for all."""
+    own = F.sort_array(column)
+    each = F.transform(own, lambda w, i: F.struct(w.alias("term"), (~F.get(own, i - 1).eqNullSafe(w)).alias("new")))
+    seen = rows.select("fold", F.explode(each).alias("t")).select("fold", "t.*")
+    inside = [F.lit(True) if k is None else F.col("fold") != k for k in held_out]
+    counts = seen.groupBy("term").agg(*[F.count_if(x & F.col("new")).alias(f"df{j}") for j, x in enumerate(inside)], *[F.count_if(x).alias(f"n{j}") for j, x in enumerate(inside)])
+    counts = order.settled(counts.where(F.greatest(F.lit(0), *[F.col(f"df{j}") for j in range(len(inside))]) >= min_df))
+    most = [counts.where(F.col(f"df{j}") >= min_df).orderBy(F.desc(f"n{j}"), "term").limit(VOCABULARY).select("term") for j in range(len(inside))]
+    return [t.toArrow().column(0).to_pylist() for t in most]
+
+
+def _vectors(rows: DataFrame, numeric: list[str], min_df: int, held_out: list[int | None]) -> tuple[list[Model], DataFrame, list[np.ndarray]]:
+    """(stages up to the features, the rows with these, worked out once, for each fold to hold out 1.0 where a feature belongs to it).
+
+    Features are the terms of any fold's vocabulary, the numbers filled with each fold's medians, and what is missing.
+    """
+    stages, masks = [NGram(n=2, inputCol="marked", outputCol="pairs")], [[] for _ in held_out]
+    named = stages[0].transform(rows)
+    for name, column in (("one", "marked"), ("two", "pairs")):
+        known = _vocabularies(named, column, min_df, held_out)
+        listed = pa.table({"term": pa.array(sorted(set().union(*known)), pa.string())})
+        model = CountVectorizer(inputCol=column, outputCol=name, binary=True, vocabSize=max(1, len(listed))).fit(rows.sparkSession.createDataFrame(listed).select(F.array("term").alias(column)))  # of the chosen terms alone
+        stages.append(model)
+        terms = model.vocabulary
+        for mask, own in zip(masks, map(set, known)):
+            mask.append(np.fromiter((t in own for t in terms), float, len(terms)))
+    inputs = ["one", "two"]
+    for j, k in enumerate(held_out if numeric else []):
+        filled = [f"{c}_filled{j}" for c in numeric]
+        stages.append(Imputer(strategy="median", inputCols=numeric, outputCols=filled).fit(rows if k is None else rows.where(F.col("fold") != k)))
+        inputs += filled
+        for i, mask in enumerate(masks):
+            mask.append(np.full(len(numeric), float(i == j)))
+    for mask in masks:
+        mask.append(np.ones(len(numeric)))
+    stages.append(VectorAssembler(inputCols=[*inputs, *[f"{c}_missing" for c in numeric]], outputCol="features"))
+    kept = [*rows.columns, "features"]
+    shown = PipelineModel(stages).transform(rows).select(*[c for c in kept if c != "marked"])
+    return stages, order.settled(shown.withMetadata("features", {})), [np.concatenate(m) for m in masks]  # else each task of a fit is sent the features' names
+
+
+def _dealt(shown: DataFrame) -> DataFrame:
+    """The rows in few partitions, as a fit goes over them a hundred times."""
+    cores = shown.sparkSession.sparkContext.defaultParallelism
+    return shown.coalesce(max(cores, -(-shown.count() // ROWS)))
+
+
+def _logistic(reg: float, features: str = "features") -> LogisticRegression:
+    """Features are scaled by the fit itself."""
+    return LogisticRegression(featuresCol=features, weightCol="weight", regParam=reg, maxIter=50, threshold=0.5, maxBlockSizeInMB=16)
+
+
+def _fitted(train: DataFrame, numeric: list[str], min_df: int, reg: float) -> tuple[list[Model], DataFrame]:
+    stages, shown, _ = _vectors(train.withColumn("fold", F.lit(0)), numeric, min_df, [None])
+    return [*stages, _logistic(reg).fit(_dealt(shown))], shown
 
 
 def fit(train: DataFrame, numeric: list[str], min_df: int = 5, reg: float = 1e-3) -> PipelineModel:
     """Binary uni- and bigrams (in at least min_df utterances), median-imputed scaled numbers, balanced logistic regression."""
-    stages = [
-        NGram(n=2, inputCol="marked", outputCol="pairs"),
-        CountVectorizer(inputCol="marked", outputCol="one", binary=True, minDF=min_df, vocabSize=VOCABULARY),
-        CountVectorizer(inputCol="pairs", outputCol="two", binary=True, minDF=min_df, vocabSize=VOCABULARY),
-    ]
-    inputs = ["one", "two"]
-    if numeric:
-        filled = [f"{c}_filled" for c in numeric]
-        stages += [Imputer(strategy="median", inputCols=numeric, outputCols=filled), VectorAssembler(inputCols=[*filled, *[f"{c}_missing" for c in numeric]], outputCol="numbers"), StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True)]
-        inputs.append("scaled")
-    stages += [VectorAssembler(inputCols=inputs, outputCol="features"), LogisticRegression(weightCol="weight", regParam=reg, maxIter=50, threshold=0.5)]
-    return Pipeline(stages=stages).fit(train)
+    return PipelineModel(_fitted(train, numeric, min_df, reg)[0])
 
 
-def predict(model: PipelineModel, df: DataFrame, keep: list[str]) -> DataFrame:
+def predict(model: Model, df: DataFrame, keep: list[str]) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     return model.transform(df).select(*keep, F.col("prediction").cast("int").alias("predicted"), vector_to_array("probability")[1].alias("score"))
 
 
+def in_sample(df: DataFrame, numeric: list[str], keep: list[str], min_df: int = 5, reg: float = 1e-3) -> DataFrame:
+    """predict on the very rows of the fit, whose vectors are not worked out again."""
+    stages, shown = _fitted(df, numeric, min_df, reg)
+    return predict(stages[-1], shown, keep)
+
+
 def out_of_fold(df: DataFrame, numeric: list[str], group: str, keep: list[str], folds: int = 5, min_df: int = 5) -> DataFrame:
     """Each row predicted by a model that saw no row of its group: vocabulary, medians and scales are fitted inside the fold."""
     fold = F.pmod(F.xxhash64(F.lit(3), group), folds)

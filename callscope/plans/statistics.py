@@ -9,6 +9,8 @@ from callscope.functions import text as X
 from callscope.operators import chronology as C
 from callscope.operators import clusterability
 from callscope.operators import classify, curves, grid, modality, multivariate, order
+from callscope.operators import overlap as O
+from callscope.operators import turns as T
 from callscope.operators import units as U
 from callscope.plans import annotated, corpus, rollups
 
@@ -265,16 +267,19 @@ def srt_loading_order(spark, sf_dir):
 
 
 def _labelled(spark, sf_dir):
-    """Utterances ready for the classifier, worked out once: its stages read them many times over."""
-    u = corpus.utterances(spark, sf_dir).select(*C.KEY, "text")
-    t = rollups._table(spark, sf_dir).select(*C.KEY, "token_count", "word_rate", U.in_window(F.col("fto")).alias("fto"))
-    return order.settled(classify.prepare(u.join(t, C.KEY), "text", ["token_count", "word_rate", "fto"], X.is_backchannel(F.col("text"))))
+    """Utterances ready for the classifier, with just the numbers that it takes."""
+    p = order.settled(corpus.pieces(spark, sf_dir))
+    u, w = corpus.utterances(spark, sf_dir, p), corpus.words(spark, sf_dir, p)
+    fto = T.transfer_columns(T.turn_events(u, w)).select(*C.KEY, U.in_window(F.col("fto")).alias("fto"))
+    seconds = F.col("end") - F.col("start")
+    count = X.token_count(F.col("text"))
+    t = O.spread(u, *C.KEY).join(O.spread(fto, *C.KEY), C.KEY).select(*C.KEY, "text", count.alias("token_count"), F.round(X.per_second(count, seconds), 6).alias("word_rate"), "fto")
+    return classify.prepare(t, "text", ["token_count", "word_rate", "fto"], X.is_backchannel(F.col("text"))).drop("text")
 
 
 @query(None)
 def ml_classifier(spark, sf_dir):
-    d = _labelled(spark, sf_dir)
-    return classify.predict(classify.fit(d, ["token_count", "word_rate", "fto"]), d, [*C.KEY, "label"])
+    return classify.in_sample(_labelled(spark, sf_dir), ["token_count", "word_rate", "fto"], [*C.KEY, "label"])
 
 
 @query(None)

@@ -164,6 +164,26 @@ def test_classifier(spark):
     assert classify.top_features(classify.fit(d, ["x"]), 3)[0][0] in {"yeah", "right", "<s> yeah", "yeah right", "we", "<s> we", "went", "we went", "to", "town", "times", "to town", "went to"}
 
 
+def _utterances(spark):
+    rows = [(i, i % 12, "yeah right" if i % 3 == 0 else f"we went to town {i % 7} times" + " late" * (i % 12 == 5), float(i % 5) if i % 4 else None) for i in range(240)]
+    return classify.prepare(spark.createDataFrame(rows, "k long, call long, text string, x double"), "text", ["x"], F.col("k") % 3 == 0)
+
+
+def test_classifier_is_fitted_without_the_names_of_its_features(spark, monkeypatch):
+    """Names would go along with each task of each step: at a vocabulary's size that took longer than the fit."""
+    from pyspark.ml.classification import LogisticRegression
+
+    seen, own = [], LogisticRegression.fit
+    monkeypatch.setattr(LogisticRegression, "fit", lambda self, df: (seen.append(df), own(self, df))[1])
+    d = _utterances(spark)
+    model = classify.fit(d, ["x"])
+    assert len(seen) == 1 and all(f.metadata == {} for f in seen[0].schema) and "ExistingRDD" in seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "UDF" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    two = {r["k"]: r["score"] for r in classify.predict(model, d, ["k"]).collect()}
+    one = {r["k"]: r["score"] for r in classify.in_sample(d, ["x"], ["k"]).collect()}
+    assert len(one) == 240 and max(abs(one[k] - two[k]) for k in two) < 1e-9
+
+
 def test_pairwise_distances_of_all_rows(spark):
     r = np.random.default_rng(8)
     x = np.concatenate([r.normal(size=(300, 2)), np.tile([[0.5, -0.5]], (40, 1))])
