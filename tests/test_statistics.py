@@ -184,6 +184,22 @@ def test_classifier_is_fitted_without_the_names_of_its_features(spark, monkeypat
     assert len(one) == 240 and max(abs(one[k] - two[k]) for k in two) < 1e-9
 
 
+def test_out_of_fold_counts_terms_once_and_keeps_folds_apart(spark, monkeypatch):
+    from pyspark.ml.feature import CountVectorizer
+
+    d = _utterances(spark)
+    fold = F.pmod(F.xxhash64(F.lit(3), "call"), 3)
+    want = {}
+    for k in range(3):
+        model = classify.fit(d.where(fold != k), ["x"])
+        want |= {r["k"]: r["score"] for r in classify.predict(model, d.where(fold == k), ["k"]).collect()}
+    fits, own = [], CountVectorizer.fit
+    monkeypatch.setattr(CountVectorizer, "fit", lambda self, df: (fits.append(1), own(self, df))[1])
+    got = {r["k"]: r["score"] for r in classify.out_of_fold(d, ["x"], "call", ["k"], folds=3).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-6
+    assert len(fits) == 2
+
+
 def test_pairwise_distances_of_all_rows(spark):
     r = np.random.default_rng(8)
     x = np.concatenate([r.normal(size=(300, 2)), np.tile([[0.5, -0.5]], (40, 1))])
