@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import inheritable_thread_target
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -35,33 +37,38 @@ def prepare(df: DataFrame, text: str, numeric: list[str], label: Column | None =
     return out.withColumn("weight", F.lit(1.0) if share in (None, 0.0, 1.0) else F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
 
 
-def _vocabularies(rows: DataFrame, column: str, min_df: int, held_out: list[int | None]) -> list[list[str]]:
-    """For each fold to hold out (None: none) the terms in at least min_df of the other rows, the most frequent ones up to VOCABULARY; one counting for all."""
+def _vocabularies(rows: DataFrame, column: str, min_df: int, held_out: list[int | None]) -> pa.Table:
+    """(term, in0, in1...): for each fold to hold out (None: none) the terms in at least min_df of the other rows, the most frequent ones up to VOCABULARY; one counting for all."""
     own = F.sort_array(column)
     each = F.transform(own, lambda w, i: F.struct(w.alias("term"), (~F.get(own, i - 1).eqNullSafe(w)).alias("new")))
     seen = rows.select("fold", F.explode(each).alias("t")).select("fold", "t.*")
-    inside = [F.lit(True) if k is None else F.col("fold") != k for k in held_out]
+    inside, folds = [F.lit(True) if k is None else F.col("fold") != k for k in held_out], range(len(held_out))
     counts = seen.groupBy("term").agg(*[F.count_if(x & F.col("new")).alias(f"df{j}") for j, x in enumerate(inside)], *[F.count_if(x).alias(f"n{j}") for j, x in enumerate(inside)])
-    counts = order.settled(counts.where(F.greatest(F.lit(0), *[F.col(f"df{j}") for j in range(len(inside))]) >= min_df))
-    most = [counts.where(F.col(f"df{j}") >= min_df).orderBy(F.desc(f"n{j}"), "term").limit(VOCABULARY).select("term") for j in range(len(inside))]
-    return [t.toArrow().column(0).to_pylist() for t in most]
+    known = [F.col(f"df{j}") >= min_df for j in folds]
+    counts = order.settled(counts.where(reduce(Column.__or__, known)))
+    for j, n in enumerate(counts.agg(*[F.count_if(x) for x in known]).first()):
+        if n > VOCABULARY:
+            last = counts.where(known[j]).orderBy(F.desc(f"n{j}"), "term").offset(VOCABULARY - 1).limit(1).select(f"n{j}", "term").first()
+            known[j] &= (F.col(f"n{j}") > last[0]) | ((F.col(f"n{j}") == last[0]) & (F.col("term") <= last[1]))
+    return counts.where(reduce(Column.__or__, known)).select("term", *[x.alias(f"in{j}") for j, x in enumerate(known)]).toArrow()
 
 
 def _vectors(rows: DataFrame, numeric: list[str], min_df: int, held_out: list[int | None]) -> tuple[list[Model], DataFrame, list[np.ndarray]]:
     """(stages up to the features, the rows with these, worked out once, for each fold to hold out 1.0 where a feature belongs to it).
 
-    Features are the terms of any fold's vocabulary, the numbers filled with each fold's medians, and what is missing.
+    Features are the terms of any fold's vocabulary, the numbers filled with each fold's medians, and what is missing. Names of vector
+    elements are dropped as they come: the driver would hold them many times over, and each task of a fit would be sent them.
     """
     stages, masks = [NGram(n=2, inputCol="marked", outputCol="pairs")], [[] for _ in held_out]
-    named = stages[0].transform(rows)
+    shown = stages[0].transform(rows)
     for name, column in (("one", "marked"), ("two", "pairs")):
-        known = _vocabularies(named, column, min_df, held_out)
-        listed = pa.table({"term": pa.array(sorted(set().union(*known)), pa.string())})
-        model = CountVectorizer(inputCol=column, outputCol=name, binary=True, vocabSize=max(1, len(listed))).fit(rows.sparkSession.createDataFrame(listed).select(F.array("term").alias(column)))  # of the chosen terms alone
-        stages.append(model)
-        terms = model.vocabulary
-        for mask, own in zip(masks, map(set, known)):
-            mask.append(np.fromiter((t in own for t in terms), float, len(terms)))
+        known = _vocabularies(shown, column, min_df, held_out)
+        listed = rows.sparkSession.createDataFrame(known.select(["term"])).select(F.array("term").alias(column))
+        stages.append(CountVectorizer(inputCol=column, outputCol=name, binary=True, vocabSize=max(1, len(known))).fit(listed))  # of the chosen terms alone
+        at = pc.index_in(pa.array(stages[-1].vocabulary, pa.string()), value_set=known["term"].combine_chunks()).to_numpy(zero_copy_only=False)
+        for j, mask in enumerate(masks):
+            mask.append(known[f"in{j}"].to_numpy()[at].astype(float))
+        shown = stages[-1].transform(shown).withMetadata(name, {})
     inputs = ["one", "two"]
     for j, k in enumerate(held_out if numeric else []):
         filled = [f"{c}_filled{j}" for c in numeric]
@@ -72,9 +79,10 @@ def _vectors(rows: DataFrame, numeric: list[str], min_df: int, held_out: list[in
     for mask in masks:
         mask.append(np.ones(len(numeric)))
     stages.append(VectorAssembler(inputCols=[*inputs, *[f"{c}_missing" for c in numeric]], outputCol="features"))
-    kept = [*rows.columns, "features"]
-    shown = PipelineModel(stages).transform(rows).select(*[c for c in kept if c != "marked"])
-    return stages, order.settled(shown.withMetadata("features", {})), [np.concatenate(m) for m in masks]  # else each task of a fit is sent the features' names
+    for stage in stages[3:]:
+        shown = stage.transform(shown)
+    shown = shown.select(*[c for c in rows.columns if c != "marked"], "features").withMetadata("features", {})
+    return stages, order.settled(shown), [np.concatenate(m) for m in masks]
 
 
 def _dealt(shown: DataFrame) -> DataFrame:

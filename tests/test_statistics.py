@@ -200,6 +200,13 @@ def test_out_of_fold_counts_terms_once_and_keeps_folds_apart(spark, monkeypatch)
     assert len(fits) == 2
 
 
+def test_vocabularies_of_folds_are_the_most_frequent_terms(spark, monkeypatch):
+    monkeypatch.setattr(classify, "VOCABULARY", 2)
+    d = spark.createDataFrame([(0, ["a", "a", "b"]), (0, ["b", "c"]), (1, ["a", "c", "d"]), (1, ["c", "d", "d"]), (2, ["a", "c"])], "fold int, marked array<string>")
+    known = {r["term"]: (r["in0"], r["in1"], r["in2"]) for r in classify._vocabularies(d, "marked", 2, [None, 0, 1]).to_pylist()}
+    assert known == {"a": (True, False, True), "c": (True, True, False), "b": (False, False, True), "d": (False, True, False)}
+
+
 def test_pairwise_distances_of_all_rows(spark):
     r = np.random.default_rng(8)
     x = np.concatenate([r.normal(size=(300, 2)), np.tile([[0.5, -0.5]], (40, 1))])
